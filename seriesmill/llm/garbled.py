@@ -9,8 +9,9 @@ against the bigrams of the corpus:
 3. Each distinct suspect is read back through every code-page swap, also repeated ones and swaps of parts, and each
    result is scored against the bigrams: gain = log P(read back) - log P(as it stands).
 4. E: the posterior of each swap (and of none) for each suspect, from gains and the source's table.
-   M: the source's table P(swap | character), from the posteriors and the character's count in the source. Sources with
-   few cases lean on the table of all.
+   M: the source's table P(swap | character): of the distinct suspects that hold the character, the share explained by
+   the swap. Distinct ones, so that one name with an unusual letter, however often it occurs, doesn't become a rule.
+   Sources with few cases lean on the table of all.
 5. A document is affected if one of its tokens is more likely garbled than not. Single-byte swaps are undone with
    translate(), UTF-8 and double-byte ones by reading their bytes again.
 
@@ -39,9 +40,10 @@ SOURCES = 4096
 #: A token is a suspect if a bigram in it has log P(b | a) below this.
 RARE = -7.0
 ITERATIONS = 4
-#: P(swap | character) before the first iteration, its least value, and the weight of the table of all sources.
-START, LEAST, WEIGHT = 0.02, 1e-5, 20.0
-KEPT = 0.05  # candidates of less gain never win
+#: P(swap | character) before the first iteration, its least value, and the weight of the prior table, in suspects.
+START, LEAST, WEIGHT = 0.005, 1e-5, 20.0
+#: Candidates of less gain are left out. UTF-8 read wrongly has a form of its own; other swaps rest on the gain alone.
+LEAST_GAIN, LEAST_GAIN_UTF8 = 2.5, 0.05
 LOST = "lost"
 
 
@@ -55,29 +57,16 @@ def _narrow(df: DataFrame) -> DataFrame:
 
 
 def corpus_counts(df: DataFrame) -> DataFrame:
-    """(src, key, n): bigrams and symbols of all texts (src -1), and the non-ASCII symbols of each source."""
+    """(key, n): bigrams and symbols of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, src = _texts(b), b.column("src").to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = _texts(b)
             for a, z in pieces(texts):
-                part = texts.slice(a, z - a)
-                key, n = bigrams.counts(part)
-                cp, begin = bigrams.laid_out(part)
-                wide = np.flatnonzero((cp >= 0x80) & ~bigrams.is_east(cp))
-                doc = np.searchsorted(begin, wide, side="right") - 1
-                own, m = np.unique((src[a + doc] << 21) + cp[wide], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([np.full(len(key), -1), own >> 21]), pa.int32()),
-                        pa.array(np.concatenate([key, own & 0x1FFFFF])),
-                        pa.array(np.concatenate([n, m]).astype(np.int64)),
-                    ],
-                    names=["src", "key", "n"],
-                )
+                key, n = bigrams.counts(texts.slice(a, z - a))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    counted = _narrow(df).select("src", "text").mapInArrow(run, "src int, key bigint, n bigint")
-    return counted.groupBy("src", "key").agg(F.sum("n").alias("n"))
+    return df.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def suspects(df: DataFrame, lm) -> DataFrame:
@@ -135,8 +124,11 @@ def scored(events: DataFrame, lm) -> DataFrame:
                 base = model.score(left, token, right)
                 read = []
                 for before, swap in codepages.earlier(token).items():
+                    utf8 = swap.startswith("utf-8")
+                    if not utf8 and (len(token) == 1 or not any(c.isalpha() for c in before)):
+                        continue  # symbols and digits alone have no letters around them to tell
                     gain = model.score(left, before, right) - base
-                    if gain > KEPT:
+                    if gain > (LEAST_GAIN_UTF8 if utf8 else LEAST_GAIN):
                         read.append({"swap": swap, "before": before, "gain": gain})
                 if any(c == "�" or "\x80" <= c < "\xa0" and c != "\x85" for c in token):
                     read.append({"swap": LOST, "before": token, "gain": 12.0})
@@ -144,7 +136,7 @@ def scored(events: DataFrame, lm) -> DataFrame:
             kind = pa.list_(pa.struct([("swap", pa.string()), ("before", pa.string()), ("gain", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(out, kind)], names=[*b.schema.names, "read"])
 
-    return events.mapInArrow(run, "left int, token string, right int, read array<struct<swap:string,before:string,gain:double>>")
+    return events.mapInArrow(run, "left int, token string, right int, sources array<int>, read array<struct<swap:string,before:string,gain:double>>")
 
 
 #: (source, character) -> {swap: probability}; source -1 stands for all.
@@ -160,10 +152,10 @@ def posterior(table: Table, src: int, token: str, read: list[dict]) -> tuple[flo
 
     logs = []
     for r in read:
-        changed = marks - set(r["before"]) or marks
         if r["swap"] == LOST:
             logs.append(r["gain"])
             continue
+        changed = marks - set(r["before"]) or marks
         prior = sum(math.log(max(p(u).get(r["swap"], LEAST if table else START), LEAST)) for u in changed) / len(changed)
         logs.append(r["gain"] + prior)
     stands = sum(math.log(max(1 - sum(p(u).values()), 1e-3)) for u in marks) / max(1, len(marks))
@@ -174,8 +166,11 @@ def posterior(table: Table, src: int, token: str, read: list[dict]) -> tuple[flo
     return rest / total, [w / total for w in weights]
 
 
-def learn(events: DataFrame, totals: dict[tuple[int, str], int], iterations: int = ITERATIONS) -> Table:
-    """The table after so many iterations. events: src, token, read, n. What is gathered is a sum per source, character and swap."""
+def learn(events: DataFrame, iterations: int = ITERATIONS) -> Table:
+    """The table after so many iterations. events: src, token, read and share (one over its number of sources) of each distinct suspect of a source.
+
+    Gathered is a sum per source, character and swap: as many rows as the table has.
+    """
     spark = events.sparkSession
     table: Table = {}
     for _ in range(iterations):
@@ -184,33 +179,34 @@ def learn(events: DataFrame, totals: dict[tuple[int, str], int], iterations: int
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, str, str], float] = defaultdict(float)
             for b in batches:
-                for src, token, read, n in zip(*(b.column(c).to_pylist() for c in ("src", "token", "read", "n")), strict=True):
-                    marks = _marks(token)
+                for src, token, read, share in zip(*(b.column(c).to_pylist() for c in ("src", "token", "read", "share")), strict=True):
+                    marks = set(_marks(token))
+                    for u in marks:
+                        sums[src, u, ""] += 1
+                        sums[-1, u, ""] += share
                     for r, w in zip(read, posterior(shared.value, src, token, read)[1], strict=True):
-                        changed = set(marks) - set(r["before"]) or set(marks)
-                        for u in marks:
-                            if u in changed:
-                                sums[src, u, r["swap"]] += n * w
-            keys = [k for k, v in sums.items() if v > 1e-3]
+                        if w > 1e-4:
+                            for u in marks - set(r["before"]) or marks:
+                                sums[src, u, r["swap"]] += w
+                                sums[-1, u, r["swap"]] += w * share
+            keys = list(sums)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array([sums[k] for k in keys], pa.float64())],
+                [pa.array([k[0] for k in keys], pa.int32()), *(pa.array([k[i] for k in keys], pa.string()) for i in (1, 2)), pa.array(list(sums.values()), pa.float64())],
                 names=["src", "mark", "swap", "n"],
             )
 
-        got = events.select("src", "token", "read", "n").mapInArrow(run, "src int, mark string, swap string, n double")
+        got = events.select("src", "token", "read", "share").mapInArrow(run, "src int, mark string, swap string, n double")
         rows = got.groupBy("src", "mark", "swap").agg(F.sum("n").alias("n")).collect()
-        every: dict[tuple[str, str], float] = defaultdict(float)
-        for r in rows:
-            every[r["mark"], r["swap"]] += r["n"]
+        of_all = {(r["mark"], r["swap"]): r["n"] for r in rows if r["src"] == -1}
+        of_source = {(r["src"], r["mark"], r["swap"]): r["n"] for r in rows if r["src"] >= 0}
         table = defaultdict(dict)
-        for (u, swap), n in every.items():
-            table[-1, u][swap] = n / (totals.get((-1, u), 0) + 1)
-        for r in rows:
-            common = table[-1, r["mark"]][r["swap"]]
-            table[r["src"], r["mark"]][r["swap"]] = (r["n"] + WEIGHT * common) / (totals.get((r["src"], r["mark"]), 0) + WEIGHT)
-        for r in {(r["src"], r["mark"]) for r in rows}:
-            for swap, common in table[-1, r[1]].items():
-                table[r].setdefault(swap, WEIGHT * common / (totals.get(r, 0) + WEIGHT))
+        for (u, swap), n in of_all.items():
+            if swap:
+                table[-1, u][swap] = (n + WEIGHT * START) / (of_all[u, ""] + WEIGHT)
+        for src, u, swap in list(of_source):
+            if not swap:
+                for how, common in table.get((-1, u), {}).items():
+                    table[src, u][how] = (of_source.get((src, u, how), 0.0) + WEIGHT * common) / (of_source[src, u, ""] + WEIGHT)
         table = dict(table)
     return table
 
@@ -220,19 +216,13 @@ class Findings:
 
     def __init__(self, df: DataFrame) -> None:
         spark = df.sparkSession
-        rows = corpus_counts(df).toArrow()
-        src, key, n = (rows[c].to_numpy() for c in ("src", "key", "n"))
-        every = src == -1
-        lm = spark.sparkContext.broadcast((key[every], n[every]))
-        totals: dict[tuple[int, str], int] = defaultdict(int)
-        for s, k, m in zip(src[~every].tolist(), key[~every].tolist(), n[~every].tolist(), strict=True):
-            totals[s, chr(k)] += m
-            totals[-1, chr(k)] += m
+        counted = corpus_counts(df).toArrow()
+        lm = spark.sparkContext.broadcast((counted["key"].to_numpy(), counted["n"].to_numpy()))
         self.suspects = checkpoint(suspects(df, lm))
-        counted = self.suspects.groupBy("src", "left", "token", "right").agg(F.count(F.lit(1)).alias("n"))
-        read = scored(self.suspects.select("left", "token", "right").distinct(), lm).where(F.size("read") > 0)
-        events = checkpoint(counted.join(read, ["left", "token", "right"]))
-        self.table = learn(events, totals)
+        kinds = self.suspects.groupBy("left", "token", "right").agg(F.collect_set("src").alias("sources"))  # at most SOURCES
+        share = (1 / F.size("sources")).alias("share")
+        events = checkpoint(scored(kinds, lm).select("left", "token", "right", "read", share, F.explode("sources").alias("src")))
+        self.table = learn(events)
         shared = spark.sparkContext.broadcast(self.table)
 
         def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
