@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.functions.rules import read_rules
-from seriesmill.operators import grid, instants, late, messages
+from seriesmill.operators import grid, instants, late, messages, spikes
 from seriesmill.plans.sql import KEPT, READINGS
 from seriesmill.session import table
 
@@ -50,8 +50,16 @@ def p5_revisions(spark: SparkSession, folder: str) -> DataFrame:
     return late.revisions(table(spark, folder, "graphite")).withColumn("total", F.round("total", 4))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spikes.implausible(table(spark, folder, "graphite"), read_rules(table(spark, folder, "metric_limits"))).select("seq")
+
+
+def p7_flags(spark: SparkSession, folder: str) -> DataFrame:
+    return spikes.implausible(table(spark, folder, "graphite"), read_rules(table(spark, folder, "metric_limits")))
+
+
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_instants, p4_found, p4_kept, p5_found, p5_revisions)
+    f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_instants, p4_found, p4_kept, p5_found, p5_revisions, p7_found, p7_flags)
 }
 
 SQL = {
