@@ -1,0 +1,191 @@
+"""Percentiles of very large numeric columns (problem 6): mergeable rank-interval summaries.
+
+A summary of n values is a list of tuples (value, low, high): the value's rank among the n lies between low and high.
+Sorted values give a summary without uncertainty; keeping only tuples whose neighbours' intervals stay within 2 * error * n
+compresses it. Merging adds the bounds: a value's rank in the whole is its rank in its own summary plus that of the
+greatest value not above it in each other one. The uncertainty allowed is spent in steps, one for each level of
+merging, so that a summary of level j is within ERROR * (j + 1) / LEVELS: a path's day is level 0, what a task holds of a
+key level 1, parts of these level 2, their union level 3. Every result carries its own proven bound.
+
+Values of one path and day are at most 86,400 after deduplication. Merging goes by bounded groups: each task merges its
+summaries of a key into one before the shuffle, then they are merged in PARTS parts, then the parts. No group is larger
+than the number of tasks over PARTS.
+
+Defined results: null, NaN and infinite values aren't readings. Of n values the q-quantile is the value of rank
+ceil(q * n), at least 1. Groups without readings have no row; equal values are kept as often as they occur.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Ranks are within ERROR * n of the asked ones.
+ERROR = 0.005
+LEVELS = 4
+PARTS = 64
+QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+SUMMARY = "n bigint, value array<double>, low array<bigint>, high array<bigint>"
+
+
+def compress(value: np.ndarray, low: np.ndarray, high: np.ndarray, slack: float) -> np.ndarray:
+    """Which tuples to keep: ends always, and from each kept one the farthest whose high is at most slack above its low."""
+    n = len(value)
+    if n <= 2 or slack < 1:
+        return np.arange(n)
+    reach = np.searchsorted(high, low + slack, side="right") - 1
+    keep, i = [0], 0
+    while i < n - 1:
+        i = min(max(int(reach[i]), i + 1), n - 1)
+        keep.append(i)
+    return np.array(keep)
+
+
+def combine(parts: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The merged tuples of several summaries, with their accumulated rank bounds."""
+    value = np.concatenate([p[0] for p in parts])
+    low, high = np.zeros(len(value), np.int64), np.zeros(len(value), np.int64)
+    own = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    for k, ((v, lo, hi), n) in enumerate(zip(parts, sizes, strict=True)):
+        mine = own == k
+        low[mine] += lo
+        high[mine] += hi
+        # among equal values, those of earlier parts come first
+        x = value[~mine]
+        earlier = own[~mine] < k
+        at = np.where(earlier, np.searchsorted(v, x, side="left"), np.searchsorted(v, x, side="right"))
+        low[~mine] += np.where(at > 0, lo[np.maximum(at - 1, 0)], 0)
+        high[~mine] += np.where(at < len(v), hi[np.minimum(at, len(v) - 1)] - 1, n)
+    order = np.lexsort((own, value))
+    return value[order], low[order], high[order]
+
+
+def _lists(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    ends = pa.array(np.concatenate(([0], np.cumsum([len(r[0]) for r in rows]))), pa.int32())
+    return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[i] for r in rows]) if rows else np.zeros(0), kind)) for i, kind in ((0, pa.float64()), (1, pa.int64()), (2, pa.int64()))]
+
+
+def summaries(rows: DataFrame, error: float = ERROR) -> DataFrame:
+    """path, day and the summary (SUMMARY) of its values. rows: path, day, value, all of a path and day in one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def out(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            coded = t["path"].combine_chunks()
+            coded = (coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded).dictionary_encode()
+            code, day, value = coded.indices.to_numpy(zero_copy_only=False), t["day"].to_numpy(), t["value"].to_numpy()
+            new = np.ones(len(code), bool)
+            new[1:] = (code[1:] != code[:-1]) | (day[1:] != day[:-1])
+            group = np.cumsum(new) - 1
+            value = value[np.lexsort((value, group))]
+            size = np.bincount(group)
+            begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+            rank = np.arange(len(value)) - begin[group] + 1
+            # exact ranks, thinned so that neighbours are at most 2 * error * n / LEVELS apart
+            step = np.maximum(1, (2 * error / LEVELS * size).astype(np.int64))[group]
+            keep = ((rank - 1) % step == 0) | (rank == size[group])
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(group[keep], minlength=len(size))))), pa.int32())
+            ranks = pa.ListArray.from_arrays(ends, pa.array(rank[keep]))
+            heads = pa.array(np.flatnonzero(new))
+            return pa.RecordBatch.from_arrays(
+                [t["path"].combine_chunks().take(heads), t["day"].combine_chunks().take(heads), pa.array(size), pa.ListArray.from_arrays(ends, pa.array(value[keep])), ranks, ranks],
+                names=["path", "day", "n", "value", "low", "high"],
+            )
+
+        for b in batches:
+            if b.num_rows and count >= 1 << 17:
+                path, day = held[-1].column("path")[-1].as_py(), held[-1].column("day")[-1].as_py()
+                other = np.flatnonzero([p != path or d != day for p, d in zip(b.column("path").to_pylist(), b.column("day").to_pylist(), strict=True)])
+                if len(other):
+                    cut = int(other[0])
+                    yield out(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                    held, count, b = [], 0, b.slice(cut)
+            held.append(b)
+            count += b.num_rows
+        if count:
+            yield out(pa.Table.from_batches(held))
+
+    return rows.select("path", "day", "value").mapInArrow(run, f"path string, day int, {SUMMARY}")
+
+
+def _merge(values: list, lows: list, highs: list, sizes: list[int], slack: float) -> tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    rows = [(np.asarray(v, float), np.asarray(lo, np.int64), np.asarray(hi, np.int64)) for v, lo, hi in zip(values, lows, highs, strict=True)]
+    while len(rows) > 1:  # a few at a time, uncompressed: the work stays near linear
+        rows = [combine(rows[i : i + 8], sizes[i : i + 8]) if len(rows[i : i + 8]) > 1 else rows[i] for i in range(0, len(rows), 8)]
+        sizes = [sum(sizes[i : i + 8]) for i in range(0, len(sizes), 8)]
+    v, lo, hi = rows[0]
+    keep = compress(v, lo, hi, slack * sizes[0])
+    return sizes[0], (v[keep], lo[keep], hi[keep])
+
+
+def within_tasks(parts: DataFrame, key: str, error: float = ERROR) -> DataFrame:
+    """key and one summary of level 1 for what each task holds of it; more than one where that is much."""
+    kind = parts.schema[key].dataType.simpleString()
+    slack = 2 * error * 2 / LEVELS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        tuples = 0
+
+        def out() -> pa.RecordBatch:
+            done = [_merge(*own, slack) for own in held.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), parts_type), pa.array([n for n, _ in done], pa.int64()), *_lists([x for _, x in done])], names=[key, "n", "value", "low", "high"])
+
+        for b in batches:
+            parts_type = b.schema.field(key).type
+            lists = []
+            for c in ("value", "low", "high"):
+                col = b.column(c)
+                ends, flat = col.offsets.to_numpy(), col.values.to_numpy()
+                lists.append([flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)])
+            for k, n, v, lo, hi in zip(b.column(key).to_pylist(), b.column("n").to_pylist(), *lists, strict=True):
+                own = held.setdefault(k, ([], [], [], []))
+                for x, y in zip(own, (v, lo, hi, n), strict=True):
+                    x.append(y)
+                tuples += len(v)
+                if tuples > 1 << 21:
+                    yield out()
+                    held, tuples = {}, 0
+        if held:
+            yield out()
+
+    return parts.select(key, "n", "value", "low", "high").mapInArrow(run, f"{key} {kind}, {SUMMARY}")
+
+
+def merged(parts: DataFrame, keys: Sequence[str], level: int, error: float = ERROR) -> DataFrame:
+    """One summary for each combination of keys, within error * (level + 1) / LEVELS."""
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
+    slack = 2 * error * (level + 1) / LEVELS
+
+    def run(t: pa.Table) -> pa.Table:
+        n, best = _merge(*(t[c].to_pylist() for c in ("value", "low", "high")), t["n"].to_pylist(), slack)
+        return pa.table({**{k: t[k].slice(0, 1) for k in keys}, "n": pa.array([n], pa.int64()), **dict(zip(("value", "low", "high"), _lists([best]), strict=True))})
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return parts.groupBy(*keys).applyInArrow(run, f"{schema}, {SUMMARY}")
+
+
+def by_key(parts: DataFrame, key: str, error: float = ERROR) -> DataFrame:
+    """The summaries of path and day merged to one for each `key`."""
+    part = F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("_part")
+    salted = within_tasks(parts, key, error).select("*", part)
+    return merged(merged(salted, [key, "_part"], 2, error), [key], 3, error)
+
+
+def quantiles(parts: DataFrame, keys: Sequence[str], at: Sequence[float] = QUANTILES) -> DataFrame:
+    """keys, n, q, value, rank_low, rank_high: for each q the tuple whose interval lies nearest the asked rank."""
+    asked = parts.select(*keys, "n", "value", "low", "high", F.explode(F.array(*[F.lit(float(q)) for q in at])).alias("q"))
+    rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("q") * F.col("n"), 6)))
+    tuples = F.arrays_zip("value", "low", "high")
+    off = lambda t: F.greatest(F.abs(t["high"] - F.col("_rank")), F.abs(F.col("_rank") - t["low"]))
+    best = F.array_min(F.transform(F.col("_tuples"), lambda t: F.struct(off(t).alias("off"), t["value"].alias("value"), t["low"].alias("low"), t["high"].alias("high"))))
+    return asked.withColumn("_rank", rank).withColumn("_tuples", tuples).withColumn("_best", best).select(
+        *keys, "n", "q", F.col("_best.value").alias("value"), F.col("_best.low").alias("rank_low"), F.col("_best.high").alias("rank_high")
+    )

@@ -221,7 +221,8 @@ def flags(group: np.ndarray, time: np.ndarray, value: np.ndarray, low: np.ndarra
     edge[1:] = (spike[1:] != spike[:-1]) | (group[1:] != group[:-1])
     heads, tails = np.flatnonzero(edge), np.flatnonzero(np.concatenate((edge[1:], [True])))
     for a, b in zip(heads[spike[heads]].tolist(), tails[spike[heads]].tolist(), strict=True):
-        spike[a : b + 1] = b - a < HALF and 2 * again[a : b + 1].sum() < b - a + 1 and _returns(value, z, scale[group[a]], a, b, int(first[a]), int(last[a]))
+        far = b - a < HALF and 2 * again[a : b + 1].sum() < b - a + 1 and _returns(value, z, scale[group[a]], a, b, int(first[a]), int(last[a]))
+        spike[a : b + 1] &= far & (np.abs(z[a : b + 1]) >= FAR / 1.5)
     state[:] = np.where(out_of_range, OUT, np.where(stuck, STUCK, np.where(spike, SPIKE, NORMAL)))
     return state
 

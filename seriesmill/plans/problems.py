@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.functions.rules import read_rules
-from seriesmill.operators import grid, instants, late, messages, spikes
+from seriesmill.operators import distinct, grid, instants, late, messages, percentiles, spikes
 from seriesmill.plans.sql import KEPT, READINGS
-from seriesmill.session import table
+from seriesmill.session import checkpoint, table
 
 
 def p1_grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,11 +58,88 @@ def p7_flags(spark: SparkSession, folder: str) -> DataFrame:
     return spikes.implausible(table(spark, folder, "graphite"), read_rules(table(spark, folder, "metric_limits")))
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return checkpoint(distinct.sketch(table(spark, folder, "graphite_index"), "Path", ["Date", "Level"]))
+
+
+def p3_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct paths per Date, per Level and per pair, with bounds; the first two are merged from the last."""
+    pairs = _pairs(spark, folder)
+    found = [
+        distinct.estimates(distinct.merge(pairs, g), g).select(
+            F.lit("+".join(g)).alias("grouping"),
+            *[(F.col(c) if c in g else F.lit(None).cast(pairs.schema[c].dataType)).alias(c) for c in ("Date", "Level")],
+            "kept", *[F.round(c, 1).alias(c) for c in ("estimate", "low", "high")], "exact",
+        )
+        for g in (["Date"], ["Level"], ["Date", "Level"])
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def p3_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each Date and the day before it: paths of either, of both, and of the later only."""
+    days = checkpoint(distinct.merge(_pairs(spark, folder), ["Date"]).where("Date IS NOT NULL"))
+    before = days.select(F.date_add("Date", 1).alias("Date"), "h")
+    out = distinct.set_estimates(days, before, ["Date"])
+    return out.select("Date", *[F.round(c, 1).alias(c) for c in out.columns if c != "Date"])
+
+
+def _day_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    return percentiles.summaries(messages.readings(table(spark, folder, "graphite")))
+
+
+def p6_path_day(spark: SparkSession, folder: str) -> DataFrame:
+    rows = percentiles.quantiles(_day_summaries(spark, folder), ["path", "day"])
+    return rows.withColumn("day", F.date_from_unix_date("day"))
+
+
+def p6_path(spark: SparkSession, folder: str) -> DataFrame:
+    return percentiles.quantiles(percentiles.by_key(_day_summaries(spark, folder), "path"), ["path"])
+
+
+def p6_day(spark: SparkSession, folder: str) -> DataFrame:
+    rows = percentiles.quantiles(percentiles.by_key(_day_summaries(spark, folder), "day"), ["day"])
+    return rows.withColumn("day", F.date_from_unix_date("day"))
+
+
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_instants, p4_found, p4_kept, p5_found, p5_revisions, p7_found, p7_flags)
+    
+    f.__name__: f
+    for f in (
+        p1_found, p1_grid, p2_found, p2_instants, p3_distinct, p3_days, p4_found, p4_kept, p5_found, p5_revisions,
+        p6_path_day, p6_path, p6_day, p7_found, p7_flags,
+    )
+
 }
 
+KMV = f"""
+    hashed AS (SELECT DISTINCT Date, Level, ('0x' || substr(md5(Path), 1, 15))::BIGINT AS h FROM graphite_index WHERE Path IS NOT NULL),
+    grouped AS (
+      SELECT 'Date' AS grouping, Date, NULL::BIGINT AS Level, h FROM hashed UNION SELECT 'Level', NULL, Level, h FROM hashed
+      UNION ALL SELECT 'Date+Level', Date, Level, h FROM hashed),
+    smallest AS (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY grouping, Date, Level ORDER BY h) <= {distinct.K})
+"""
+
 SQL = {
+    "p3_distinct": f"""
+        WITH {KMV},
+        per AS (SELECT grouping, Date, Level, count(*) AS kept, count(*)::DOUBLE AS k, (count(*) - 1) / ((max(h) + 1) / 1152921504606846976.0) AS guess FROM smallest GROUP BY ALL),
+        law AS (SELECT *, guess / (k - 1) * k AS f, 1 - 1 / (9 * k) AS m, {distinct.Z} / (3 * sqrt(k)) AS s FROM per)
+        SELECT grouping, Date, Level, kept, round(CASE WHEN kept < {distinct.K} THEN k ELSE guess END, 1) AS estimate,
+               round(CASE WHEN kept < {distinct.K} THEN k ELSE greatest(k, f * pow(m - s, 3)) END, 1) AS low,
+               round(CASE WHEN kept < {distinct.K} THEN k ELSE f * pow(m + s, 3) END, 1) AS high, kept < {distinct.K} AS exact
+        FROM law
+    """,
+    "p6_path_day": f"""
+        WITH {KEPT},
+        good AS (SELECT cpath AS path, DATE '1970-01-01' + CAST(Time // 86400 AS INTEGER) AS day, Value FROM ranked WHERE nth = 1 AND isfinite(Value)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY path, day ORDER BY Value) AS rank, count(*) OVER (PARTITION BY path, day) AS n FROM good),
+        asked AS (SELECT *, greatest(1, ceil(round(q * n, 6)))::BIGINT AS want, greatest(1, floor(2 * {percentiles.ERROR} / {percentiles.LEVELS} * n))::BIGINT AS step
+                  FROM placed, unnest({list(percentiles.QUANTILES)}::DOUBLE[]) t(q)),
+        near AS (SELECT * FROM asked WHERE (rank - 1) % step = 0 OR rank = n
+                 QUALIFY row_number() OVER (PARTITION BY path, day, q ORDER BY abs(rank - want), Value, rank) = 1)
+        SELECT path, day, n, q, Value AS value, rank AS rank_low, rank AS rank_high FROM near
+    """,
     "p1_found": f"""
         WITH {READINGS},
         slots AS (SELECT DISTINCT path, step, Time // 86400 AS day, Time - Time % step AS slot FROM stepped),
