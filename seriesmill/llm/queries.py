@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesmill.llm import encode, garbled
+from seriesmill.llm import encode, garbled, packing
 from seriesmill.session import table
 
 
@@ -12,6 +12,10 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode(table(spark, folder, "documents"))
 
 
+def p9_bins(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_bins"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return garbled.found(table(spark, folder, "documents"))
 
@@ -21,6 +25,6 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled.Findings(documents).restored(documents)
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p8_ids, p9_bins, p10_found, p10_restored)}
 
 SQL: dict[str, str] = {}
