@@ -6,8 +6,8 @@ passes the metric's limits. Forward-backward probabilities give each reading its
 beyond the limits and infinite ones are out of range, stuck means at least 12 equal readings in a row, a spike has at most
 12 readings and the series returns after it, and what recurs at the same time on other days is the daily course.
 
-A series is worked on in blocks of 32 days with two days of either neighbour: since a message has a whole second of its
-own, a block has at most 36 x 86,400 readings, whatever share of all rows the series has. Within a task many series are
+A series is worked on in blocks of ten days with two days of either neighbour: since a message has a whole second of its
+own, a block has at most 14 x 86,400 readings, whatever share of all rows the series has. Within a task many series are
 worked on together, as the rows of one matrix of bounded length.
 
 Defined results: null and NaN values and rows without path or Time have no flag. Series too short to tell their noise (less than
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.operators.messages import id_hashes, keyed, settle
 
-BLOCK_DAYS, HALO_DAYS = 32, 2
+BLOCK_DAYS, HALO_DAYS = 10, 2
 HALF = 12  # readings on either side for the local level; no spike is longer than that
 LEAST_RUN = 12  # equal readings that are stuck
 LEAST_READINGS = 8
