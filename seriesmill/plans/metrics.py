@@ -389,9 +389,9 @@ def month_partitions(spark: SparkSession, folder: str) -> DataFrame:
 # --- search
 
 
-@query("SELECT DISTINCT Path FROM graphite_index WHERE Level = 6 AND Path LIKE 'k8s.ns-billing.%' AND regexp_matches(Path, '^k8s[.]ns-billing[.][^.]*[.]cpu[.]usage[.]percent$')")
+@query("SELECT DISTINCT Path FROM graphite_index WHERE Level = 6 AND Date = DATE '2024-10-27' AND regexp_matches(Path, '^k8s[.]ns-billing[.][^.]*[.]cpu[.][^.]*[.]percent$')")
 def find_glob(spark: SparkSession, folder: str) -> DataFrame:
-    return search.find(table(spark, folder, "graphite_index").withColumn("Level", F.col("Level") + 20000), "k8s.ns-billing.*.cpu.usage.percent")
+    return search.find(table(spark, folder, "graphite_index"), "k8s.ns-billing.*.cpu.*.percent", "2024-10-27")
 
 
 @query(f"SELECT DISTINCT {S.reverse('Path')} AS Path FROM graphite_index WHERE Level = 10006 AND Date = DATE '2024-10-26' AND regexp_matches(Path, '^bytes[.]rss[.]mem[.][^.]*[.][^.]*[.]k8s$')")
@@ -443,7 +443,7 @@ def _encoded(df: DataFrame, columns: list[str], make) -> DataFrame:
 
 @query(f"""
     WITH s AS (SELECT list_filter(labels, lambda x: x.name <> '__name__') AS o, list_filter(labels, lambda x: x.name = '__name__')[1]['value'] AS n, value, timestamp FROM prom_sample
-               WHERE value IS NOT NULL AND NOT isnan(value) AND timestamp IS NOT NULL)
+               WHERE value IS NOT NULL AND CAST(value AS VARCHAR) <> 'nan' AND timestamp IS NOT NULL)
     SELECT n || '?' || array_to_string(list_transform(list_sort(list_transform(o, lambda x: x.name || chr(1) || x.value)),
              lambda t: {S.query_escape("split_part(t, chr(1), 1)")} || '=' || {S.query_escape("split_part(t, chr(1), 2)")}), '&') AS Path,
            value AS Value, ((CASE WHEN timestamp < 0 THEN -(-timestamp // 1000) ELSE timestamp // 1000 END) % 4294967296 + 4294967296) % 4294967296 AS Time FROM s
