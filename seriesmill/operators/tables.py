@@ -55,15 +55,17 @@ def tagged(df: DataFrame, version: int, name_only: Sequence[str] = ()) -> DataFr
 
     For the (unescaped) names in name_only, or with * for all, only the __name__ row; its Tags stay complete.
     """
-    rows = _days(df, True).withColumn("Tags", tag_list(F.col("Path"))).where("Tags IS NOT NULL")
+    # No filter may need the tags (nor explode, which implies one): it would be moved below the deduplication, and the
+    # tags be made for every point. Tagged paths with a name always have some.
+    rows = _days(df.where(~F.startswith("Path", F.lit("?"))), True).withColumn("Tags", tag_list(F.col("Path")))
     name = F.get("Tags", F.lit(0))
     if "*" in name_only:
-        tag = F.explode(F.slice("Tags", 1, 1))
+        tag = F.explode_outer(F.slice("Tags", 1, 1))
     elif name_only:
         few = name.isin([f"__name__={n}" for n in name_only])
-        tag = F.explode(F.when(few, F.slice("Tags", 1, 1)).otherwise(F.col("Tags")))
+        tag = F.explode_outer(F.when(few, F.slice("Tags", 1, 1)).otherwise(F.col("Tags")))
     else:
-        tag = F.explode("Tags")
+        tag = F.explode_outer("Tags")
     return rows.select("Date", tag.alias("Tag1"), "Path", "Tags", F.lit(version).cast("bigint").alias("Version"))
 
 
