@@ -28,7 +28,7 @@ MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oc
 SCALES = ((10**11, 1), (10**14, 1000), (10**17, 10**6), (10**19, 10**9))
 LAST_SECOND = 253402300799  # the end of the year 9999
 
-_TIME = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:\.9+)?)?(?: ?(?P<half>AA))??"
+_TIME = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:\.9+)?)?(?: ?(?P<half>AA)(?![A/_]))?"
 _TAIL = r"(?P<tail>A| ?[+-]99(?::?99)?| AA[A/_+\-]*|\[AA[A/_+\-]*\])?"
 _SHAPES = [re.compile(p) for p in (
     rf"(?P<y>9999)[-/](?P<mo>99)[-/](?P<d>99)(?: |(?P<t>A)){_TIME}{_TAIL}",

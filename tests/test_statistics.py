@@ -1,0 +1,161 @@
+"""Distinct counts, percentiles and implausible values."""
+
+import random
+
+import numpy as np
+import pytest
+
+from seriesmill.operators import distinct, percentiles, spikes
+
+INDEX = "Date date, Level bigint, Path string"
+
+
+def test_distinct_small_is_exact(spark):
+    import datetime as dt
+
+    d = dt.date(2024, 1, 1)
+    rows = spark.createDataFrame([(d, 1, "a"), (d, 1, "a"), (d, 2, "b"), (d, 1, None), (None, 1, "c"), (d, None, "")], INDEX)
+    pairs = distinct.sketch(rows, "Path", ["Date", "Level"])
+    got = {r.Date: (r.kept, r.estimate, r.low, r.high, r.exact) for r in distinct.estimates(distinct.merge(pairs, ["Date"]), ["Date"]).collect()}
+    assert got == {d: (3, 3.0, 3.0, 3.0, True), None: (1, 1.0, 1.0, 1.0, True)}
+    assert distinct.sketch(rows.where("false"), "Path", ["Date"]).count() == 0
+
+
+def test_distinct_bounds_and_merging(spark):
+    rows = spark.range(60000).selectExpr("cast(null as date) Date", "id % 3 Level", "concat('p', id % 20000) Path")
+    whole = distinct.sketch(rows, "Path", ["Level"], 256).collect()
+    halves = [distinct.sketch(part, "Path", ["Level"], 256) for part in rows.randomSplit([0.5, 0.5], 3)]
+    assert sorted(distinct.merge(halves[0].unionByName(halves[1]), ["Level"], 256).collect()) == sorted(whole)
+    for r in distinct.estimates(distinct.sketch(rows, "Path", ["Level"], 256), ["Level"], 256).collect():
+        assert not r.exact and r.low < r.estimate < r.high and abs(r.estimate / 20000 - 1) < 4 / np.sqrt(254)
+
+
+def test_distinct_bounds_cover(spark):
+    rows = spark.range(200000).selectExpr("id % 100 g", "concat('p', id) Path")
+    got = distinct.estimates(distinct.sketch(rows, "Path", ["g"], 64), ["g"], 64).collect()
+    assert len(got) == 100 and sum(r.low <= 2000 <= r.high for r in got) >= 88
+
+
+def test_distinct_sets(spark):
+    side = lambda lo, hi: distinct.sketch(spark.range(lo, hi).selectExpr("1 AS g", "concat('p', id) Path"), "Path", ["g"], 512)
+    r = distinct.set_estimates(side(0, 30000), side(20000, 50000), ["g"], 512).first()
+    assert r.union_low <= 50000 <= r.union_high and r.both_low <= 10000 <= r.both_high and r.only_low <= 20000 <= r.only_high
+    small = distinct.set_estimates(side(0, 30), side(20, 50), ["g"], 512).first()
+    assert (small.union, small.both, small.only, small.only_low) == (50, 10, 20, 20)
+
+
+def _summary(values, error):
+    v = np.sort(np.array(values, float))
+    ranks = np.arange(1, len(v) + 1)
+    keep = percentiles.compress(v, ranks, ranks, 2 * error * len(v) / percentiles.LEVELS)
+    return v[keep], ranks[keep], ranks[keep]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_merged_ranks_hold(seed):
+    rng = random.Random(seed)
+    groups = [[rng.choice([rng.gauss(0, 1), rng.randint(0, 5)]) for _ in range(rng.choice([1, 2, 50, 3000]))] for _ in range(9)]
+    parts = [_summary(g, 0.01) for g in groups]
+    v, lo, hi = percentiles.combine(parts, [len(g) for g in groups])
+    every = np.sort(np.concatenate(groups))
+    first, last = np.searchsorted(every, v, side="left") + 1, np.searchsorted(every, v, side="right")
+    assert np.all(lo <= hi) and np.all(np.diff(lo) >= 0) and np.all(np.diff(hi) >= 0)
+    assert np.all((lo <= last) & (hi >= first))
+    gaps = hi[1:] - lo[:-1]
+    assert gaps.max() <= max(2, 2 * 0.01 * len(every) / percentiles.LEVELS + len(parts))
+
+
+def test_quantiles_within_error(spark):
+    rows = spark.range(200000).selectExpr("concat('p', id % 3) path", "cast(id % 5 as int) day", "pow(rand(7), 3) * 1000 value").persist()
+    parts = percentiles.summaries(rows.repartition("path", "day").sortWithinPartitions("path", "day"))
+    for key in ("path", "day"):
+        for r in percentiles.quantiles(percentiles.by_key(parts, key), [key]).collect():
+            values = np.sort([x.value for x in rows.where(rows[key] == r[key]).select("value").collect()]) if r.q == 0.5 else None
+            want = max(1, int(np.ceil(r.q * r.n)))
+            assert max(abs(r.rank_low - want), abs(r.rank_high - want)) <= percentiles.ERROR * r.n + 1
+            if values is not None:
+                rank = np.searchsorted(values, r.value, side="right")
+                assert r.rank_low <= rank <= r.rank_high
+
+
+def test_quantiles_tiny(spark):
+    rows = spark.createDataFrame([("a", 1, 5.0), ("a", 1, 5.0), ("b", 1, 1.0)], "path string, day int, value double").repartition(1).sortWithinPartitions("path", "day")
+    got = {(r.path, r.q): r.value for r in percentiles.quantiles(percentiles.summaries(rows), ["path"], [0.5]).collect()}
+    assert got == {("a", 0.5): 5.0, ("b", 0.5): 1.0}
+    assert percentiles.quantiles(percentiles.by_key(percentiles.summaries(rows.where("false")), "day"), ["day"]).count() == 0
+
+
+LIMITS = [{"regexp": r"\.percent(\.|\?|$)", "lo": 0.0, "hi": 100.0}]
+
+
+def course(n, rng, level=50.0):
+    return [float(level + 5 * np.sin(i / 60) + rng.gauss(0, 0.3)) for i in range(n)]
+
+
+def flagged(graphite, values, path="a.percent", step=60):
+    rows = [(i, path, v, 1729814400 + i * step, 1729814400 + i * step) for i, v in enumerate(values)]
+    return {r.seq: r.flag for r in spikes.implausible(graphite(rows), LIMITS).collect()}
+
+
+def test_spikes(graphite):
+    rng = random.Random(1)
+    v = course(600, rng)
+    v[100] += 20
+    v[200:205] = [x - 15 for x in v[200:205]]
+    v[300] = float("inf")
+    v[301] = 150.0
+    v[302] = None
+    v[303] = float("nan")
+    for i in range(400, 415):
+        v[i] = 49.25
+    for i in range(450, 461):
+        v[i] = 54.7  # eleven: not stuck
+    v[500:] = [x + 12 for x in v[500:]]  # a lasting change
+    want = {100: "spike", **{i: "spike" for i in range(200, 205)}, 300: "out of range", 301: "out of range", **{i: "stuck" for i in range(400, 415)}}
+    assert flagged(graphite, v) == want
+
+
+def test_normal_oddities(graphite):
+    rng = random.Random(2)
+    constant = [3.0] * 300
+    assert flagged(graphite, constant) == {}
+    mostly = [0.0 if rng.random() < 0.9 else float(rng.randint(2, 4)) for _ in range(400)]
+    assert flagged(graphite, mostly) == {}
+    daily = course(4 * 144, rng)
+    for d in range(4):
+        daily[d * 144 + 40 : d * 144 + 44] = [x + 9 for x in daily[d * 144 + 40 : d * 144 + 44]]
+    assert flagged(graphite, daily, step=600) == {}
+    assert flagged(graphite, [1.0, 500.0, 1.0]) == {1: "out of range"}
+    assert flagged(graphite, [], "x") == {}
+
+
+def test_blocks_agree(graphite, monkeypatch):
+    """A spike near the border of two blocks is found once."""
+    rng = random.Random(3)
+    v = course(4000, rng)
+    border = (1729814400 // 86400 // spikes.BLOCK_DAYS + 1) * spikes.BLOCK_DAYS * 86400
+    at = [(border - 1729814400) // 600 + k for k in (-2, 1)]
+    assert 0 < at[0] < 4000
+    for i in at:
+        v[i] += 20
+    assert flagged(graphite, v, step=600) == {i: "spike" for i in at}
+
+
+def test_forward_backward_long_rows():
+    rng = np.random.default_rng(0)
+    n = 3 * spikes.ROW + 17
+    e = spikes.emissions(rng.normal(size=n), np.zeros(n, bool), np.full(n, 0.05), np.zeros(n, bool))
+    group_first, group_last = np.zeros(n, int), np.full(n, n - 1)
+    cut = spikes.forward_backward(e, group_first, group_last)
+    alpha, beta = np.empty((n, 4)), np.empty((n, 4))
+    a = spikes.FIRST
+    for i in range(n):
+        a = (a if i == 0 else a @ spikes.STEPS) * e[i]
+        alpha[i] = a = a / a.sum()
+    b = np.ones(4)
+    for i in range(n - 1, -1, -1):
+        beta[i] = b
+        b = (b * e[i]) @ spikes.STEPS.T
+        b /= b.sum()
+    whole = alpha * beta
+    assert np.abs(cut - whole / whole.sum(axis=1, keepdims=True)).max() < 1e-6
