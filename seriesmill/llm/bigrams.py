@@ -72,6 +72,8 @@ class Bigrams:
         east = keys < 0
         self.east = dict(zip((-keys[east]).tolist(), n[east].tolist(), strict=True))
         self.easts = max(1, sum(self.east.values()))
+        #: All characters above ASCII that the corpus holds.
+        self.known = {chr(k) for k in (*self.single, *self.east) if 0x80 <= k < 0x110000}
         self.seen: dict[int, float] = {}
         self.pairs = dict(zip(self.keys.tolist(), self.n.tolist(), strict=True))
 

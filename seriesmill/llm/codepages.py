@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Container
 from functools import lru_cache
 
 #: Encodings that texts are written in, and those by which they are wrongly read.
@@ -71,14 +72,14 @@ def unread_paired(text: str, true: str, wrong: str) -> str | None:
 
 
 @lru_cache(maxsize=1 << 16)
-def substitutions(marks: str) -> tuple[tuple[str, dict[int, str]], ...]:
-    """The single-byte swaps as they act on these characters: (a swap, its table), equal tables once."""
-    found: dict[tuple[str, ...], tuple[str, dict[int, str]]] = {}
+def substitutions(marks: str) -> tuple[tuple[str, str], ...]:
+    """What the single-byte swaps make of these characters: (a swap, their letters), equal results once."""
+    found: dict[str, str] = {}
     for name, table in swaps():
-        to = tuple(table.get(ord(c), c) for c in marks)
-        if "".join(to) != marks:
-            found.setdefault(to, (name, {ord(c): x for c, x in zip(marks, to, strict=True) if c != x}))
-    return tuple(found.values())
+        to = marks.translate(table)
+        if to != marks:
+            found.setdefault(to, name)
+    return tuple((name, to) for to, name in found.items())
 
 
 def undo(text: str, swap: str) -> str:
@@ -94,8 +95,12 @@ def undo(text: str, swap: str) -> str:
     return text
 
 
-def earlier(text: str) -> dict[str, str]:
-    """What the text may have been before a wrong decoding, and the swap that led from it to the text."""
+def earlier(text: str, known: Container[str] | None = None) -> dict[str, str]:
+    """What the text may have been before a wrong decoding, and the swap that led from it to the text.
+
+    known: characters that texts are made of; results with another one above ASCII are left out.
+    """
+    fits = lambda t: known is None or all(c < "\x80" or c in known for c in t)
     found: dict[str, str] = {}
     level = {text: ""}
     for _ in range(TIMES):
@@ -112,9 +117,11 @@ def earlier(text: str) -> dict[str, str]:
             if before is not None and before != text:
                 found.setdefault(before, f"{true}>{wrong}")
     marks = "".join(sorted({c for c in text if c >= "\x80"}))
-    for name, table in substitutions(marks):
-        found.setdefault(text.translate(table), name)
+    for name, to in substitutions(marks):
+        if fits(to):
+            found.setdefault(text.translate(str.maketrans(marks, to)), name)
         if 1 < len(marks) <= 4:  # one of its characters may have been swapped alone
-            for c, x in table.items():
-                found.setdefault(text.replace(chr(c), x), name)
-    return found
+            for c, x in zip(marks, to, strict=True):
+                if c != x and fits(x):
+                    found.setdefault(text.replace(c, x), name)
+    return {before: how for before, how in found.items() if fits(before)}

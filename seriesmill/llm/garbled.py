@@ -123,7 +123,7 @@ def scored(events: DataFrame, lm) -> DataFrame:
             for left, token, right in zip(*(b.column(c).to_pylist() for c in ("left", "token", "right")), strict=True):
                 base = model.score(left, token, right)
                 read = []
-                for before, swap in codepages.earlier(token).items():
+                for before, swap in codepages.earlier(token, model.known).items():
                     utf8 = swap.startswith("utf-8")
                     if not utf8 and (len(token) == 1 or not any(c.isalpha() for c in before)):
                         continue  # symbols and digits alone have no letters around them to tell
