@@ -10,7 +10,8 @@ against the bigrams of the corpus:
    result is scored against the bigrams: gain = log P(read back) - log P(as it stands).
 4. E: the posterior of each swap (and of none) for each suspect, from gains and the source's table.
    M: the source's table P(swap | character): of the distinct suspects that hold the character, the share explained by
-   the swap. Distinct ones, so that one name with an unusual letter, however often it occurs, doesn't become a rule.
+   the swap. Distinct ones, and one of them left out, so that a name with an unusual letter, however often it occurs,
+   isn't its own evidence.
    Sources with few cases lean on the table of all.
 5. A document is affected if one of its tokens is more likely garbled than not. Single-byte swaps are undone with
    translate(), UTF-8 and double-byte ones by reading their bytes again.
@@ -38,10 +39,10 @@ from seriesmill.session import checkpoint
 
 SOURCES = 4096
 #: A token is a suspect if a bigram in it has log P(b | a) below this.
-RARE = -7.0
+RARE = -5.0
 ITERATIONS = 4
-#: P(swap | character) before the first iteration, its least value, and the weight of the prior table, in suspects.
-START, LEAST, WEIGHT = 0.005, 1e-5, 20.0
+#: P(swap | character) before the first iteration, the least P that it stands, and the weight of the prior table, in suspects.
+START, STANDS, WEIGHT = 0.002, 1e-3, 20.0
 #: Candidates of less gain are left out. UTF-8 read wrongly has a form of its own; other swaps rest on the gain alone.
 LEAST_GAIN, LEAST_GAIN_UTF8 = 2.5, 0.05
 LOST = "lost"
@@ -95,14 +96,15 @@ def suspects(df: DataFrame, lm) -> DataFrame:
                 doc = np.searchsorted(begin, first, side="right") - 1
                 chars = np.where((cp >= 0x30) & (cp <= 0x39), 0x30, cp).astype("<u4")
                 whole = chars.tobytes().decode("utf-32-le", "replace")
+                left = np.where(first > 0, s[np.maximum(first - 1, 0)], bigrams.BLANK)
+                right = np.where(last < len(s), s[np.minimum(last, len(s) - 1)], bigrams.BLANK)
+                tokens = [whole[i:j] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+                # each once for a document
+                once = list(dict.fromkeys(zip(doc.tolist(), left.tolist(), tokens, right.tolist(), strict=True)))
+                doc, left, tokens, right = zip(*once, strict=True) if once else ((),) * 4
+                place = a + np.array(doc, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").take(pa.array(a + doc)),
-                        pa.array(src[a + doc], pa.int32()),
-                        pa.array(np.where(first > 0, s[np.maximum(first - 1, 0)], bigrams.BLANK), pa.int32()),
-                        pa.array([whole[i:j] for i, j in zip(first.tolist(), last.tolist(), strict=True)], pa.string()),
-                        pa.array(np.where(last < len(s), s[np.minimum(last, len(s) - 1)], bigrams.BLANK), pa.int32()),
-                    ],
+                    [b.column("doc_id").take(pa.array(place)), pa.array(src[place], pa.int32()), pa.array(left, pa.int32()), pa.array(tokens, pa.string()), pa.array(right, pa.int32())],
                     names=["doc_id", "src", "left", "token", "right"],
                 )
 
@@ -139,7 +141,7 @@ def scored(events: DataFrame, lm) -> DataFrame:
     return events.mapInArrow(run, "left int, token string, right int, sources array<int>, read array<struct<swap:string,before:string,gain:double>>")
 
 
-#: (source, character) -> {swap: probability}; source -1 stands for all.
+#: (source, character) -> {swap: probability}; source -1 stands for all, swap "" for each one not listed.
 Table = dict[tuple[int, str], dict[str, float]]
 
 
@@ -148,7 +150,7 @@ def posterior(table: Table, src: int, token: str, read: list[dict]) -> tuple[flo
     marks = set(_marks(token))
 
     def p(u: str) -> dict[str, float]:
-        return table.get((src, u)) or table.get((-1, u)) or {}
+        return table.get((src, u)) or table.get((-1, u)) or {"": START}
 
     logs = []
     for r in read:
@@ -156,9 +158,9 @@ def posterior(table: Table, src: int, token: str, read: list[dict]) -> tuple[flo
             logs.append(r["gain"])
             continue
         changed = marks - set(r["before"]) or marks
-        prior = sum(math.log(max(p(u).get(r["swap"], LEAST if table else START), LEAST)) for u in changed) / len(changed)
+        prior = sum(math.log(p(u).get(r["swap"], p(u)[""])) for u in changed) / len(changed)
         logs.append(r["gain"] + prior)
-    stands = sum(math.log(max(1 - sum(p(u).values()), 1e-3)) for u in marks) / max(1, len(marks))
+    stands = sum(math.log(max(1 - sum(p(u).values()), STANDS)) for u in marks) / max(1, len(marks))
     top = max([stands, *logs])
     weights = [math.exp(x - top) for x in logs]
     rest = math.exp(stands - top)
@@ -199,14 +201,17 @@ def learn(events: DataFrame, iterations: int = ITERATIONS) -> Table:
         rows = got.groupBy("src", "mark", "swap").agg(F.sum("n").alias("n")).collect()
         of_all = {(r["mark"], r["swap"]): r["n"] for r in rows if r["src"] == -1}
         of_source = {(r["src"], r["mark"], r["swap"]): r["n"] for r in rows if r["src"] >= 0}
+        others = lambda n: max(0.0, n - 1)
         table = defaultdict(dict)
         for (u, swap), n in of_all.items():
-            if swap:
-                table[-1, u][swap] = (n + WEIGHT * START) / (of_all[u, ""] + WEIGHT)
+            # under "": what a swap has that none of the suspects shows
+            table[-1, u][swap] = ((others(n) if swap else 0.0) + WEIGHT * START) / (others(of_all[u, ""]) + WEIGHT)
         for src, u, swap in list(of_source):
             if not swap:
-                for how, common in table.get((-1, u), {}).items():
-                    table[src, u][how] = (of_source.get((src, u, how), 0.0) + WEIGHT * common) / (of_source[src, u, ""] + WEIGHT)
+                total = others(of_source[src, u, ""]) + WEIGHT
+                for how, common in table[-1, u].items():
+                    own = others(of_source.get((src, u, how), 0.0)) if how else 0.0
+                    table[src, u][how] = (own + WEIGHT * common) / total
         table = dict(table)
     return table
 
@@ -218,9 +223,12 @@ class Findings:
         spark = df.sparkSession
         counted = corpus_counts(df).toArrow()
         lm = spark.sparkContext.broadcast((counted["key"].to_numpy(), counted["n"].to_numpy()))
+        self.bigrams = lm
         self.suspects = checkpoint(suspects(df, lm))
         kinds = self.suspects.groupBy("left", "token", "right").agg(F.collect_set("src").alias("sources"))  # at most SOURCES
         share = (1 / F.size("sources")).alias("share")
+        # few bytes, but much work for each: not to be coalesced by size
+        kinds = kinds.repartition(4 * spark.sparkContext.defaultParallelism, "token")
         events = checkpoint(scored(kinds, lm).select("left", "token", "right", "read", share, F.explode("sources").alias("src")))
         self.table = learn(events)
         shared = spark.sparkContext.broadcast(self.table)
@@ -251,7 +259,7 @@ class Findings:
 
     def mapping(self) -> DataFrame:
         """src, mark, swap, p: the learned tables."""
-        rows = [(s, u, swap, float(p)) for (s, u), t in self.table.items() for swap, p in t.items() if s >= 0 and p >= 0.01]
+        rows = [(s, u, swap, float(p)) for (s, u), t in self.table.items() for swap, p in t.items() if s >= 0 and swap and p >= 0.01]
         return self.suspects.sparkSession.createDataFrame(rows, "src int, mark string, swap string, p double")
 
     def restored(self, df: DataFrame) -> DataFrame:
@@ -260,28 +268,38 @@ class Findings:
             self.suspects.join(self.tokens.drop("before", "sure"), ["src", "left", "token", "right"])
             .groupBy("doc_id").agg(F.collect_set(F.struct("token", "swap")).alias("found"))
         )
-        kind = df.schema["doc_id"].dataType.simpleString()
+        kind, lm = df.schema["doc_id"].dataType.simpleString(), self.bigrams
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = bigrams.Bigrams(*lm.value)
             for b in batches:
-                texts = [restore(t, {f["token"]: f["swap"] for f in found}) for t, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True)]
+                texts = [restore(t, {f["token"]: f["swap"] for f in found}, model) for t, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
         return df.select("doc_id", "text").join(per_doc, "doc_id").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def restore(text: str, swaps: dict[str, str]) -> str:
-    """text with its garbled tokens (given with zeros for digits) read back."""
+def restore(text: str, swaps: dict[str, str], model: bigrams.Bigrams) -> str:
+    """text with its garbled tokens (given with zeros for digits) read back, and those that one of their swaps makes likelier."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
     s = bigrams.symbols(cp)
     inside = (s != bigrams.BLANK) & (s != bigrams.EAST)
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+    usual = [x for x in dict.fromkeys(swaps.values()) if x != LOST]
     out, at = [], 0
     for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
         token = text[i:j]
+        if token.isascii():
+            continue
         swap = swaps.get("".join("0" if "0" <= c <= "9" else c for c in token))
         if swap and swap != LOST:
-            out += [text[at:i], codepages.undo(token, swap)]
+            best = codepages.undo(token, swap)
+        else:
+            left, right = int(s[i - 1]) if i else bigrams.BLANK, int(s[j]) if j < len(s) else bigrams.BLANK
+            options = [token, *(codepages.undo(token, x) for x in usual)]
+            best = max(options, key=lambda t: model.score(left, t, right))
+        if best != token:
+            out += [text[at:i], best]
             at = j
     return "".join([*out, text[at:]])
 
