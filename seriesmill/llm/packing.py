@@ -7,7 +7,7 @@ of at most GROUP bins, packed by best fit again, and the nearly full ones given
 underfull bins fewer by a tenth; then all are given out. No task holds more than a group, and bins that can't be filled
 any further don't go round for ever.
 
-Defined results: null and empty texts are no items. Equal items are interchangeable. No items: no bins. A capacity below 1 is an error.
+Defined results: null and empty texts are no items. Equal items are interchangeable; a null or repeated doc_id is carried along. No items: no bins. A capacity below 1 is an error.
 """
 
 from __future__ import annotations
@@ -74,13 +74,13 @@ def _bins(name: str, capacity: int, label: str, place: np.ndarray, count: int, s
     )
 
 
-def _pack_items(ids: np.ndarray, tokens: np.ndarray, name: str, capacity: int, label: str) -> Iterator[pa.RecordBatch]:
+def _pack_items(ids: pa.Array, tokens: np.ndarray, name: str, capacity: int, label: str) -> Iterator[pa.RecordBatch]:
     pieces = np.maximum(1, -(-tokens // capacity))
-    doc = np.repeat(ids, pieces)
+    doc = ids.take(pa.array(np.repeat(np.arange(len(tokens)), pieces)))
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first = nth * capacity
     size = np.minimum(np.repeat(tokens, pieces) - first, capacity)
-    items = pa.StructArray.from_arrays([pa.array(doc), pa.array(nth, pa.int32()), pa.array(first), pa.array(size)], fields=list(ITEM))
+    items = pa.StructArray.from_arrays([doc, pa.array(nth, pa.int32()), pa.array(first), pa.array(size)], fields=list(ITEM))
     place, count = best_fit(size, capacity)
     yield _bins(name, capacity, label, place, count, size, items, np.ones(len(size), np.int64))
 
@@ -102,14 +102,17 @@ def _first_round(counts: DataFrame, classes: Sequence[tuple[str, int]]) -> DataF
 
         def out() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
+            ids = pa.concat_arrays(t["doc_id"].chunks)
             for c, (name, capacity) in enumerate(classes):
-                yield from _pack_items(t["doc_id"].to_numpy(), t["tokens"].to_numpy(), name, capacity, f"0-{task}-{part}-{c}")
+                yield from _pack_items(ids, t["tokens"].to_numpy(), name, capacity, f"0-{task}-{part}-{c}")
 
+        rows = 0
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) >= GROUP:
+            rows += b.num_rows
+            if rows >= GROUP:
                 yield from out()
-                held, part = [], part + 1
+                held, part, rows = [], part + 1, 0
         if held:
             yield from out()
 

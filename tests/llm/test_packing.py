@@ -70,6 +70,12 @@ def test_one_size_and_nothing(spark):
         pack(spark, [1], [("x", 0)])
 
 
+def test_null_and_repeated_ids(spark):
+    counts = spark.createDataFrame([(None, 5), (1, 5), (1, 5), (2, None)], "doc_id bigint, tokens bigint")
+    rows = packing.pack_sizes(counts, spark.createDataFrame([("c", 9)], "bin_class string, capacity bigint")).collect()
+    assert sorted((r.doc_id or 0, r.tokens) for r in rows) == [(0, 5), (1, 5), (1, 5)]
+
+
 def test_best_fit_brute_force():
     rng = random.Random(2)
     for _ in range(200):
