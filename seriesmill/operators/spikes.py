@@ -43,8 +43,8 @@ ROW, SETTLE = 256, 32
 #: within so many seconds of its time. Days without readings in that part of the day, of so many seconds, don't count.
 SAME_TIME_S, ALIKE, PART_S = 900, 0.6, 1800
 CANDIDATE = 4.0
-#: A spike's readings stand this far from the local level, in the series' noise.
-FAR = 8.0
+#: A spike stands this far from the local level, in the series' noise; each of its readings half as far.
+FAR = 11.0
 
 
 def _runs(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +102,10 @@ def emissions(z: np.ndarray, same: np.ndarray, repeat: np.ndarray, out_of_range:
     e[:, NORMAL] = 0.97 * bell(1.3) + 0.03 * bell(3.0)
     e[:, SPIKE] = wide * z**2 / (z**2 + 36)
     e[:, STUCK] = 0.99 * e[:, NORMAL] + 0.001 * wide
-    equal = np.where(same, repeat, 1 - repeat)
-    e[:, NORMAL] *= equal
-    e[:, SPIKE] *= equal
+    e[:, NORMAL] *= np.where(same, repeat, 1 - repeat)
+    # where a sensor drops out, its value often repeats as well
+    dropout = np.maximum(repeat, 0.3)
+    e[:, SPIKE] *= np.where(same, dropout, 1 - dropout)
     e[:, STUCK] *= np.where(same, 0.999, 0.001)
     e[:, OUT] = 0
     e[out_of_range] = (0, 0, 0, 1)
@@ -216,13 +217,14 @@ def flags(group: np.ndarray, time: np.ndarray, value: np.ndarray, low: np.ndarra
     votes = np.add.reduceat((state == STUCK).astype(np.int64), head)
     which = np.cumsum(~same) - 1
     stuck = stuck_run & (2 * votes[which] >= run) & (repeat[group] < 0.5)
-    spike = (state == SPIKE) & ~stuck
+    spike = ((state == SPIKE) | (state == STUCK) & (np.abs(z) >= FAR)) & ~stuck
     edge = np.ones(n, bool)
     edge[1:] = (spike[1:] != spike[:-1]) | (group[1:] != group[:-1])
     heads, tails = np.flatnonzero(edge), np.flatnonzero(np.concatenate((edge[1:], [True])))
     for a, b in zip(heads[spike[heads]].tolist(), tails[spike[heads]].tolist(), strict=True):
         far = b - a < HALF and 2 * again[a : b + 1].sum() < b - a + 1 and _returns(value, z, scale[group[a]], a, b, int(first[a]), int(last[a]))
-        spike[a : b + 1] &= far & (np.abs(z[a : b + 1]) >= FAR / 1.5)
+        size_of = np.abs(z[a : b + 1])
+        spike[a : b + 1] &= far & (size_of >= max(FAR / 2, float(np.median(size_of)) / 2))
     state[:] = np.where(out_of_range, OUT, np.where(stuck, STUCK, np.where(spike, SPIKE, NORMAL)))
     return state
 
