@@ -518,12 +518,12 @@ def day_local(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
     WITH {POINTS}, n AS (SELECT count(*) AS received, count(*) FILTER ({REASONS} = 'future') AS future, count(*) FILTER ({REASONS} = 'past') AS past, count(*) FILTER ({REASONS} = 'long') AS long FROM p)
-    SELECT 'carbon.agents.test.tcp.' || metric AS Path, value::DOUBLE AS Value, {NOW}::BIGINT AS Time FROM n UNPIVOT (value FOR metric IN (received AS 'received', future AS 'futureDropped', past AS 'pastDropped', long AS 'tooLongDropped'))
+    SELECT 'agents.test.tcp.' || metric AS Path, value::DOUBLE AS Value, {NOW}::BIGINT AS Time FROM n UNPIVOT (value FOR metric IN (received AS 'received', future AS 'futureDropped', past AS 'pastDropped', long AS 'tooLongDropped'))
 """)
 def self_metrics(spark: SparkSession, folder: str) -> DataFrame:
     rows, seen = metrics.counted(_judged(spark, folder, future=3600, past=7200, longest=40))
     rows.write.format("noop").mode("overwrite").save()
-    return spark.createDataFrame(metrics.metric_rows(seen.get, "carbon.agents.test", "tcp", NOW), "Path string, Value double, Time bigint")
+    return spark.createDataFrame(metrics.metric_rows(seen.get, "agents.test", "tcp", NOW), "Path string, Value double, Time bigint")
 
 
 @query(f"""
