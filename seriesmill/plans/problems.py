@@ -130,6 +130,27 @@ SQL = {
                round(CASE WHEN kept < {distinct.K} THEN k ELSE f * pow(m + s, 3) END, 1) AS high, kept < {distinct.K} AS exact
         FROM law
     """,
+    "p3_days": f"""
+        WITH {KMV},
+        d AS (SELECT Date, h FROM smallest WHERE grouping = 'Date' AND Date IS NOT NULL),
+        two AS (SELECT Date, h, 1 AS l, 0 AS r FROM d UNION ALL SELECT Date + 1, h, 0, 1 FROM d),
+        known AS (SELECT Date FROM two GROUP BY Date HAVING sum(l) > 0 AND sum(r) > 0),
+        seen AS (SELECT Date, h, max(l) AS l, max(r) AS r FROM two SEMI JOIN known USING (Date) GROUP BY Date, h
+                 QUALIFY row_number() OVER (PARTITION BY Date ORDER BY h) <= {distinct.K}),
+        per AS (SELECT Date, count(*)::DOUBLE AS m, max(h) AS last, sum(l * r) / count(*)::DOUBLE AS pb, sum(l * (1 - r)) / count(*)::DOUBLE AS po FROM seen GROUP BY Date),
+        g AS (SELECT *, m < {distinct.K} AS exact, CASE WHEN m < {distinct.K} THEN m ELSE (m - 1) / ((last + 1) / 1152921504606846976.0) END AS u FROM per),
+        b AS (SELECT *, CASE WHEN exact THEN u ELSE u / (m - 1) * m * pow(1 - 1 / (9 * m) - {distinct.Z} / (3 * sqrt(m)), 3) END AS ul,
+                     CASE WHEN exact THEN u ELSE u / (m - 1) * m * pow(1 - 1 / (9 * m) + {distinct.Z} / (3 * sqrt(m)), 3) END AS uh,
+                     {distinct.Z} * {distinct.Z} AS zz FROM g),
+        w AS (SELECT *, (pb + zz / (2 * m)) / (1 + zz / m) AS mb, {distinct.Z} * sqrt(pb * (1 - pb) / m + zz / (4 * m * m)) / (1 + zz / m) AS hb,
+                     (po + zz / (2 * m)) / (1 + zz / m) AS mo, {distinct.Z} * sqrt(po * (1 - po) / m + zz / (4 * m * m)) / (1 + zz / m) AS ho FROM b)
+        SELECT Date, round(u, 1) AS "union", round(ul, 1) AS union_low, round(uh, 1) AS union_high,
+               round(pb * u, 1) AS "both", round(CASE WHEN exact THEN pb * u ELSE greatest(0, mb - hb) * ul END, 1) AS both_low,
+               round(CASE WHEN exact THEN pb * u ELSE (mb + hb) * uh END, 1) AS both_high,
+               round(po * u, 1) AS "only", round(CASE WHEN exact THEN po * u ELSE greatest(0, mo - ho) * ul END, 1) AS only_low,
+               round(CASE WHEN exact THEN po * u ELSE (mo + ho) * uh END, 1) AS only_high
+        FROM w
+    """,
     "p6_path_day": f"""
         WITH {KEPT},
         good AS (SELECT cpath AS path, DATE '1970-01-01' + CAST(Time // 86400 AS INTEGER) AS day, Value FROM ranked WHERE nth = 1 AND isfinite(Value)),
