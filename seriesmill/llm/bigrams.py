@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ def symbols(cp: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
 def symbol(c: str) -> int:
     return int(symbols(np.array([ord(c)], np.int32))[0])
 
@@ -72,8 +74,8 @@ class Bigrams:
         east = keys < 0
         self.east = dict(zip((-keys[east]).tolist(), n[east].tolist(), strict=True))
         self.easts = max(1, sum(self.east.values()))
-        #: All characters above ASCII that the corpus holds.
-        self.known = {chr(k) for k in (*self.single, *self.east) if 0x80 <= k < 0x110000}
+        #: ASCII, and all characters above it that the corpus holds.
+        self.known = frozenset(map(chr, range(0x80))) | {chr(k) for k in (*self.single, *self.east) if 0x80 <= k < 0x110000}
         self.seen: dict[int, float] = {}
         self.pairs = dict(zip(self.keys.tolist(), self.n.tolist(), strict=True))
 
@@ -88,9 +90,16 @@ class Bigrams:
             out = self.seen[key] = math.log((self.pairs.get(key, 0.0) + self.WEIGHT * p) / (self.single.get(a, 0) + self.WEIGHT))
         return out
 
-    def score(self, left: int, text: str, right: int) -> float:
+    def seen_beside(self, left: int, text: str, right: int) -> bool:
+        """Whether the corpus has the text's first character after left, or its last before right. Both are above ASCII."""
+        return (left << 21) + symbol(text[0]) in self.pairs or (symbol(text[-1]) << 21) + right in self.pairs
+
+    def score(self, left: int, text: str, right: int, enough: float = -math.inf) -> float:
+        """log P of the text between its neighbours; below `enough` it isn't worked out to the end, since it only falls."""
         out, a = 0.0, left
         for c in text:
+            if out < enough:
+                return out
             o = ord(c)
             if o < 0x80:
                 b = DIGIT if 0x30 <= o <= 0x39 else BLANK if 9 <= o <= 13 else o

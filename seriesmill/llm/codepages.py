@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Container
 from functools import lru_cache
 
 #: Encodings that texts are written in, and those by which they are wrongly read.
@@ -72,12 +71,12 @@ def unread_paired(text: str, true: str, wrong: str) -> str | None:
 
 
 @lru_cache(maxsize=1 << 16)
-def substitutions(marks: str) -> tuple[tuple[str, str], ...]:
-    """What the single-byte swaps make of these characters: (a swap, their letters), equal results once."""
+def substitutions(marks: str, known: frozenset[str] | None = None) -> tuple[tuple[str, str], ...]:
+    """What the single-byte swaps make of these characters: (a swap, their letters), equal results once, known letters only."""
     found: dict[str, str] = {}
     for name, table in swaps():
         to = marks.translate(table)
-        if to != marks:
+        if to != marks and (known is None or known.issuperset(to)):
             found.setdefault(to, name)
     return tuple((name, to) for to, name in found.items())
 
@@ -95,12 +94,11 @@ def undo(text: str, swap: str) -> str:
     return text
 
 
-def earlier(text: str, known: Container[str] | None = None) -> dict[str, str]:
-    """What the text may have been before a wrong decoding, and the swap that led from it to the text.
+def earlier(text: str, known: frozenset[str] | None = None) -> dict[str, str]:
+    """What the text may have been before a wrong decoding in which ASCII stood for itself, and the swap that led to the text.
 
-    known: characters that texts are made of; results with another one above ASCII are left out.
+    known: characters that texts are made of; results with another one are left out.
     """
-    fits = lambda t: known is None or all(c < "\x80" or c in known for c in t)
     found: dict[str, str] = {}
     level = {text: ""}
     for _ in range(TIMES):
@@ -111,17 +109,24 @@ def earlier(text: str, known: Container[str] | None = None) -> dict[str, str]:
                     following.setdefault(before, f"{how}+utf-8>{wrong}".strip("+"))
         found |= following
         level = following
+    if known is not None:
+        found = {before: how for before, how in found.items() if known.issuperset(before)}
+    marks = "".join(sorted({c for c in text if c >= "\x80"}))
+    for name, to in substitutions(marks, known):
+        found.setdefault(text.translate(str.maketrans(marks, to)), name)
+    if 1 < len(marks) <= 4:  # one of its characters may have been swapped alone
+        for c in marks:
+            for name, x in substitutions(c, known):
+                found.setdefault(text.replace(c, x), name)
+    return found
+
+
+def earlier_paired(text: str) -> dict[str, str]:
+    """The same for double-byte encodings, in whose characters ASCII may be the second byte: the whole text is read again."""
+    found: dict[str, str] = {}
     for wrong in ("cp1252", "latin-1"):
         for true in TRUE_PAIRED:
             before = unread_paired(text, true, wrong)
             if before is not None and before != text:
                 found.setdefault(before, f"{true}>{wrong}")
-    marks = "".join(sorted({c for c in text if c >= "\x80"}))
-    for name, to in substitutions(marks):
-        if fits(to):
-            found.setdefault(text.translate(str.maketrans(marks, to)), name)
-        if 1 < len(marks) <= 4:  # one of its characters may have been swapped alone
-            for c, x in zip(marks, to, strict=True):
-                if c != x and fits(x):
-                    found.setdefault(text.replace(c, x), name)
-    return {before: how for before, how in found.items() if fits(before)}
+    return found

@@ -39,7 +39,7 @@ from seriesmill.session import checkpoint
 
 SOURCES = 4096
 #: A token is a suspect if a bigram in it has log P(b | a) below this.
-RARE = -5.0
+RARE = -6.0
 ITERATIONS = 4
 #: P(swap | character) before the first iteration, the least P that it stands, and the weight of the prior table, in suspects.
 START, STANDS, WEIGHT = 0.002, 1e-3, 20.0
@@ -115,27 +115,69 @@ def _marks(text: str) -> list[str]:
     return [c for c in text if c >= "\x80"]
 
 
+#: Readings of middles (the part of a token from its first to its last non-ASCII character) that a task remembers.
+MIDDLES = 1 << 17
+
+
+class Reader:
+    """What a token may have been, with gains. Swaps leave ASCII alone, so only a token's middle and its neighbours count."""
+
+    def __init__(self, model: bigrams.Bigrams) -> None:
+        self.model = model
+        self.seen: dict[tuple[int, str, int], list[tuple[str, str, float]]] = {}
+
+    def _middle(self, left: int, middle: str, right: int) -> list[tuple[str, str, float]]:
+        key = (left, middle, right)
+        out = self.seen.get(key)
+        if out is None:
+            score = self.model.score
+            base = score(left, middle, right)
+            out = []
+            for before, swap in codepages.earlier(middle, self.model.known).items():
+                if not self.model.seen_beside(left, before, right):
+                    continue  # never likelier than what stands
+                least = LEAST_GAIN_UTF8 if swap.startswith("utf-8") else LEAST_GAIN
+                gain = score(left, before, right, base + least) - base
+                if gain > least:
+                    out.append((swap, before, gain))
+            if len(self.seen) >= MIDDLES:
+                self.seen.clear()
+            self.seen[key] = out
+        return out
+
+    def __call__(self, left: int, token: str, right: int) -> list[dict]:
+        at = [i for i, c in enumerate(token) if c >= "\x80"]
+        if not at:
+            return []
+        first, last = at[0], at[-1] + 1
+        inner_left = bigrams.symbol(token[first - 1]) if first else left
+        inner_right = bigrams.symbol(token[last]) if last < len(token) else right
+        read = []
+        for swap, middle, gain in self._middle(inner_left, token[first:last], inner_right):
+            before = token[:first] + middle + token[last:]
+            # symbols and digits alone have no letters around them to tell
+            if swap.startswith("utf-8") or len(token) > 1 and any(c.isalpha() for c in before):
+                read.append({"swap": swap, "before": before, "gain": gain})
+        paired = codepages.earlier_paired(token)
+        if paired:
+            base = self.model.score(left, token, right)
+            for before, swap in paired.items():
+                gain = self.model.score(left, before, right) - base
+                if gain > LEAST_GAIN:
+                    read.append({"swap": swap, "before": before, "gain": gain})
+        if any(c == codepages.LOST or "\x80" <= c < "\xa0" and c != "\x85" for c in token):
+            read.append({"swap": LOST, "before": token, "gain": 12.0})
+        return read
+
+
 def scored(events: DataFrame, lm) -> DataFrame:
     """The distinct suspects with `read`: array<struct<swap, before, gain>> of what they may have been."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bigrams.Bigrams(*lm.value)
+        reader = Reader(bigrams.Bigrams(*lm.value))
+        kind = pa.list_(pa.struct([("swap", pa.string()), ("before", pa.string()), ("gain", pa.float64())]))
         for b in batches:
-            out = []
-            for left, token, right in zip(*(b.column(c).to_pylist() for c in ("left", "token", "right")), strict=True):
-                base = model.score(left, token, right)
-                read = []
-                for before, swap in codepages.earlier(token, model.known).items():
-                    utf8 = swap.startswith("utf-8")
-                    if not utf8 and (len(token) == 1 or not any(c.isalpha() for c in before)):
-                        continue  # symbols and digits alone have no letters around them to tell
-                    gain = model.score(left, before, right) - base
-                    if gain > (LEAST_GAIN_UTF8 if utf8 else LEAST_GAIN):
-                        read.append({"swap": swap, "before": before, "gain": gain})
-                if any(c == "�" or "\x80" <= c < "\xa0" and c != "\x85" for c in token):
-                    read.append({"swap": LOST, "before": token, "gain": 12.0})
-                out.append(read)
-            kind = pa.list_(pa.struct([("swap", pa.string()), ("before", pa.string()), ("gain", pa.float64())]))
+            out = [reader(*x) for x in zip(*(b.column(c).to_pylist() for c in ("left", "token", "right")), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(out, kind)], names=[*b.schema.names, "read"])
 
     return events.mapInArrow(run, "left int, token string, right int, sources array<int>, read array<struct<swap:string,before:string,gain:double>>")
