@@ -39,12 +39,15 @@ STEPS = np.array([[0.9968, 0.003, 0.0001, 0.0001], [0.3, 0.6998, 0.0001, 0.0001]
 FIRST = np.array([0.99, 0.008, 0.001, 0.001])
 #: Rows of the matrix: so many readings, with so many before and after that only settle the chain.
 ROW, SETTLE = 256, 32
-#: A deviation recurs if on half of the other days, at least one, one of like size (a quotient of ALIKE to 1 / ALIKE) stands
+#: A deviation recurs if on OFTEN of the other days, at least one, one of like size (a quotient of ALIKE to 1 / ALIKE) stands
 #: within so many seconds of its time. Days without readings in that part of the day, of so many seconds, don't count.
 SAME_TIME_S, ALIKE, PART_S = 900, 0.6, 1800
+#: On so many of the other days, for deviations below LARGE and for larger ones, which seldom are a day's course.
+OFTEN, OFTEN_LARGE, LARGE = 0.5, 0.7, 15.0
 CANDIDATE = 4.0
-#: A spike stands this far from the local level, in the series' noise; each of its readings half as far.
-FAR = 11.0
+#: A spike of one reading stands this far from the local level, in the series' noise, and for each further reading so much
+#: farther; each of its readings at least half as far.
+FAR, FARTHER = 11.0, 0.25
 
 
 def _runs(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +147,7 @@ def forward_backward(e: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
 
 
 def recurring(group: np.ndarray, time: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Whether a reading's deviation stands at the same time on half of the series' other days with readings then."""
+    """Whether a reading's deviation stands at the same time on OFTEN of the series' other days with readings then."""
     out = np.zeros(len(z), bool)
     cand = np.flatnonzero(np.abs(z) > CANDIDATE)
     if not len(cand):
@@ -174,7 +177,7 @@ def recurring(group: np.ndarray, time: np.ndarray, z: np.ndarray) -> np.ndarray:
         for i in np.flatnonzero(ok):
             seen[i].add(int(d[o[i]]))
     alike[:] = [len(s) for s in seen]
-    out[who] = (others >= 1) & (alike >= 1) & (2 * alike >= others)
+    out[who] = (others >= 1) & (alike >= 1) & (alike >= np.where(np.abs(size) < LARGE, OFTEN, OFTEN_LARGE) * others)
     return out
 
 
@@ -185,7 +188,7 @@ def _returns(value: np.ndarray, z: np.ndarray, scale: float, a: int, b: int, fir
     off = float(np.median(np.abs(z[a : b + 1])))
     before = np.median(value[max(first, a - 6) : a])
     after = np.median(value[b + 1 : min(last, b + 6) + 1])
-    return off >= FAR and abs(after - before) <= max(0.5 * off, 4.0) * scale
+    return off >= FAR + FARTHER * (b - a) and abs(after - before) <= max(0.5 * off, 4.0) * scale
 
 
 def flags(group: np.ndarray, time: np.ndarray, value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
