@@ -112,15 +112,3 @@ class Bigrams:
             out += self.log_p(a, b)
             a = b
         return out + self.log_p(a, right)
-
-    def rare(self, s: np.ndarray, below: float) -> np.ndarray:
-        """For each place, whether the bigram of it and the next is not wholly ASCII and has log P(b | a) < below."""
-        s = s.astype(np.int64)
-        a, b = s[:-1], s[1:]
-        wide = np.flatnonzero((a >= 0x80) | (b >= 0x80))
-        key = (a[wide] << 21) + b[wide]
-        kinds, which = np.unique(key, return_inverse=True)
-        low = np.array([self.log_p(int(k >> 21), int(k & 0x1FFFFF)) < below for k in kinds], bool)
-        out = np.zeros(len(s), bool)
-        out[wide[low[which]]] = True
-        return out

@@ -5,7 +5,8 @@ and differs by source. So for each source expectation-maximization learns which
 against the bigrams of the corpus:
 
 1. Bigrams of characters are counted over all texts.
-2. Tokens with a rare bigram become suspects (document, source, neighbours, token). The rest can't gain enough.
+2. Every distinct token with a character above ASCII (source, neighbours, token) is a suspect, however usual it is: a
+   frequent garbling makes its own bigrams usual.
 3. Each distinct suspect is read back through every code-page swap, also repeated ones and swaps of parts, and each
    result is scored against the bigrams: gain = log P(read back) - log P(as it stands).
 4. E: the posterior of each swap (and of none) for each suspect, from gains and the source's table.
@@ -38,8 +39,6 @@ from seriesmill.llm.pretokens import pieces
 from seriesmill.session import checkpoint
 
 SOURCES = 4096
-#: A token is a suspect if a bigram in it has log P(b | a) below this.
-RARE = -6.0
 ITERATIONS = 4
 #: P(swap | character) before the first iteration, the least P that it stands, and the weight of the prior table, in suspects.
 START, STANDS, WEIGHT = 0.002, 1e-3, 20.0
@@ -70,37 +69,102 @@ def corpus_counts(df: DataFrame) -> DataFrame:
     return df.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def suspects(df: DataFrame, lm) -> DataFrame:
-    """doc_id, src, left, token, right of every suspect; its digits as zeros. left, right: the neighbouring symbols."""
+#: Distinct tokens that a task remembers before it sends them.
+KINDS = 1 << 18
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(text, left, right, first, last, code points) of each token with a character above ASCII; digits as zeros. left, right: the neighbouring symbols."""
+    cp, begin = bigrams.laid_out(texts)
+    s = bigrams.symbols(cp)
+    inside = (s != bigrams.BLANK) & (s != bigrams.EAST)
+    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    wide = np.concatenate(([0], np.cumsum(cp >= 0x80)))
+    hit = wide[last] > wide[first]
+    first, last = first[hit], last[hit]
+    left = np.where(first > 0, s[np.maximum(first - 1, 0)], bigrams.BLANK)
+    right = np.where(last < len(s), s[np.minimum(last, len(s) - 1)], bigrams.BLANK) if len(s) else last
+    doc = np.searchsorted(begin, first, side="right") - 1
+    return doc, left, right, first, last, np.where((cp >= 0x30) & (cp <= 0x39), 0x30, cp)
+
+
+def _cut(cp: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[str]:
+    whole = cp.astype("<u4").tobytes().decode("utf-32-le", "replace")
+    return [whole[i:j] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+
+
+def _hashes(src: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndarray, last: np.ndarray, cp: np.ndarray) -> np.ndarray:
+    """A hash of (source, neighbours, token) for each token of the code points."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    base, back = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+    power = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(len(cp), base, np.uint64))))
+    undo = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(len(cp), back, np.uint64))))
+    sums = np.concatenate(([np.uint64(0)], np.add.accumulate((cp.astype(np.uint64) + np.uint64(1)) * mix * power[:-1])))
+    h = (sums[last] - sums[first]) * undo[first]
+    for x in (src, left, right):
+        h = (h ^ (h >> np.uint64(29)) ^ x.astype(np.uint64)) * mix
+    return h ^ (h >> np.uint64(32))
+
+
+def token_kinds(df: DataFrame) -> DataFrame:
+    """src, left, token, right of every suspect, distinct within a task as far as it remembers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: dict[tuple, None] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*kinds, strict=True) if kinds else ((),) * 4
+            types = (pa.int32(), pa.int32(), pa.string(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["src", "left", "token", "right"])
+
+        for b in batches:
+            texts, src = _texts(b), b.column("src").to_numpy(zero_copy_only=False)
+            for a, z in pieces(texts):
+                doc, left, right, first, last, cp = _tokens(texts.slice(a, z - a))
+                kinds.update(dict.fromkeys(zip(src[a + doc].tolist(), left.tolist(), _cut(cp, first, last), right.tolist(), strict=True)))
+                if len(kinds) >= KINDS:
+                    yield out()
+                    kinds.clear()
+        yield out()
+
+    return _narrow(df).mapInArrow(run, "src int, left int, token string, right int")
+
+
+#: Bits of the filter by which tasks skip tokens that aren't garbled.
+FILTER = 1 << 26
+
+
+def suspects(df: DataFrame, tokens: DataFrame) -> DataFrame:
+    """doc_id, src, left, token, right wherever a text may hold one of the tokens: all that do, and the few whose hash is alike."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column("token").cast(pa.string())
+            for a, z in pieces(text):
+                cp, begin = bigrams.laid_out(text.slice(a, z - a))
+                h = _hashes(*(b.column(c).to_numpy(zero_copy_only=False)[a:z] for c in ("src", "left", "right")), begin[:-1], begin[1:] - 1, cp)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h % np.uint64(FILTER)).astype(np.int64))], names=["h"])
+
+    places = tokens.mapInArrow(hashed, "h bigint").distinct().toArrow()["h"].to_numpy()
+    bits = np.zeros(FILTER // 8, np.uint8)
+    np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bigrams.Bigrams(*lm.value)
+        bits = shared.value
         for b in batches:
             texts, src = _texts(b), b.column("src").to_numpy(zero_copy_only=False)
             for a, z in pieces(texts):
-                cp, begin = bigrams.laid_out(texts.slice(a, z - a))
-                s = bigrams.symbols(cp)
-                if len(s) < 2:
-                    continue
-                inside = (s != bigrams.BLANK) & (s != bigrams.EAST)
-                edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-                first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                rare = np.concatenate(([0, 0], np.cumsum(model.rare(s, RARE))))  # rare[i + 1]: of the bigrams before place i
-                broken = (cp == 0xFFFD) | ((cp >= 0x80) & (cp < 0xA0) & (cp != 0x85))
-                bad = np.concatenate(([0], np.cumsum(broken)))
-                wide = np.concatenate(([0], np.cumsum(cp >= 0x80)))
-                hit = (rare[np.minimum(last, len(s) - 1) + 1] > rare[np.maximum(first - 1, 0) + 1]) | (bad[last] > bad[first])
-                hit &= wide[last] > wide[first]
-                first, last = first[hit], last[hit]
-                doc = np.searchsorted(begin, first, side="right") - 1
-                chars = np.where((cp >= 0x30) & (cp <= 0x39), 0x30, cp).astype("<u4")
-                whole = chars.tobytes().decode("utf-32-le", "replace")
-                left = np.where(first > 0, s[np.maximum(first - 1, 0)], bigrams.BLANK)
-                right = np.where(last < len(s), s[np.minimum(last, len(s) - 1)], bigrams.BLANK)
-                tokens = [whole[i:j] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+                doc, left, right, first, last, cp = _tokens(texts.slice(a, z - a))
+                h = (_hashes(src[a + doc], left, right, first, last, cp) % np.uint64(FILTER)).astype(np.int64)
+                hit = (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+                doc, left, right, first, last = (x[hit] for x in (doc, left, right, first, last))
                 # each once for a document
-                once = list(dict.fromkeys(zip(doc.tolist(), left.tolist(), tokens, right.tolist(), strict=True)))
+                once = list(dict.fromkeys(zip(doc.tolist(), left.tolist(), _cut(cp, first, last) if len(first) else [], right.tolist(), strict=True)))
                 doc, left, tokens, right = zip(*once, strict=True) if once else ((),) * 4
                 place = a + np.array(doc, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -210,12 +274,39 @@ def posterior(table: Table, src: int, token: str, read: list[dict]) -> tuple[flo
     return rest / total, [w / total for w in weights]
 
 
-def learn(events: DataFrame, iterations: int = ITERATIONS) -> Table:
-    """The table after so many iterations. events: src, token, read and share (one over its number of sources) of each distinct suspect of a source.
+def _sums(rows: DataFrame, run) -> dict[tuple[int, str, str], float]:
+    """(source, character, swap) -> sum of n, of what run makes of the rows."""
+    got = rows.mapInArrow(run, "src int, mark string, swap string, n double").groupBy("src", "mark", "swap").agg(F.sum("n").alias("n"))
+    return {(r["src"], r["mark"], r["swap"]): r["n"] for r in got.collect()}
+
+
+def _batch(sums: dict[tuple[int, str, str], float]) -> pa.RecordBatch:
+    keys = list(sums)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in keys], pa.int32()), *(pa.array([k[i] for k in keys], pa.string()) for i in (1, 2)), pa.array(list(sums.values()), pa.float64())],
+        names=["src", "mark", "swap", "n"],
+    )
+
+
+def learn(kinds: DataFrame, events: DataFrame, iterations: int = ITERATIONS) -> Table:
+    """The table after so many iterations. kinds: token and sources of each distinct suspect; events: src, token, read and share
+    (one over its number of sources) of each distinct suspect of a source that can be read back.
 
     Gathered is a sum per source, character and swap: as many rows as the table has.
     """
     spark = events.sparkSession
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, str, str], float] = defaultdict(float)
+        for b in batches:
+            for token, sources in zip(*(b.column(c).to_pylist() for c in ("token", "sources")), strict=True):
+                for u in set(_marks(token)):
+                    sums[-1, u, ""] += 1
+                    for src in sources:
+                        sums[src, u, ""] += 1
+        yield _batch(sums)
+
+    suspected = _sums(kinds.select("token", "sources"), held)
     table: Table = {}
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(table)
@@ -225,24 +316,16 @@ def learn(events: DataFrame, iterations: int = ITERATIONS) -> Table:
             for b in batches:
                 for src, token, read, share in zip(*(b.column(c).to_pylist() for c in ("src", "token", "read", "share")), strict=True):
                     marks = set(_marks(token))
-                    for u in marks:
-                        sums[src, u, ""] += 1
-                        sums[-1, u, ""] += share
                     for r, w in zip(read, posterior(shared.value, src, token, read)[1], strict=True):
                         if w > 1e-4:
                             for u in marks - set(r["before"]) or marks:
                                 sums[src, u, r["swap"]] += w
                                 sums[-1, u, r["swap"]] += w * share
-            keys = list(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int32()), *(pa.array([k[i] for k in keys], pa.string()) for i in (1, 2)), pa.array(list(sums.values()), pa.float64())],
-                names=["src", "mark", "swap", "n"],
-            )
-
-        got = events.select("src", "token", "read", "share").mapInArrow(run, "src int, mark string, swap string, n double")
-        rows = got.groupBy("src", "mark", "swap").agg(F.sum("n").alias("n")).collect()
-        of_all = {(r["mark"], r["swap"]): r["n"] for r in rows if r["src"] == -1}
-        of_source = {(r["src"], r["mark"], r["swap"]): r["n"] for r in rows if r["src"] >= 0}
+            yield _batch(sums)
+
+        sums = suspected | _sums(events.select("src", "token", "read", "share"), run)
+        of_all = {(u, swap): n for (src, u, swap), n in sums.items() if src == -1}
+        of_source = {key: n for key, n in sums.items() if key[0] >= 0}
         others = lambda n: max(0.0, n - 1)
         table = defaultdict(dict)
         for (u, swap), n in of_all.items():
@@ -266,13 +349,14 @@ class Findings:
         counted = corpus_counts(df).toArrow()
         lm = spark.sparkContext.broadcast((counted["key"].to_numpy(), counted["n"].to_numpy()))
         self.bigrams = lm
-        self.suspects = checkpoint(suspects(df, lm))
-        kinds = self.suspects.groupBy("left", "token", "right").agg(F.collect_set("src").alias("sources"))  # at most SOURCES
+        kinds = token_kinds(df).groupBy("left", "token", "right").agg(F.collect_set("src").alias("sources"))  # at most SOURCES
         share = (1 / F.size("sources")).alias("share")
         # few bytes, but much work for each: not to be coalesced by size
         kinds = kinds.repartition(4 * spark.sparkContext.defaultParallelism, "token")
-        events = checkpoint(scored(kinds, lm).select("left", "token", "right", "read", share, F.explode("sources").alias("src")))
-        self.table = learn(events)
+        kinds = checkpoint(scored(kinds, lm))
+        # what can't be read back counts in the table, but never changes its mind
+        events = kinds.where(F.size("read") > 0).select("left", "token", "right", "read", share, F.explode("sources").alias("src"))
+        self.table = learn(kinds, events)
         shared = spark.sparkContext.broadcast(self.table)
 
         def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +377,9 @@ class Findings:
                 )
 
         #: src, left, token, right, swap, before, sure of each garbled token.
-        self.tokens = events.mapInArrow(decide, "src int, left int, token string, right int, swap string, before string, sure double")
+        self.tokens = checkpoint(events.mapInArrow(decide, "src int, left int, token string, right int, swap string, before string, sure double"))
+        #: doc_id, src, left, token, right of the places where they may stand.
+        self.suspects = suspects(df, self.tokens)
 
     def documents(self) -> DataFrame:
         """doc_id of each affected document."""

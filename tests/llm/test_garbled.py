@@ -87,6 +87,25 @@ def test_clean_corpus(spark):
     assert garbled.found(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).count() == 0
 
 
+def test_frequent_garbling(spark):
+    """Found although so many texts hold it that its bigrams aren't rare in the corpus."""
+    rng = random.Random(7)
+    words = [f"{a}ü{b}" for a in ("f", "Pr", "geb", "Schl", "m", "begr", "verk", "Sp", "h", "gl") for b in ("r", "fung", "hren", "sse", "ndet", "lt", "ckt", "gen")]
+    rows = [(i, sentence(rng, words), f"s{i % 2}") for i in range(1200)]
+    hit = {i for i, _, _ in rows if i % 12 == 1}
+    rows = [(i, t.replace("ü", "Ã¼") if i in hit else t, s) for i, t, s in rows]
+    got = {r.doc_id for r in garbled.found(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert got == {i for i, t, _ in rows if "Ã" in t}
+
+
+def test_token_hashes_match_wherever_they_stand():
+    texts = pa.array(["xé1 Größe", "", "Größe 日é"])
+    doc, left, right, first, last, cp = garbled._tokens(texts)
+    assert garbled._cut(cp, first, last) == ["xé0", "Größe", "Größe", "é"] and doc.tolist() == [0, 0, 2, 2]
+    h = garbled._hashes(np.zeros(4, np.int32), left, right, first, last, cp)
+    assert h[1] == h[2] and len(set(h.tolist())) == 3
+
+
 @pytest.mark.parametrize("text", ["Größe", "l’été", "обязан", "€ 5 – “x”", "日本語"])
 def test_swaps_are_undone(text):
     for wrong in codepages.READ_AS:
