@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
 from functools import lru_cache
 
 #: Encodings that texts are written in, and those by which they are wrongly read.
@@ -61,6 +63,29 @@ def unread_utf8(text: str, wrong: str) -> str:
     return _utf8_pattern(wrong).sub(back, text)
 
 
+#: -log of the share of all runs of so many characters of a code page that are a UTF-8 sequence in its bytes.
+FORM = {2: -math.log(30 * 64 / 128**2), 3: -math.log(16 * 64**2 / 128**3), 4: -math.log(5 * 64**3 / 128**4)}
+
+
+def form(text: str, swap: str) -> float:
+    """What the form of UTF-8 alone says for this swap: 0 unless all characters above ASCII are part of sequences, each of which
+    no word would hold (one with a symbol in it) and which stands for an assigned character."""
+    out = 0.0
+    for step in swap.split("+"):
+        wrong = step.split(">")[1]
+        rest = text
+        for m in _utf8_pattern(wrong).finditer(text):
+            back = unread_utf8(m[0], wrong)
+            if back == m[0] or unicodedata.category(back) in ("Cc", "Cn", "Co") or m[0].isalpha():
+                return 0.0
+            rest = rest.replace(m[0], "")
+            out += FORM[len(m[0])]
+        if not rest.isascii():
+            return 0.0
+        text = unread_utf8(text, wrong)
+    return out
+
+
 def unread_paired(text: str, true: str, wrong: str) -> str | None:
     """The whole text read again in a double-byte encoding; None where its bytes aren't that."""
     table = byte_of(wrong)
@@ -97,7 +122,8 @@ def undo(text: str, swap: str) -> str:
 def earlier(text: str, known: frozenset[str] | None = None) -> dict[str, str]:
     """What the text may have been before a wrong decoding in which ASCII stood for itself, and the swap that led to the text.
 
-    known: characters that texts are made of; results with another one are left out.
+    known: characters that texts are made of; results of single-byte swaps with another one are left out. UTF-8 has a form that
+    tells, so its results are kept.
     """
     found: dict[str, str] = {}
     level = {text: ""}
@@ -109,8 +135,6 @@ def earlier(text: str, known: frozenset[str] | None = None) -> dict[str, str]:
                     following.setdefault(before, f"{how}+utf-8>{wrong}".strip("+"))
         found |= following
         level = following
-    if known is not None:
-        found = {before: how for before, how in found.items() if known.issuperset(before)}
     marks = "".join(sorted({c for c in text if c >= "\x80"}))
     for name, to in substitutions(marks, known):
         found.setdefault(text.translate(str.maketrans(marks, to)), name)

@@ -198,10 +198,14 @@ class Reader:
             base = score(left, middle, right)
             out = []
             for before, swap in codepages.earlier(middle, self.model.known).items():
-                if not self.model.seen_beside(left, before, right):
+                utf8 = swap.startswith("utf-8")
+                if not utf8 and not self.model.seen_beside(left, before, right):
                     continue  # never likelier than what stands
-                least = LEAST_GAIN_UTF8 if swap.startswith("utf-8") else LEAST_GAIN
-                gain = score(left, before, right, base + least) - base
+                least = LEAST_GAIN_UTF8 if utf8 else LEAST_GAIN
+                if utf8 and not self.model.known.issuperset(before):
+                    gain = codepages.form(middle, swap)  # the corpus has a character only garbled, so its bigrams say nothing
+                else:
+                    gain = score(left, before, right, base + least) - base
                 if gain > least:
                     out.append((swap, before, gain))
             if len(self.seen) >= MIDDLES:

@@ -98,6 +98,21 @@ def test_frequent_garbling(spark):
     assert got == {i for i, t, _ in rows if "Ã" in t}
 
 
+def test_letters_that_occur_only_garbled(spark):
+    """A language all of whose texts are garbled has letters that the corpus doesn't hold elsewhere."""
+    rng = random.Random(9)
+    polish = "zażółć gęślą jaźń państwo sąd wyrok powód pozwany świadek umowę należność odsetki stwierdził również części łącznie dług żądanie rozstrzygnięcie".split()
+    rows = [(i, swap(sentence(rng, polish), "utf-8", "cp1252") if i % 4 == 0 else sentence(rng, GERMAN), "pl" if i % 4 == 0 else "de") for i in range(200)]
+    got = {r.doc_id for r in garbled.found(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert got == set(range(0, 200, 4))
+
+
+def test_form():
+    assert codepages.form(swap("żć", "utf-8", "cp1252"), "utf-8>cp1252") > 4
+    assert codepages.form(swap("Ж", "utf-8", "cp1252") + "é", "utf-8>cp1252") == 0  # é is part of none
+    assert codepages.form("так", "utf-8>cp866") == 0  # a word, though U+282A in bytes
+
+
 def test_token_hashes_match_wherever_they_stand():
     texts = pa.array(["xé1 Größe", "", "Größe 日é"])
     doc, left, right, first, last, cp = garbled._tokens(texts)
