@@ -119,6 +119,19 @@ def undo(text: str, swap: str) -> str:
     return text
 
 
+#: Up to so many different characters above ASCII, each may have been swapped alone as likely as all.
+FEW = 4
+
+
+def alone(text: str, odd: str, known: frozenset[str] | None = None) -> dict[str, str]:
+    """What the text may have been before one of the odd characters was swapped alone, and the swap."""
+    found: dict[str, str] = {}
+    for c in odd:
+        for name, x in substitutions(c, known):
+            found.setdefault(text.replace(c, x), name)
+    return found
+
+
 def earlier(text: str, known: frozenset[str] | None = None) -> dict[str, str]:
     """What the text may have been before a wrong decoding in which ASCII stood for itself, and the swap that led to the text.
 
@@ -138,7 +151,7 @@ def earlier(text: str, known: frozenset[str] | None = None) -> dict[str, str]:
     marks = "".join(sorted({c for c in text if c >= "\x80"}))
     for name, to in substitutions(marks, known):
         found.setdefault(text.translate(str.maketrans(marks, to)), name)
-    if 1 < len(marks) <= 4:  # one of its characters may have been swapped alone
+    if 1 < len(marks) <= FEW:  # one of its characters may have been swapped alone; for more see `alone`
         for c in marks:
             for name, x in substitutions(c, known):
                 found.setdefault(text.replace(c, x), name)

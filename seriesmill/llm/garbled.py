@@ -44,6 +44,8 @@ ITERATIONS = 4
 START, STANDS, WEIGHT = 0.002, 1e-3, 20.0
 #: Candidates of less gain are left out. UTF-8 read wrongly has a form of its own; other swaps rest on the gain alone.
 LEAST_GAIN, LEAST_GAIN_UTF8 = 2.5, 0.05
+#: In a token of more than four kinds of characters above ASCII, one may have been swapped alone if a bigram of it has log P(b | a) below this.
+RARE = -5.0
 LOST = "lost"
 
 
@@ -190,6 +192,12 @@ class Reader:
         self.model = model
         self.seen: dict[tuple[int, str, int], list[tuple[str, str, float]]] = {}
 
+    def _odd(self, left: int, middle: str, right: int) -> str:
+        """The characters above ASCII that stand in a rare bigram."""
+        s = [left, *map(bigrams.symbol, middle), right]
+        rare = [self.model.log_p(a, b) < RARE for a, b in zip(s, s[1:], strict=False)]
+        return "".join(dict.fromkeys(c for i, c in enumerate(middle) if c >= "\x80" and (rare[i] or rare[i + 1])))
+
     def _middle(self, left: int, middle: str, right: int) -> list[tuple[str, str, float]]:
         key = (left, middle, right)
         out = self.seen.get(key)
@@ -208,6 +216,14 @@ class Reader:
                     gain = score(left, before, right, base + least) - base
                 if gain > least:
                     out.append((swap, before, gain))
+            if len(kinds := {c for c in middle if c >= "\x80"}) > codepages.FEW:
+                readings = codepages.alone(middle, self._odd(left, middle, right), self.model.known)
+                # a letter of a long word can be exchanged in many ways, one of which is often likelier
+                ways = math.log(max(1, len(kinds) * len(readings)))
+                for before, swap in readings.items():
+                    gain = score(left, before, right, base + ways + LEAST_GAIN) - base - ways
+                    if gain > LEAST_GAIN:
+                        out.append((swap, before, gain))
             if len(self.seen) >= MIDDLES:
                 self.seen.clear()
             self.seen[key] = out
@@ -397,22 +413,25 @@ class Findings:
     def restored(self, df: DataFrame) -> DataFrame:
         """doc_id and text of the affected documents, as far as it can be had back."""
         per_doc = (
-            self.suspects.join(self.tokens.drop("before", "sure"), ["src", "left", "token", "right"])
-            .groupBy("doc_id").agg(F.collect_set(F.struct("token", "swap")).alias("found"))
+            self.suspects.join(self.tokens.drop("sure"), ["src", "left", "token", "right"])
+            .groupBy("doc_id").agg(F.collect_set(F.struct("token", "swap", "before")).alias("found"))
         )
         kind, lm = df.schema["doc_id"].dataType.simpleString(), self.bigrams
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = bigrams.Bigrams(*lm.value)
             for b in batches:
-                texts = [restore(t, {f["token"]: f["swap"] for f in found}, model) for t, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True)]
+                texts = [restore(t, {f["token"]: f["swap"] for f in found}, model, {f["token"]: f["before"] for f in found}) for t, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
         return df.select("doc_id", "text").join(per_doc, "doc_id").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def restore(text: str, swaps: dict[str, str], model: bigrams.Bigrams) -> str:
-    """text with its garbled tokens (given with zeros for digits) read back, and those that one of their swaps makes likelier."""
+def restore(text: str, swaps: dict[str, str], model: bigrams.Bigrams, before: dict[str, str] | None = None) -> str:
+    """text with its garbled tokens (given with zeros for digits) read back, and those that one of their swaps makes likelier.
+
+    before: what the tokens were; single-byte swaps may have hit one of their characters only.
+    """
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
     s = bigrams.symbols(cp)
     inside = (s != bigrams.BLANK) & (s != bigrams.EAST)
@@ -423,9 +442,14 @@ def restore(text: str, swaps: dict[str, str], model: bigrams.Bigrams) -> str:
         token = text[i:j]
         if token.isascii():
             continue
-        swap = swaps.get("".join("0" if "0" <= c <= "9" else c for c in token))
+        key = "".join("0" if "0" <= c <= "9" else c for c in token)
+        swap = swaps.get(key)
         if swap and swap != LOST:
-            best = codepages.undo(token, swap)
+            was = (before or {}).get(key)
+            if was is not None and swap in dict(codepages.swaps()):
+                best = "".join(c if c < "\x80" else w for c, w in zip(token, was, strict=True))
+            else:
+                best = codepages.undo(token, swap)
         else:
             left, right = int(s[i - 1]) if i else bigrams.BLANK, int(s[j]) if j < len(s) else bigrams.BLANK
             options = [token, *(codepages.undo(token, x) for x in usual)]

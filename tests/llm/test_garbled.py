@@ -107,6 +107,16 @@ def test_letters_that_occur_only_garbled(spark):
     assert got == set(range(0, 200, 4))
 
 
+def test_one_letter_of_a_long_word():
+    """One letter swapped alone is a candidate among more than four kinds of letters too, and is undone alone."""
+    keys, n = bigrams.counts(pa.array([" ".join(RUSSIAN * 200)]))
+    model = bigrams.Bigrams(keys, n)
+    token = "обязан".replace("я", swap("я", "cp1251", "koi8-r"))
+    read = [r for r in garbled.Reader(model)(bigrams.BLANK, token, bigrams.BLANK) if r["before"] == "обязан"]
+    assert read and read[0]["gain"] > garbled.LEAST_GAIN
+    assert garbled.restore(f"был {token} 5", {token: read[0]["swap"]}, model, {token: "обязан"}) == "был обязан 5"
+
+
 def test_form():
     assert codepages.form(swap("żć", "utf-8", "cp1252"), "utf-8>cp1252") > 4
     assert codepages.form(swap("Ж", "utf-8", "cp1252") + "é", "utf-8>cp1252") == 0  # é is part of none
