@@ -19,7 +19,8 @@ against the bigrams of the corpus:
 
 Defined results: null, empty and blank texts aren't affected. U+FFFD and C1 control characters (but U+0085) come from
 wrong decodings only: a token with one is affected even where nothing restores it. Sources share one of SOURCES tables by hash; a null source has
-its own.
+its own. Not found: text wrongly read into East Asian characters (UTF-8 or EUC-JP read as Shift_JIS or GBK), which are part of no
+token.
 """
 
 from __future__ import annotations
