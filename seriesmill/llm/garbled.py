@@ -240,8 +240,8 @@ class Reader:
         read = []
         for swap, middle, gain in self._middle(inner_left, token[first:last], inner_right):
             before = token[:first] + middle + token[last:]
-            # symbols and digits alone have no letters around them to tell
-            if swap.startswith("utf-8") or len(token) > 1 and any(c.isalpha() for c in before):
+            # a lone character may stand in a list of symbols
+            if swap.startswith("utf-8") or len(token) > 1:
                 read.append({"swap": swap, "before": before, "gain": gain})
         paired = codepages.earlier_paired(token)
         if paired:

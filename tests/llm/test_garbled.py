@@ -117,6 +117,12 @@ def test_one_letter_of_a_long_word():
     assert garbled.restore(f"был {token} 5", {token: read[0]["swap"]}, model, {token: "обязан"}) == "был обязан 5"
 
 
+def test_token_without_a_letter():
+    keys, n = bigrams.counts(pa.array(["gegen […] und [ÖVP] " * 50]))
+    read = garbled.Reader(bigrams.Bigrams(keys, n))(bigrams.BLANK, "[Ö]", bigrams.BLANK)
+    assert "[…]" in {r["before"] for r in read}
+
+
 def test_form():
     assert codepages.form(swap("żć", "utf-8", "cp1252"), "utf-8>cp1252") > 4
     assert codepages.form(swap("Ж", "utf-8", "cp1252") + "é", "utf-8>cp1252") == 0  # é is part of none
