@@ -174,16 +174,17 @@ def exactly_once(df: DataFrame) -> DataFrame:
 def kept_rows(df: DataFrame, *columns: str) -> DataFrame:
     """The kept row of each message: path, day (UTC, days since 1970), Time, and the given columns of it.
 
-    All kept rows of a path and day are in one partition, sorted by Time: what follows within a path and day needs no
-    further shuffle. After settling, such a group has at most 86,400 rows per block that delivered it.
+    Copies are settled in each task and then by message, which spreads them evenly however many a path has. Only then
+    the kept rows of a path and day, at most 86,400, are brought together, sorted by Time: what follows within a path and
+    day needs no further shuffle.
     """
     narrow = keyed(df, *[F.col(c).alias(c) for c in columns]).select(
         *id_hashes(F.col("_path"), F.col("Time")), "_arrival", "_seq", F.col("_path").alias("path"),
         F.expr("cast(floor(Time / 86400) AS int)").alias("day"), "Time", *columns,
     )
-    placed = settle(narrow).drop("_k1", "_k2").repartition("path", "day")
-    order = Window.partitionBy("path", "day", "Time").orderBy(F.col("_arrival").asc_nulls_last(), F.col("_seq").asc_nulls_last())
-    return placed.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    order = Window.partitionBy("_k1", "_k2").orderBy(F.col("_arrival").asc_nulls_last(), F.col("_seq").asc_nulls_last())
+    one = settle(narrow).repartition("_k1", "_k2").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    return one.select("path", "day", "Time", *columns).repartition("path", "day").sortWithinPartitions("path", "day", "Time")
 
 
 def readings(df: DataFrame, *columns: str) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Distinct counts, percentiles and implausible values."""
+"""Distinct counts and percentiles."""
 
 import random
 
 import numpy as np
 import pytest
 
-from seriesmill.operators import distinct, percentiles, spikes
+from seriesmill.operators import distinct, percentiles
 
 INDEX = "Date date, Level bigint, Path string"
 
@@ -83,79 +83,3 @@ def test_quantiles_tiny(spark):
     got = {(r.path, r.q): r.value for r in percentiles.quantiles(percentiles.summaries(rows), ["path"], [0.5]).collect()}
     assert got == {("a", 0.5): 5.0, ("b", 0.5): 1.0}
     assert percentiles.quantiles(percentiles.by_key(percentiles.summaries(rows.where("false")), "day"), ["day"]).count() == 0
-
-
-LIMITS = [{"regexp": r"\.percent(\.|\?|$)", "lo": 0.0, "hi": 100.0}]
-
-
-def course(n, rng, level=50.0):
-    return [float(level + 5 * np.sin(i / 60) + rng.gauss(0, 0.3)) for i in range(n)]
-
-
-def flagged(graphite, values, path="a.percent", step=60):
-    rows = [(i, path, v, 1729814400 + i * step, 1729814400 + i * step) for i, v in enumerate(values)]
-    return {r.seq: r.flag for r in spikes.implausible(graphite(rows), LIMITS).collect()}
-
-
-def test_spikes(graphite):
-    rng = random.Random(1)
-    v = course(600, rng)
-    v[100] += 20
-    v[200:205] = [x - 15 for x in v[200:205]]
-    v[300] = float("inf")
-    v[301] = 150.0
-    v[302] = None
-    v[303] = float("nan")
-    for i in range(400, 415):
-        v[i] = 49.25
-    for i in range(450, 461):
-        v[i] = 54.7  # eleven: not stuck
-    v[500:] = [x + 12 for x in v[500:]]  # a lasting change
-    want = {100: "spike", **{i: "spike" for i in range(200, 205)}, 300: "out of range", 301: "out of range", **{i: "stuck" for i in range(400, 415)}}
-    assert flagged(graphite, v) == want
-
-
-def test_normal_oddities(graphite):
-    rng = random.Random(2)
-    constant = [3.0] * 300
-    assert flagged(graphite, constant) == {}
-    mostly = [0.0 if rng.random() < 0.9 else float(rng.randint(2, 4)) for _ in range(400)]
-    assert flagged(graphite, mostly) == {}
-    daily = course(4 * 144, rng)
-    for d in range(4):
-        daily[d * 144 + 40 : d * 144 + 44] = [x + 9 for x in daily[d * 144 + 40 : d * 144 + 44]]
-    assert flagged(graphite, daily, step=600) == {}
-    assert flagged(graphite, [1.0, 500.0, 1.0]) == {1: "out of range"}
-    assert flagged(graphite, [], "x") == {}
-
-
-def test_blocks_agree(graphite, monkeypatch):
-    """A spike near the border of two blocks is found once."""
-    rng = random.Random(3)
-    v = course(4000, rng)
-    border = (1729814400 // 86400 // spikes.BLOCK_DAYS + 1) * spikes.BLOCK_DAYS * 86400
-    at = [(border - 1729814400) // 600 + k for k in (-2, 1)]
-    assert 0 < at[0] < 4000
-    for i in at:
-        v[i] += 20
-    assert flagged(graphite, v, step=600) == {i: "spike" for i in at}
-
-
-def test_forward_backward_long_rows():
-    rng = np.random.default_rng(0)
-    n = 3 * spikes.ROW + 17
-    e = spikes.emissions(rng.normal(size=n), np.zeros(n, bool), np.full(n, 0.05), np.zeros(n, bool))
-    group_first, group_last = np.zeros(n, int), np.full(n, n - 1)
-    cut = spikes.forward_backward(e, group_first, group_last)
-    alpha, beta = np.empty((n, 4)), np.empty((n, 4))
-    a = spikes.FIRST
-    for i in range(n):
-        a = (a if i == 0 else a @ spikes.STEPS) * e[i]
-        alpha[i] = a = a / a.sum()
-    b = np.ones(4)
-    for i in range(n - 1, -1, -1):
-        beta[i] = b
-        b = (b * e[i]) @ spikes.STEPS.T
-        b /= b.sum()
-    whole = alpha * beta
-    assert np.abs(cut - whole / whole.sum(axis=1, keepdims=True)).max() < 1e-6
