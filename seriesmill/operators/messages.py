@@ -31,6 +31,8 @@ VECTOR_ROWS = 32768
 VECTOR_BYTES = 4096
 #: Bytes of deletion vectors that may be broadcast at once; more are applied file group by file group.
 BROADCAST_BYTES = 64 << 20
+#: Rows with their paths go to so many times the usual number of tasks, so that each sorts its own in memory.
+TASKS = 2
 LATEST = np.iinfo(np.int64).max
 
 
@@ -178,13 +180,15 @@ def kept_rows(df: DataFrame, *columns: str) -> DataFrame:
     the kept rows of a path and day, at most 86,400, are brought together, sorted by Time: what follows within a path and
     day needs no further shuffle.
     """
-    narrow = keyed(df, *[F.col(c).alias(c) for c in columns]).select(
-        *id_hashes(F.col("_path"), F.col("Time")), "_arrival", "_seq", F.col("_path").alias("path"),
-        F.expr("cast(floor(Time / 86400) AS int)").alias("day"), "Time", *columns,
-    )
-    order = Window.partitionBy("_k1", "_k2").orderBy(F.col("_arrival").asc_nulls_last(), F.col("_seq").asc_nulls_last())
-    one = settle(narrow).repartition("_k1", "_k2").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
-    return one.select("path", "day", "Time", *columns).repartition("path", "day").sortWithinPartitions("path", "day", "Time")
+    rows = settle(keyed(df, *[F.col(c).alias(c) for c in columns]).select(
+        *id_hashes(F.col("_path"), F.col("Time")), "_arrival", "_seq", F.col("_path").alias("path"), "Time", *[c for c in columns if c != "seq"]
+    )).drop("_k1", "_k2")
+    order = Window.partitionBy("path", "Time").orderBy(F.col("_arrival").asc_nulls_last(), F.col("_seq").asc_nulls_last())
+    parts = TASKS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = rows.repartition(parts, "path", "Time").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    day = F.expr("cast(floor(Time / 86400) AS int)").alias("day")
+    kept = one.select("path", day, "Time", *[F.col("_seq").alias("seq") if c == "seq" else F.col(c) for c in columns])
+    return kept.repartition(parts, "path", "day").sortWithinPartitions("path", "day", "Time")
 
 
 def readings(df: DataFrame, *columns: str) -> DataFrame:

@@ -384,11 +384,10 @@ def daily_course(path: np.ndarray, day: np.ndarray, cells: pa.ListArray, peak_ce
     return target_row, key & 255, np.where(one, usual[2], usual[0]), np.where(one, usual[3], usual[1])
 
 
-#: What a day of a series needs to be worked on. Times are epoch seconds; cells count from the epoch.
-COURSE = (
-    "path string, day int, parameters array<double>, before_time array<bigint>, before array<double>, after_time array<bigint>, after array<double>, "
-    "cell array<bigint>, low array<double>, high array<double>"
-)
+#: What a day of a series needs to be worked on, in 64-bit words, so that it is one column: the numbers of readings before and
+#: after and of cells; the parameters; times (epoch seconds) and values before, the same after; cells (from the epoch), low, high.
+COURSE = "path string, day int, words array<bigint>"
+COUNTS = 3
 
 
 def _from_zero(x: pa.ListArray) -> pa.ListArray:
@@ -452,8 +451,10 @@ def courses(t: pa.Table) -> pa.RecordBatch:
     scale = _noise_of(of_steps, np.concatenate((lists["step"].values.to_numpy(), step_bin(over[over > 0]))), np.concatenate((lists["step_n"].values.to_numpy(), np.ones((over > 0).sum()))), equal, level)
     counts = _sums(lists["counts"], path, paths).reshape(paths, 4, 4)
     p = fit(counts, _sums(lists["seen"], path, paths), scale, repeat_rate(equal, steps, longest))
+    counts_of: list[np.ndarray] = []
+    blocks: list[tuple[np.ndarray, np.ndarray]] = []  # (numbers by day, values)
+    blocks.append((np.full(len(day), p.shape[1]), p[path].reshape(-1).view(np.int64)))
     # readings before and after each day
-    halo = []
     for name, before in (("tail", True), ("head", False)):
         ends = lists[name].offsets.to_numpy().astype(np.int64)
         of = np.repeat(np.arange(len(day)), np.diff(ends))
@@ -462,7 +463,8 @@ def courses(t: pa.Table) -> pa.RecordBatch:
             at_ends, at = _slices(np.maximum(ends[begin][path], ends[:-1] - HALO), ends[:-1])
         else:
             at_ends, at = _slices(ends[1:], np.minimum(ends[begin + size][path], ends[1:] + HALO))
-        halo += [_lists(at_ends, time[at], pa.int64()), _lists(at_ends, value[at], pa.float64())]
+        counts_of.append(np.diff(at_ends))
+        blocks += [(counts_of[-1], time[at].astype(np.int64)), (counts_of[-1], value[at].view(np.int64))]
     # the course of the day and of its neighbours, for the halo
     row, cell, low, high = daily_course(path, day, lists["cells"], lists["peak_cell"], [lists[c] for c in ("low", "high", "mid")])
     useful = (low < 0) | (high > 0)
@@ -478,10 +480,42 @@ def courses(t: pa.Table) -> pa.RecordBatch:
     to, what = np.concatenate(to), np.concatenate(what)
     order = np.lexsort((cell[what] + day[row[what]] * 96, to))
     to, what = to[order], what[order]
-    ends = _ends(np.bincount(to, minlength=len(day)))
-    course = [_lists(ends, cell[what] + day[row[what]] * 96, pa.int64()), _lists(ends, low[what], pa.float64()), _lists(ends, high[what], pa.float64())]
-    own = p[path]
-    return pa.RecordBatch.from_arrays([_column(t, "path"), _column(t, "day"), _lists(np.arange(len(day) + 1) * own.shape[1], own.reshape(-1), pa.float64()), *halo, *course], names=[c.split()[0] for c in COURSE.split(", ")])
+    counts_of.append(np.bincount(to, minlength=len(day)))
+    blocks += [(counts_of[-1], cell[what] + day[row[what]] * 96), (counts_of[-1], low[what].view(np.int64)), (counts_of[-1], high[what].view(np.int64))]
+    blocks.insert(0, (np.full(len(day), COUNTS), np.stack(counts_of, axis=1).reshape(-1)))
+    ends = _ends(np.sum([n for n, _ in blocks], axis=0))
+    words = np.empty(ends[-1], np.int64)
+    start = ends[:-1].copy()
+    for n, values in blocks:
+        words[_slices(start, start + n)[1]] = values
+        start += n
+    return pa.RecordBatch.from_arrays([_column(t, "path"), _column(t, "day"), _lists(ends, words, pa.int64())], names=["path", "day", "words"])
+
+
+class Told:
+    """The words of COURSE of many days, taken apart. Days without are of the prior, with nothing before or after."""
+
+    def __init__(self, words: pa.ListArray) -> None:
+        flat = words.flatten().to_numpy()
+        n = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
+        start = np.cumsum(n) - n
+        held = np.flatnonzero(n)
+        counts = np.zeros((len(n), COUNTS), np.int64)
+        counts[held] = flat[start[held, None] + np.arange(COUNTS)]
+        self.parameters = np.tile(PRIOR, (len(n), 1))
+        self.parameters[held] = flat[start[held, None] + COUNTS + np.arange(len(PRIOR))].view(np.float64)
+        self.before, self.after, self.cells = counts.T
+        start = start + COUNTS + len(PRIOR)
+
+        def take(n: np.ndarray) -> np.ndarray:
+            nonlocal start
+            out = flat[_slices(start, start + n)[1]]
+            start = start + n
+            return out
+
+        self.before_time, self.before_value = take(self.before), take(self.before).view(np.float64)
+        self.after_time, self.after_value = take(self.after), take(self.after).view(np.float64)
+        self.cell, self.low, self.high = take(self.cells), take(self.cells).view(np.float64), take(self.cells).view(np.float64)
 
 
 def decide(
@@ -591,31 +625,30 @@ def _flags(t: pa.Table, rules: list[tuple[str | None, float | None, float | None
     paths = _column(t, "path").take(head).dictionary_encode()
     limits = np.array([limits_of(p, rules) for p in paths.dictionary.to_pylist()], np.float64)[paths.indices.to_numpy()]
     day, time, value = t["day"].to_numpy(), t["Time"].to_numpy(), t["value"].to_numpy()
-    lists = {c: _column(t, c).take(head) for c in ("parameters", "before_time", "before", "after_time", "after", "cell", "low", "high")}
-    count = {c: pc.fill_null(pc.list_value_length(x), 0).to_numpy() for c, x in lists.items()}
-    flat = {c: x.flatten().to_numpy() for c, x in lists.items()}
-    p = np.tile(PRIOR, (len(head), 1))
-    p[count["parameters"] > 0] = flat["parameters"].reshape(-1, len(PRIOR))
+    told = Told(_column(t, "words").take(head))
     good = np.flatnonzero(np.isfinite(value))
     own_n = np.bincount(group[good], minlength=len(head))
-    total = count["before"] + own_n + count["after"]
+    total = told.before + own_n + told.after
     base = np.cumsum(total) - total
     n = int(total.sum())
     at_time, at_value, own, back = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool), np.zeros(n, np.int64)
-    for name, start, size in (("before", base, count["before"]), (None, base + count["before"], own_n), ("after", base + count["before"] + own_n, count["after"])):
-        _, at = _slices(start, start + size)
-        at_time[at], at_value[at] = (flat[f"{name}_time"], flat[name]) if name else (time[good], value[good])
-        if not name:
-            own[at], back[at] = True, good
-    which = np.repeat(np.arange(len(head)), total)
+
+    def put(start: np.ndarray, count: np.ndarray, times: np.ndarray, values: np.ndarray) -> np.ndarray:
+        at = _slices(start, start + count)[1]
+        at_time[at], at_value[at] = times, values
+        return at
+
+    put(base, told.before, told.before_time, told.before_value)
+    at = put(base + told.before, own_n, time[good], value[good])
+    own[at], back[at] = True, good
+    put(base + told.before + own_n, told.after, told.after_time, told.after_value)
     # groups without a finite value have no reading, and so no number in a sorted numbering
     held = np.flatnonzero(total)
-    dense = (np.cumsum(total > 0) - 1)[which]
-    course_of = np.repeat(np.cumsum(total > 0) - 1, count["cell"])
+    number = np.cumsum(total > 0) - 1
     state = np.where(np.isinf(value), OUT, NORMAL).astype(np.int8)
     found = decide(
-        dense, at_time, at_value, own, p[held], limits[held, 0], limits[held, 1], (count["before"] == 0)[held], (count["after"] == 0)[held],
-        (course_of, flat["cell"], flat["low"], flat["high"]),
+        np.repeat(number, total), at_time, at_value, own, told.parameters[held], limits[held, 0], limits[held, 1], (told.before == 0)[held], (told.after == 0)[held],
+        (np.repeat(number, told.cells), told.cell, told.low, told.high),
     )
     state[back[own]] = found[own]
     hit = np.flatnonzero(state != NORMAL)
@@ -633,6 +666,5 @@ def implausible(df: DataFrame, limits: Iterable[Row]) -> DataFrame:
     course = placed.mapInArrow(lambda batches: (courses(t) for t in whole(batches, ("path",), 1 << 14)), COURSE)
     first = F.lag("Time").over(Window.partitionBy("path", "day").orderBy("Time")).isNull()
     told = rows.withColumn("_first", first).join(course, ["path", "day"], "left")
-    names = [c.split()[0] for c in COURSE.split(", ")][2:]
-    once = told.select("seq", "path", "day", "Time", "value", *[F.when(F.col("_first"), F.col(c)).alias(c) for c in names])
+    once = told.select("seq", "path", "day", "Time", "value", F.when(F.col("_first"), F.col("words")).alias("words"))
     return once.mapInArrow(lambda batches: (_flags(t, rules) for t in whole(batches, ("path", "day"))), "seq bigint, path string, Time bigint, value double, flag string")
