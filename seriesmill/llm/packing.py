@@ -4,8 +4,8 @@ Sizes are tokens of a public tokenizer. An item larger than the capacity is cut
 an item like others; nothing else is cut. Each task packs its own items by best fit, largest first, and gives out the bins
 that are nearly full. The underfull bins go on as items of their filled size: in each round they are spread over groups
 of at most GROUP bins, packed by best fit again, and the nearly full ones given out. Rounds go on while they make the
-underfull bins fewer by a tenth; then all are given out. No task holds more than a group, and bins that can't be filled
-any further don't go round for ever.
+underfull bins fewer by a tenth, ROUNDS at most; then all are given out. No task holds more than a group, and bins that
+can't be filled any further don't go round for ever.
 
 Defined results: null and empty texts are no items. Equal items are interchangeable; a null or repeated doc_id is carried along. No items: no bins. A capacity below 1 is an error.
 """
@@ -27,6 +27,8 @@ from seriesmill.session import checkpoint
 NEARLY = 128
 #: Most underfull bins that are packed in one task.
 GROUP = 200_000
+#: Most rounds. With a tenth fewer bins each time, so many leave a thousandth of them underfull.
+ROUNDS = 63
 #: Most classes of bins; they are configuration.
 MOST_CLASSES = 1000
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("first", pa.int64()), ("tokens", pa.int64())])
@@ -134,13 +136,13 @@ def _round(underfull: DataFrame, capacity_of: dict[str, int], nth: int, groups:
     return underfull.select("*", part).groupBy("bin_class", "part").applyInArrow(run, BINS)
 
 
-def pack_sizes(counts: DataFrame, bins: DataFrame, group: int = GROUP) -> DataFrame:
+def pack_sizes(counts: DataFrame, bins: DataFrame, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """bin_class, bin, filled, doc_id, piece, first, tokens: each item (or piece of one) in its bin. counts: doc_id, tokens."""
     classes = _classes(bins)
     capacity_of = dict(classes)
     counts = counts.where("tokens > 0").select(F.col("doc_id").cast("bigint"), F.col("tokens").cast("bigint"))
     done, now, before = [], checkpoint(_first_round(counts, classes)), None
-    for nth in range(1, 64):
+    for nth in range(1, rounds + 1):
         done.append(now.where("full"))
         left = now.where("NOT full")
         per_class = left.groupBy("bin_class").count().collect()
@@ -151,13 +153,41 @@ def pack_sizes(counts: DataFrame, bins: DataFrame, group: int = GROUP) -> DataFr
             break
         before = total
         now = checkpoint(_round(left, capacity_of, nth, -(-most // group)))
+    else:
+        done.append(now)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out.select("bin_class", "bin", "filled", F.explode("items").alias("i")).select("bin_class", "bin", "filled", "i.doc_id", "i.piece", "i.first", "i.tokens")
 
 
+def sizes(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """doc_id and tokens of the documents with a text, worked out once."""
+    texts = documents.where(F.octet_length("text") > 0)
+    return checkpoint(token_counts(texts, tokenizer=tokenizer, folder=folder))
+
+
 def pack(documents: DataFrame, bins: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """pack_sizes over the documents' texts."""
-    texts = documents.where(F.octet_length("text") > 0)
-    return pack_sizes(checkpoint(token_counts(texts, tokenizer=tokenizer, folder=folder)), bins)
+    return pack_sizes(sizes(documents, tokenizer, folder), bins)
+
+
+def audit(packed: DataFrame, counts: DataFrame, bins: DataFrame) -> DataFrame:
+    """bin_class, documents, overfull, cut, lost: what the result holds, and the bins and documents that break a rule.
+
+    overfull: bins above the capacity; cut: documents in more pieces than their size asks for; lost: documents whose pieces
+    don't add up to their size. Documents are told apart by doc_id, which must be unique.
+    """
+    classes = bins.select("bin_class", "capacity")
+    full = packed.groupBy("bin_class", "bin").agg(F.sum("tokens").alias("filled")).join(F.broadcast(classes), "bin_class")
+    overfull = full.groupBy("bin_class").agg(F.count_if(F.col("filled") > F.col("capacity")).alias("overfull"))
+    held = packed.groupBy("bin_class", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("held"))
+    every = F.array(*[F.struct(F.lit(n).alias("bin_class"), F.lit(c).cast("bigint").alias("capacity")) for n, c in _classes(bins)])
+    wanted = counts.where("tokens > 0").select("doc_id", "tokens", F.inline(every))
+    each = wanted.join(held, ["bin_class", "doc_id"], "left")
+    per = each.groupBy("bin_class").agg(
+        F.count("pieces").alias("documents"),
+        F.count_if(F.col("pieces") > F.ceil(F.col("tokens") / F.col("capacity"))).alias("cut"),
+        F.count_if(F.coalesce("held", F.lit(0)) != F.col("tokens")).alias("lost"),
+    )
+    return per.join(overfull, "bin_class").select("bin_class", "documents", "overfull", "cut", "lost")

@@ -51,6 +51,21 @@ def test_random(spark, seed):
         assert used[name] <= (whole + full) * 1.03 + 2
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_no_round_loses_items(spark, rounds):
+    """When the rounds end while they still help, what is underfull is given out as it is."""
+    rng = random.Random(10)
+    sizes = [rng.randint(1, 60) for _ in range(600)]
+    counts = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, tokens bigint").repartition(8)
+    bins = spark.createDataFrame(CLASSES, "bin_class string, capacity bigint")
+    packed = packing.pack_sizes(counts, bins, 20, rounds)
+    check(packed.collect(), sizes)
+    got = {r.bin_class: (r.documents, r.overfull, r.cut, r.lost) for r in packing.audit(packed, counts, bins).collect()}
+    assert got == {name: (600, 0, 0, 0) for name, _ in CLASSES}
+    spoilt = packed.where("doc_id <> 7").withColumn("tokens", packed.tokens + (packed.doc_id == 8).cast("bigint"))
+    assert [r.lost for r in packing.audit(spoilt, counts, bins).collect()] == [2, 2]
+
+
 def test_many_rounds_in_small_groups(spark):
     rng = random.Random(9)
     sizes = [rng.randint(1, 60) for _ in range(600)]
