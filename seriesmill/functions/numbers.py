@@ -19,6 +19,11 @@ def parse_float(c: Column) -> Column:
     )
 
 
+def is_number(value: Column) -> Column:
+    """Whether a source takes the value: not null and not NaN; infinite ones are taken."""
+    return value.isNotNull() & ~F.isnan(value)
+
+
 def wrap_u32(c: Column) -> Column:
     """A 64-bit integer as the wire keeps it: its lowest 32 bits, unsigned."""
     return F.pmod(c, F.lit(U32))

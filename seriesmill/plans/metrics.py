@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,9 @@ from seriesmill.functions.rules import read_rules
 from seriesmill.functions.templates import Template, apply_templates
 from seriesmill.operators import filters, search, storage, tables
 from seriesmill.plans import sql as S
-from seriesmill.session import table
+from seriesmill.session import shared_folder, table
 from seriesmill.sources import binary, plain, telegraf
-from seriesmill.streaming import metrics
+from seriesmill.streaming import fanout, metrics
 
 NOW, VERSION, TTL = 1706745600, 1706745600, 43200
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +98,18 @@ def plain_parse_errors(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("event_id", "error", "Value", "Time")
 
 
+@query("""
+    SELECT user_id, event_type || '.' || event_id AS Path, value AS Value, CAST(floor(epoch(ts)) AS BIGINT) AS Time
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events) WHERE back > 1
+""")
+def framing(spark: SparkSession, folder: str) -> DataFrame:
+    """Received blocks, one for each user, whose last line is unfinished."""
+    line = F.concat_ws(" ", F.concat_ws(".", "event_type", "event_id"), F.col("value").cast("string"), F.unix_timestamp("ts").cast("string"))
+    per = table(spark, folder, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x"))
+    blocks = per.select("user_id", F.array_join(F.transform("x", lambda x: x["line"]), "\r\n").alias("block"))
+    return plain.parse(plain.complete_lines(blocks, "block"), "line", NOW).select("user_id", "Path", "Value", "Time")
+
+
 @query(f"SELECT seq, {S.squeeze('Path')} AS path FROM graphite")
 def squeeze_dots(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "graphite").select("seq", paths.squeeze_dots(F.col("Path")).alias("path"))
@@ -133,12 +146,23 @@ def path_escape(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "telegraf_metric").select("metric_id", *[escape.path_escape(F.col(c)).alias(c) for c in ("name", "fields")])
 
 
-@query("SELECT metric_id, fields, replace(timestamp, '+', ' ') AS timestamp FROM telegraf_metric")
+#: By event_id % 12: an escaped text, and what it stands for.
+ESCAPED = (
+    ("cpu%20idle", "cpu idle"), ("%", "%"), ("%a", "%a"), ("%zz", "%zz"), ("%E4%B8%AD", "中"), ("50%25+more", "50% more"), ("%4", "%4"), ("%%41", "%%41"), ("a%2Fb%2fc", "a/b/c"),
+    ("%D0%B8x%C3%A9", "иxé"), ("+%2B+", " + "), ("100%", "100%"),
+)
+
+
+@query(
+    "SELECT event_id, CASE event_id % 12 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(ESCAPED)) + " END || '.' || event_type AS text, "
+    "m.fields FROM events LEFT JOIN (SELECT metric_id, fields FROM telegraf_metric) m ON metric_id = event_id"
+)
 def unescape(spark: SparkSession, folder: str) -> DataFrame:
-    """Escaping and unescaping gives the text back; timestamps hold pluses but no percent signs."""
-    return table(spark, folder, "telegraf_metric").select(
-        "metric_id", escape.unescape(escape.query_escape(F.col("fields"))).alias("fields"), escape.unescape(F.col("timestamp")).alias("timestamp")
-    )
+    """Escapes, well formed and not; and texts that are escaped and brought back."""
+    text = F.concat(F.element_at(F.array(*[F.lit(e) for e, _ in ESCAPED]), (F.col("event_id") % 12 + 1).cast("int")), F.lit("."), "event_type")
+    fields = table(spark, folder, "telegraf_metric").select("metric_id", escape.unescape(escape.query_escape(F.col("fields"))).alias("fields"))
+    rows = table(spark, folder, "events").select("event_id", escape.unescape(text).alias("text"))
+    return rows.join(fields, F.col("event_id") == F.col("metric_id"), "left").select("event_id", "text", "fields")
 
 
 @query(f"WITH {POINTS} SELECT seq, Path AS path FROM p")
@@ -150,12 +174,22 @@ TEMPLATES = [Template.parse(t) for t in ("events.* .kind.measurement* app=shop",
 
 
 @query(f"""
-    WITH {EVENTS}
-    SELECT event_id, regexp_extract(Path, '[^.]*$') || '?app=shop&dc=one&kind=' || split_part(Path, '.', 2) AS path FROM e
+    WITH named AS (
+      SELECT event_id, event_id % 4 AS k, event_type AS kind, 'u' || user_id AS who FROM events)
+    SELECT event_id, CASE k
+      WHEN 0 THEN who || '_x?app=shop&dc=one&kind=' || kind
+      WHEN 1 THEN 'load_' || kind || '?core=c7&dc=one&host=' || who
+      WHEN 2 THEN kind || '_' || who || '_x?dc=one' ELSE kind END AS path FROM named
 """)
 def template_tags(spark: SparkSession, folder: str) -> DataFrame:
-    named = apply_templates(F.col("Path"), TEMPLATES, "_", ["dc=one"])
-    return _event_points(spark, folder).select("event_id", paths.canonical_tags(named).alias("path"))
+    """A name for each of the three templates, and one that none matches."""
+    kind, who, dot = F.col("event_type"), F.concat(F.lit("u"), "user_id"), F.lit(".")
+    forms = F.array(
+        F.concat(F.lit("events."), kind, dot, who, F.lit(".x")), F.concat(F.lit("lab."), who, F.lit(".load.c7."), kind), F.concat(F.lit("other."), kind, dot, who, F.lit(".x")), kind
+    )
+    name = F.element_at(forms, (F.col("event_id") % 4 + 1).cast("int"))
+    named = apply_templates(name, TEMPLATES, "_", ["dc=one"])
+    return table(spark, folder, "events").select("event_id", paths.canonical_tags(named).alias("path"))
 
 
 # --- drops
@@ -196,17 +230,18 @@ def drop_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
     WITH {POINTS}, last AS (SELECT * FROM p WHERE {REASONS} IS NOT NULL ORDER BY seq DESC LIMIT 1000)
-    SELECT 'tcp/' || Path || '/' || Time AS line FROM last
+    SELECT 'tcp/' || Path || '/' || Time || coalesce('/' || CASE WHEN isnan(Value) THEN 'NaN' WHEN isinf(Value) THEN CASE WHEN Value < 0 THEN '-' ELSE '' END || 'Infinity' ELSE printf('%.6f', Value) END, '') AS line FROM last
 """)
 def recent_drops(spark: SparkSession, folder: str) -> DataFrame:
-    """A report of the last 1000 drops; without the value, whose text form differs between engines."""
+    """A report of the last 1000 drops; values with six decimals, since engines write doubles differently."""
     rows = _judged(spark, folder, future=3600, past=7200, longest=40).where("reason IS NOT NULL")
-    return filters.recent_drops(rows.withColumn("Value", F.lit(None).cast("string")), "seq", "tcp")
+    text = F.when(F.col("Value").isNotNull(), F.format_string("%.6f", "Value"))
+    return filters.recent_drops(rows.withColumn("Value", text), "seq", "tcp")
 
 
 @query("SELECT sample_id FROM prom_sample WHERE value IS NOT NULL AND CAST(value AS VARCHAR) <> 'nan'")
 def nan_reject(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "prom_sample").where("value IS NOT NULL AND NOT isnan(value)").select("sample_id")
+    return table(spark, folder, "prom_sample").where(numbers.is_number(F.col("value"))).select("sample_id")
 
 
 @query(f"WITH {POINTS} SELECT seq FROM p WHERE Path <> 'stats.gateway.requests.count.sum'")
@@ -336,7 +371,7 @@ def _rolled(spark: SparkSession, folder: str, function: str | None = None) -> Da
     rules = read_rules(table(spark, folder, "rollup_rules"))
     if function:
         rules = [r.asDict() | {"function": function} for r in rules]
-    p = _points(spark, folder).where("Value IS NOT NULL AND NOT isnan(Value) AND abs(Value) < 1e15")
+    p = _points(spark, folder).where("Value IS NOT NULL AND NOT isnan(Value) AND abs(Value) < double('infinity')")
     rows = storage.rollup(p, rules, ROLL_NOW)
     return rows.select("Path", "Time", F.round(F.col("Value") + 0.000331234, 2).alias("Value"), "Date")
 
@@ -347,7 +382,7 @@ ROLL_SQL = f"""
     named AS (
       SELECT Path, arg_min(r.regexp, r.rule_no) AS regexp, arg_min(r.function, r.rule_no) AS function
       FROM (SELECT DISTINCT Path FROM p) d, rollup_rules r WHERE r.regexp IS NULL OR regexp_matches(d.Path, r.regexp) GROUP BY Path),
-    one AS (SELECT * FROM p WHERE isfinite(Value) AND abs(Value) < 1e15 QUALIFY row_number() OVER (PARTITION BY Path, Time ORDER BY Timestamp DESC NULLS LAST, Value DESC) = 1),
+    one AS (SELECT * FROM p WHERE isfinite(Value) QUALIFY row_number() OVER (PARTITION BY Path, Time ORDER BY Timestamp DESC NULLS LAST, Value DESC) = 1),
     aged AS (
       SELECT one.*, n.function, coalesce((SELECT arg_max(r.precision, r.age) FROM rollup_rules r WHERE r.regexp IS NOT DISTINCT FROM n.regexp AND r.age <= {ROLL_NOW} - one.Time), 1) AS step
       FROM one JOIN named n USING (Path))
@@ -416,17 +451,26 @@ def fetch_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-    WITH f AS (SELECT metric_id, name, received, tags, unnest(json_keys(fields)) AS k, fields FROM telegraf_metric),
+    WITH m AS (SELECT *, regexp_full_match(timestamp, '[ \\t\\n\\r]*-?(0|[1-9][0-9]*)[ \\t\\n\\r]*') AND try_cast(trim(timestamp, ' ' || chr(9) || chr(10) || chr(13)) AS BIGINT) IS NOT NULL AS whole,
+                 regexp_full_match(timestamp, '[ \\t\\n\\r]*-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?[ \\t\\n\\r]*') AS number FROM telegraf_metric),
+    f AS (SELECT metric_id, name, coalesce(try_cast(trim(timestamp, ' ' || chr(9) || chr(10) || chr(13)) AS BIGINT), 0) AS t, tags, unnest(json_keys(fields)) AS k, fields FROM m WHERE timestamp IS NULL OR whole),
     v AS (SELECT *, json_type(fields, '$."' || k || '"') AS kind, json_extract_string(fields, '$."' || k || '"') AS x FROM f),
     e AS (SELECT *, list_sort(map_keys(tags)) AS ks FROM v WHERE kind IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN'))
     SELECT metric_id, {S.path_escape('name')} || CASE WHEN k = 'value' THEN '' ELSE '_' || {S.path_escape('k')} END || '?'
       || coalesce(array_to_string(list_transform(ks, lambda t: CASE WHEN t = 'name' AND len(ks) > 1 THEN '_name' ELSE {S.query_escape('t')} END || '=' || {S.query_escape('tags[t]')}), '&'), '') AS Path,
-      CASE x WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 ELSE x::DOUBLE END AS Value, received AS Time
+      CASE x WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 ELSE x::DOUBLE END AS Value, (t % 4294967296 + 4294967296) % 4294967296 AS Time, NULL AS error
     FROM e
+    UNION ALL SELECT metric_id, NULL, NULL, NULL, CASE WHEN number THEN 'metrics: wrong kind of a part' ELSE 'no JSON object' END FROM m WHERE NOT (timestamp IS NULL OR whole)
 """)
 def telegraf_json(spark: SparkSession, folder: str) -> DataFrame:
-    rows = telegraf.points(table(spark, folder, "telegraf_metric").drop("timestamp"), "received")
-    return rows.select("metric_id", "Path", "Value", "Time")
+    """A payload for each metric, with its time as it stood there; payloads with another kind of time give their error."""
+    rest = F.to_json(F.struct(F.lit(1).alias("v"), "name", "tags"))
+    body = F.concat(
+        F.lit('{"metrics":['), F.substring(rest, F.lit(1), F.length(rest) - 1), F.lit(',"fields":'), F.coalesce("fields", F.lit("null")),
+        F.lit(',"timestamp":'), F.coalesce("timestamp", F.lit("null")), F.lit("}]}"),
+    )
+    payloads = table(spark, folder, "telegraf_metric").select("metric_id", body.alias("value"))
+    return telegraf.points(telegraf.payload_metrics(payloads, keep=("metric_id",))).select("metric_id", "Path", "Value", "Time", "error")
 
 
 def _encoded(df: DataFrame, columns: list[str], make) -> DataFrame:
@@ -462,8 +506,7 @@ def grpc_payload(spark: SparkSession, folder: str) -> DataFrame:
         "value", F.unix_timestamp("ts").alias("time"),
     )
     make = lambda rows: binary.put_payload([(n, [(t, v)]) for n, v, t in rows])
-    bodies = _encoded(e, ["name", "value", "time"], make).withColumn("part", F.monotonically_increasing_id())
-    return binary.payload(bodies, "part").select("Path", "Value", "Time")
+    return binary.payload(_encoded(e, ["name", "value", "time"], make)).select("Path", "Value", "Time")
 
 
 @query(f"WITH {EVENTS} SELECT replace(Path, 'events.', 'events..') AS Path, Value, Time FROM e")
@@ -508,9 +551,17 @@ def day_utc(spark: SparkSession, folder: str) -> DataFrame:
     return _points(spark, folder).select("seq", F.col("Date").alias("day"))
 
 
-@query(f"WITH {POINTS} SELECT seq, CAST(to_timestamp(Time) AT TIME ZONE 'UTC' + INTERVAL 5 HOUR + INTERVAL 45 MINUTE AS DATE) AS day FROM p")
+#: Epoch seconds at which Berlin's summer times begin and end.
+SUMMER = ((1679792400, 1698541200), (1711846800, 1729990800), (1743296400, 1761440400))
+
+
+@query(
+    f"WITH {POINTS} SELECT seq, DATE '1970-01-01' + CAST((Time + CASE WHEN " + " OR ".join(f"Time >= {a} AND Time < {b}" for a, b in SUMMER)
+    + " THEN 7200 ELSE 3600 END) // 86400 AS INTEGER) AS day FROM p"
+)
 def day_local(spark: SparkSession, folder: str) -> DataFrame:
-    return _points(spark, folder).select("seq", numbers.local_day(F.col("Time"), "Asia/Kathmandu").alias("day"))
+    """The day in a zone whose summer time ends within the data."""
+    return _points(spark, folder).select("seq", numbers.local_day(F.col("Time"), "Europe/Berlin").alias("day"))
 
 
 # --- counters
@@ -533,10 +584,14 @@ def self_metrics(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT 'tagged', (SELECT sum(1 + len(string_split(substr(Path, instr(Path, '?') + 1), '&'))) FROM (SELECT DISTINCT Date, Path FROM p WHERE contains(Path, '?')))::BIGINT
 """)
 def fan_out_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches through the fan-out, the second of which brings nothing but what the first had; then what the tables hold."""
+    root = f"{shared_folder(spark)}/fan-out-{uuid.uuid4().hex}"
+    sinks = [fanout.Sink(kind, f"{root}/{kind}") for kind in ("points", "index", "series", "tagged")]
     p = _points(spark, folder)
-    parts = {"points": tables.points(p), "index": tables.index(p, VERSION), "series": tables.series(p, VERSION), "tagged": tables.tagged(p, VERSION)}
+    fanout.write_batch(p, 1, sinks, VERSION)
+    fanout.write_batch(p, 2, sinks[1:], VERSION)
     out = None
-    for name, df in parts.items():
-        one = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+    for s in sinks:
+        one = spark.read.parquet(s.path).drop("batch").agg(F.lit(s.kind).alias("name"), F.count(F.lit(1)).alias("n"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.sources.binary import put_rows
+from seriesmill.operators.messages import in_blocks
+from seriesmill.sources.binary import put_records
 from seriesmill.sources.plain import format_line
 from seriesmill.sources.wire import put_varint
 
@@ -28,10 +29,11 @@ def row_files(points: DataFrame, lz4: bool = False, rows: int = 1 << 16) -> Data
     """content, lz4: the points as contents of row files of at most so many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_blocks((b for b in batches if b.num_rows), rows):
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                data = put_rows(zip(*(part.column(c).to_pylist() for c in ("Path", "Value", "Time", "days", "Timestamp")), strict=True), lz4)
+                numbers = (part.column(c).to_numpy(zero_copy_only=False) for c in ("Value", "Time", "days", "Timestamp"))
+                data = put_records(part.column("Path"), *numbers, lz4)
                 yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([lz4])], names=["content", "lz4"])
 
     flat = points.where("Path IS NOT NULL AND Value IS NOT NULL AND Time IS NOT NULL AND Date IS NOT NULL").select(

@@ -1,5 +1,5 @@
 """Sources: whatever the wire delivers, as canonical points."""
 
-from seriesmill.sources.registry import source
+from seriesmill.sources.registry import Tagging, source, spool_delay, union
 
-__all__ = ["source"]
+__all__ = ["Tagging", "source", "spool_delay", "union"]

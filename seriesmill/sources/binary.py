@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pickle
 import struct
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from seriesmill.functions.escape import query_escape
-from seriesmill.functions.numbers import seconds_of_ms, wrap_u32
+from seriesmill.functions.numbers import is_number, seconds_of_ms, wrap_u32
 from seriesmill.functions.paths import canonical_tags
+from seriesmill.operators.zones import offset_at, transitions
 from seriesmill.sources import wire
 
 #: Longest name that a payload may hold, in bytes, and longest pickle frame.
@@ -94,7 +96,7 @@ def label_path(labels):
 def remote_write(bodies: DataFrame, body: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """keep, Path, Value, Time, error. NaN samples are left out; times are milliseconds, divided towards zero."""
     rows = decode(bodies, "labels array<struct<name:string,value:string>>, Value double, ms bigint", ["labels", "Value", "ms"], _remote_write, body, keep)
-    good = rows.where(F.col("error").isNotNull() | ~F.isnan("Value"))
+    good = rows.where(F.col("error").isNotNull() | is_number(F.col("Value")))
     return good.select(*keep, label_path(F.col("labels")).alias("Path"), "Value", wrap_u32(seconds_of_ms(F.col("ms"))).alias("Time"), "error")
 
 
@@ -110,6 +112,12 @@ def put_remote_write(series: Iterable[tuple[Iterable[tuple[str, str]], Iterable[
 # --- payload: Payload{metrics{metric, points{timestamp, value}}}; wholly rejected if one of its metrics is wrong
 
 
+def _readable(name: str) -> bool:
+    """Whether canonical_tags can read the name."""
+    first, *tags = name.split(";")
+    return not tags or bool(first) and all(t.find("=") > 0 for t in tags)
+
+
 def _payload(data: bytes) -> Iterator[Row]:
     found = []
     for number, _, one in wire.fields(data):
@@ -124,18 +132,16 @@ def _payload(data: bytes) -> Iterator[Row]:
                 points.append((parts.get(1, 0) & 0xFFFFFFFF, wire.double(parts[2]) if 2 in parts else 0.0))
         if not name or len(name) > LONGEST_NAME or not points:
             raise wire.WireError("a metric without name or points, or with too long a name")
-        found += [(wire.text(name), v, t) for t, v in points]
+        if not _readable(text := wire.text(name)):
+            raise wire.WireError("tags")
+        found += [(text, v, t) for t, v in points]
     yield from found
 
 
-def payload(bodies: DataFrame, key: str, body: str = "content") -> DataFrame:
-    """key, Path, Value, Time, error. A payload with one unreadable metric gives only its error."""
-    rows = decode(bodies, "name string, Value double, Time bigint", ["name", "Value", "Time"], _payload, body, (key,))
-    named = rows.withColumn("Path", canonical_tags(F.col("name")))
-    bad = named.where(F.col("error").isNull() & F.col("Path").isNull()).select(key).distinct()
-    bad = bad.withColumn("_bad", F.lit(True))
-    good = named.join(bad, key, "left").where("_bad IS NULL").select(key, "Path", "Value", "Time", "error")
-    return good.unionByName(bad.select(key, F.lit(None).cast("string").alias("Path"), F.lit(None).cast("double").alias("Value"), F.lit(None).cast("bigint").alias("Time"), F.lit("tags").alias("error")))
+def payload(bodies: DataFrame, body: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, Path, Value, Time, error. A payload with one unreadable metric gives only its error."""
+    rows = decode(bodies, "name string, Value double, Time bigint", ["name", "Value", "Time"], _payload, body, keep)
+    return rows.select(*keep, canonical_tags(F.col("name")).alias("Path"), "Value", "Time", "error")
 
 
 def put_payload(metrics: Iterable[tuple[str, Iterable[tuple[int, float]]]]) -> bytes:
@@ -180,53 +186,157 @@ def pickled(bodies: DataFrame, body: str = "content", keep: tuple[str, ...] = ()
 
 # --- row files: uvarint length, name, double, u32 time, u16 days, u32 version, little-endian; optionally an LZ4 frame
 
-
-def put_rows(rows: Iterable[tuple[str, float, int, int, int]], lz4: bool = False) -> bytes:
-    """A file of (path, value, time, days, version)."""
-    out = b"".join(wire.put_varint(len(n := name.encode())) + n + struct.pack("<dIHI", value, time & 0xFFFFFFFF, days & 0xFFFF, version & 0xFFFFFFFF) for name, value, time, days, version in rows)
+_FIXED = np.dtype([("Value", "<f8"), ("Time", "<u4"), ("days", "<u2"), ("Version", "<u4")])
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.input_stream(pa.BufferReader(data), compression="lz4").read()
+
+
+def put_records(names: pa.Array, value: np.ndarray, time: np.ndarray, days: np.ndarray, version: np.ndarray, lz4: bool = False) -> bytes:
+    """A file of these records. names: without nulls."""
+    names = names.cast(pa.large_string())
+    fixed = np.zeros(len(names), _FIXED)
+    for field, x in (("Value", value), ("Time", time), ("days", days), ("Version", version)):
+        fixed[field] = x if field == "Value" else np.asarray(x, np.int64) & (0xFFFF if field == "days" else 0xFFFFFFFF)
+    ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    text = np.frombuffer(names.buffers()[2] or b"", np.uint8)
+    size = np.diff(ends)
+    heads = [wire.put_varint(n) for n in size.tolist()]
+    head = np.array([len(h) for h in heads], np.int64)
+    begin = np.concatenate(([0], np.cumsum(head + size + _FIXED.itemsize)))
+    out = np.empty(begin[-1], np.uint8)
+    flat = lambda start, n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start, n)
+    out[flat(begin[:-1], head)] = np.frombuffer(b"".join(heads), np.uint8)
+    out[flat(begin[:-1] + head, size)] = text[ends[0] : ends[-1]]
+    out[(begin[1:] - _FIXED.itemsize)[:, None] + np.arange(_FIXED.itemsize)] = fixed.view(np.uint8).reshape(-1, _FIXED.itemsize)
+    data = out.tobytes()
     if lz4:
         sink = pa.BufferOutputStream()
         with pa.CompressedOutputStream(sink, "lz4") as f:
-            f.write(out)
+            f.write(data)
         return sink.getvalue().to_pybytes()
-    return out
+    return data
+
+
+def put_rows(rows: Iterable[tuple[str, float, int, int, int]], lz4: bool = False) -> bytes:
+    """A file of (path, value, time, days, version)."""
+    names, value, time, days, version = (list(c) for c in zip(*rows, strict=True)) if (rows := list(rows)) else ([],) * 5
+    return put_records(pa.array(names, pa.string()), np.array(value, float), *(np.array(x, np.int64) for x in (time, days, version)), lz4)
 
 
-def read_rows(data: bytes, day_of: Callable[[int], int] | None = None) -> Iterator[Row]:
-    """Path, Value, Time, days, Version; stops with an error at the first damaged record. day_of: what days must be."""
-    at, n = 0, len(data)
+def records(data: bytes, day_of: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[list[pa.Array], str | None]:
+    """(Path, Value, Time, days and Version of the good records, why the rest was left out). day_of: what days must be."""
+    places: list[tuple[int, int]] = []
+    at, n, error = 0, len(data), None
     while at < n:
-        size, at = wire.varint(data, at)
-        if at + size + 18 > n:
-            raise ValueError("truncated record")
-        name = data[at : at + size].decode("utf-8", "replace")
-        value, time, days, version = struct.unpack_from("<dIHI", data, at + size)
-        if day_of is not None and day_of(time) != days:
-            raise ValueError(f"day {days} of time {time}")
-        yield name, value, time, days, version
-        at += size + 18
+        size = data[at]
+        at += 1
+        if size > 0x7F:
+            try:
+                size, at = wire.varint(data, at - 1)
+            except wire.WireError as e:
+                error = str(e)
+                break
+        if at + size + _FIXED.itemsize > n:
+            error = "truncated record"
+            break
+        places.append((at, size))
+        at += size + _FIXED.itemsize
+    start, size = np.array(places, np.int64).reshape(-1, 2).T
+    raw = np.frombuffer(data, np.uint8)
+    fixed = raw[(start + size)[:, None] + np.arange(_FIXED.itemsize)].view(_FIXED).reshape(-1) if len(start) else np.zeros(0, _FIXED)
+    time, days = fixed["Time"].astype(np.int64), fixed["days"].astype(np.int64)
+    if day_of is not None and len(wrong := np.flatnonzero(day_of(time) != days)):
+        k = int(wrong[0])
+        error = f"day {days[k]} of time {time[k]}"
+        start, size, fixed, time, days = start[:k], size[:k], fixed[:k], time[:k], days[:k]
+    names = raw[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size)].tobytes()
+    ends = np.concatenate(([0], np.cumsum(size)))
+    try:
+        names.decode()
+        path = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(names)).cast(pa.string())
+    except UnicodeDecodeError:
+        path = pa.array([names[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+    return [path, pa.array(fixed["Value"].astype(np.float64)), pa.array(time), pa.array(days, pa.int32()), pa.array(fixed["Version"].astype(np.int64))], error
+
+
+def read_rows(data: bytes, day_of: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[Row]:
+    """Path, Value, Time, days, Version of each record; ends with an error at the first damaged one."""
+    columns, error = records(data, day_of)
+    yield from zip(*(c.to_pylist() for c in columns), strict=True)
+    if error:
+        raise ValueError(error)
 
 
 def row_files(files: DataFrame, zone: str = "UTC", check_days: bool = True) -> DataFrame:
-    """path, Path, Value, Time, Date, Timestamp, error of binaryFile rows; `.lz4` files are unpacked. error: the file's rest is quarantined."""
-    lz4 = F.endswith("path", F.lit(".lz4"))
-
-    def day_of(time: int) -> int:
-        if zone == "UTC":
-            return time // 86400
-        import datetime as dt
-        from zoneinfo import ZoneInfo
-
-        return (dt.datetime.fromtimestamp(time, ZoneInfo(zone)).date() - dt.date(1970, 1, 1)).days
-
-    def read(data: bytes) -> Iterator[Row]:
-        if data[:1] == b"\1":
-            data = pa.input_stream(pa.BufferReader(data[1:]), compression="lz4").read()
-        else:
-            data = data[1:]
-        return read_rows(data, day_of if check_days else None)
-
-    # one byte before the content says whether it is packed
-    bodies = files.select("path", F.concat(F.when(lz4, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), F.col("content")).alias("content"))
-    rows = decode(bodies, "name string, Value double, Time bigint, days int, Version bigint", ["name", "Value", "Time", "days", "Version"], read, keep=("path",))
-    return rows.select(F.col("path").alias("file"), F.col("name").alias("Path"), "Value", "Time", F.date_from_unix_date("days").alias("Date"), F.col("Version").alias("Timestamp"), "error")
+    """file, Path, Value, Time, Date, Timestamp, error of binaryFile rows; `.lz4` files are unpacked.
+
+    error: the file's rest is quarantined, in a row without a point.
+    """
+    table = None if zone == "UTC" else transitions(zone)
+    if zone != "UTC" and table is None:
+        raise ValueError(f"unknown zone {zone!r}")
+
+    def day_of(time: np.ndarray) -> np.ndarray:
+        return (time if table is None else time + offset_at(table, time)) // 86400
+
+    names = ["file", "Path", "Value", "Time", "days", "Version", "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                data = content.as_py()
+                if data is None:
+                    continue
+                columns: list[pa.Array] = [pa.array([], t) for t in (pa.string(), pa.float64(), pa.int64(), pa.int32(), pa.int64())]
+                try:
+                    columns, error = records(unpacked(data) if path.endswith(".lz4") else data, day_of if check_days else None)
+                except Exception as e:  # whatever a damaged frame causes
+                    error = f"{type(e).__name__}: {e}"[:200]
+                n = len(columns[0])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), *columns, pa.nulls(n, pa.string())], names=names)
+                if error:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), *(pa.nulls(1, c.type) for c in columns), pa.array([error])], names=names)
+
+    rows = files.select("path", "content").mapInArrow(run, "file string, Path string, Value double, Time bigint, days int, Version bigint, error string")
+    return rows.select("file", "Path", "Value", "Time", F.date_from_unix_date("days").alias("Date"), F.col("Version").alias("Timestamp"), "error")
+
+
+# --- generic row format: the columns of any table, one after another
+
+_READERS = {"u8": "<u1", "u16": "<u2", "u32": "<u4", "u64": "<u8", "f64": "<f8", "date": "<u2"}
+
+
+def read_columns(data: bytes, kinds: Sequence[str]) -> Iterator[tuple]:
+    """Rows of a body in the store's row format; kinds: u8, u16, u32, u64, f64, date, string or strings, one for each column."""
+    import datetime as dt
+
+    def text(at: int) -> tuple[str, int]:
+        size, at = wire.varint(data, at)
+        if at + size > len(data):
+            raise ValueError("truncated text")
+        return data[at : at + size].decode("utf-8", "replace"), at + size
+
+    at = 0
+    while at < len(data):
+        row: list[object] = []
+        for kind in kinds:
+            if kind == "string":
+                value, at = text(at)
+            elif kind == "strings":
+                n, at = wire.varint(data, at)
+                value = []
+                for _ in range(n):
+                    one, at = text(at)
+                    value.append(one)
+            else:
+                form = np.dtype(_READERS[kind])
+                if at + form.itemsize > len(data):
+                    raise ValueError("truncated record")
+                value = np.frombuffer(data, form, 1, at)[0].item()
+                at += form.itemsize
+                if kind == "date":
+                    value = dt.date(1970, 1, 1) + dt.timedelta(value)
+            row.append(value)
+        yield tuple(row)

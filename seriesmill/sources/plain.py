@@ -50,8 +50,10 @@ def parse(
 
 
 def complete_lines(text: DataFrame, column: str = "value") -> DataFrame:
-    """line: the lines of received blocks; empty lines and what follows a block's last line end are left out."""
-    return text.select(F.explode(F.slice(F.split(column, "\n", -1), 1, F.size(F.split(column, "\n", -1)) - 1)).alias("line")).where(F.length("line") > 0)
+    """line, and the other columns: the lines of received blocks; empty lines and what follows a block's last line end are left out."""
+    kept = [F.col(c) for c in text.columns if c != column]
+    parts = F.split(column, "\n", -1)
+    return text.select(*kept, F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("line")).where(F.length("line") > 0)
 
 
 def format_line(path: Column, value: Column, time: Column) -> Column:
