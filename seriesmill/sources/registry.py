@@ -87,9 +87,9 @@ def _bodies(decoder: Callable[..., DataFrame]) -> Reader:
 
 
 def _telegraf(spark: SparkSession, path: str, options: dict[str, str], tagging: Tagging) -> DataFrame:
-    files = _files(spark, path, options).select(F.col("content").cast("string").alias("value"), _received(options).alias("Timestamp"))
-    metrics = telegraf.payload_metrics(files, keep=("Timestamp",))
-    return telegraf.points(metrics, concat=options.get("concat", "_")).select("Path", "Value", "Time", "Timestamp", "error")
+    files = _files(spark, path, options).select(F.col("content").cast("string").alias("value"), _received(options).alias("_received"))
+    points = telegraf.points(telegraf.payload_metrics(files, keep=("_received",)), concat=options.get("concat", "_"))
+    return points.select("Path", "Value", "Time", F.col("_received").alias("Timestamp"), "error")
 
 
 def _rows(spark: SparkSession, path: str, options: dict[str, str], tagging: Tagging) -> DataFrame:
