@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,9 @@ def _days(y: np.ndarray, mo: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.
     return first + d - 1, ok & (d <= after - first)
 
 
+@lru_cache(maxsize=1 << 16)
 def compile_mask(mask: str) -> Parser | None:
-    """The parser for all tokens of this mask; None where no such token denotes an instant."""
+    """The parser for all tokens of this mask, made once in a process; None where no such token denotes an instant."""
     if _EPOCH.fullmatch(mask):
         # nineteen digits may pass the largest integer
         return (lambda m, *_: _seconds_of(_number(m, (0, len(mask))))) if len(mask) < 19 else _nineteen if len(mask) == 19 else None

@@ -3,29 +3,42 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import zoneinfo
 from functools import lru_cache
+from pathlib import Path
 from zoneinfo import ZoneInfo
 
 import numpy as np
 
 #: Years that the tables cover; an instant outside has the offset of the nearest covered one.
 FROM_YEAR, TO_YEAR = 1970, 2100
-#: Zone abbreviations and their offsets in seconds. Only those that mean one offset.
+#: Zone abbreviations and their offsets in seconds. The first line is that of RFC 5322 (4.3), which settles names
+#: that elsewhere mean other zones as well; the others mean one offset. Names left out (BST, IST, ...) denote no zone.
 ABBREVIATIONS = {
-    "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 3600, "BST": 3600, "CET": 3600, "CEST": 7200, "EET": 7200, "EEST": 10800,
-    "MSK": 10800, "NPT": 20700, "JST": 32400, "ACST": 34200, "AEST": 36000, "ACDT": 37800, "AEDT": 39600, "BRT": -10800,
-    "EST": -18000, "EDT": -14400, "CST": -21600, "CDT": -18000, "MST": -25200, "MDT": -21600, "PST": -28800, "PDT": -25200,
+    "UT": 0, "GMT": 0, "EST": -18000, "EDT": -14400, "CST": -21600, "CDT": -18000, "MST": -25200, "MDT": -21600, "PST": -28800, "PDT": -25200,
+    "Z": 0, "UTC": 0, "WET": 0, "WEST": 3600, "CET": 3600, "CEST": 7200, "EET": 7200, "EEST": 10800, "MSK": 10800, "NPT": 20700, "JST": 32400,
+    "ACST": 34200, "AEST": 36000, "ACDT": 37800, "AEDT": 39600, "BRT": -10800,
 }
 
 
+@lru_cache(maxsize=1)
 def version() -> str:
-    """Version of the zone data that this process would use."""
+    """Version of the zone data that this process would use: its release, or a digest of the system's files."""
     try:
         import tzdata
 
         return tzdata.IANA_VERSION
     except ImportError:
-        return "system"
+        pass
+    for folder in map(Path, zoneinfo.TZPATH):
+        files = sorted(p for p in folder.rglob("*") if p.is_file() and p.open("rb").read(4) == b"TZif") if folder.is_dir() else []
+        if files:
+            digest = hashlib.sha256()
+            for p in files:
+                digest.update(str(p.relative_to(folder)).encode() + b"\0" + p.read_bytes())
+            return f"system-{digest.hexdigest()[:16]}"
+    raise RuntimeError("no zone data: neither the tzdata package nor the system has any")
 
 
 @lru_cache(maxsize=1024)

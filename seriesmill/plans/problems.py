@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.functions.rules import read_rules
-from seriesmill.operators import grid, instants, late, messages, spikes
+from seriesmill.operators import grid, instants, late, messages, spikes, zones
 from seriesmill.plans.sql import KEPT, READINGS
 from seriesmill.session import table
 
@@ -62,7 +62,71 @@ QUERIES = {
     f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_instants, p4_found, p4_kept, p5_found, p5_revisions, p7_found, p7_flags)
 }
 
+_CLOCK = "([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.][0-9]+)?)?(?: ?([AaPp][Mm]))?"
+_ZONE = "([Zz]| ?[+-][0-9]{2}(?::?[0-9]{2})?| [A-Za-z]{2}[A-Za-z/_+-]*|[[][A-Za-z]{2}[A-Za-z/_+-]*[]])?"
+
+
+def _fields(pattern: str, names: str) -> str:
+    return f"regexp_extract(t, '^{pattern}$', {names.split()})"
+
+
+def _utc(zone: str, second: str) -> str:
+    """Offset of a zone at an epoch second."""
+    return f"(epoch(to_timestamp({second}) AT TIME ZONE {zone})::BIGINT - {second})"
+
+
+def _scaled(n: str) -> str:
+    return f"CASE WHEN {n} < 100000000000 THEN {n} WHEN {n} < 100000000000000 THEN {n} // 1000 WHEN {n} < 100000000000000000 THEN {n} // 1000000 ELSE {n} // 1000000000 END"
+
+
+#: CTE every: src, rec_id, utc_s and changed of each record that denotes an instant.
+INSTANTS = f"""
+    tokens AS (
+      SELECT metric_id, timestamp AS raw, trim(timestamp, ' ' || chr(9) || chr(10) || chr(13)) AS t, coalesce(received, 9223372036854775807) AS received, zone, day_order
+      FROM telegraf_metric LEFT JOIN relay_zone ON relay = tags['relay']),
+    numbers AS (
+      SELECT metric_id, raw, CASE
+        WHEN regexp_full_match(t, '[0-9]{{1,19}}') THEN t::HUGEINT
+        WHEN regexp_full_match(t, '[0-9]{{1,18}}[.][0-9]+') THEN split_part(t, '.', 1)::HUGEINT
+        WHEN regexp_full_match(t, '[0-9]([.][0-9]+)?[eE][+-]?[0-9]{{1,2}}') AND t::DOUBLE < 1e19 THEN floor(t::DOUBLE)::HUGEINT END AS n FROM tokens),
+    matched AS (
+      SELECT *, {_fields(f"([0-9]{{4}})[-/]([0-9]{{2}})[-/]([0-9]{{2}})[ Tt]{_CLOCK}{_ZONE}", "y mo d h mi s half tail")} AS a,
+        {_fields(f"([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})[Tt]([0-9]{{2}})([0-9]{{2}})([0-9]{{2}})(?:[.][0-9]+)?{_ZONE}", "y mo d h mi s tail")} AS b,
+        {_fields(f"([0-9]{{1,2}})[./]([0-9]{{1,2}})[./]([0-9]{{4}}) {_CLOCK}{_ZONE}", "p q y h mi s half tail")} AS c,
+        {_fields(f"(?:[A-Za-z]{{3}}, )?([0-9]{{1,2}})[- ]([A-Za-z]{{3}})[- ]([0-9]{{4}}) {_CLOCK}{_ZONE}", "d mon y h mi s half tail")} AS m FROM tokens),
+    fields AS (
+      SELECT metric_id, raw, received, zone, a.y || b.y || c.y || m.y AS y, a.h || b.h || c.h || m.h AS h, a.mi || b.mi || c.mi || m.mi AS mi,
+        coalesce(nullif(a.s || b.s || c.s || m.s, ''), '0') AS s, upper(a.half || c.half || m.half) AS half, trim(a.tail || b.tail || c.tail || m.tail, ' []') AS tail,
+        CASE WHEN c.y <> '' THEN CASE day_order WHEN 'mdy' THEN c.p WHEN 'dmy' THEN c.q END
+             WHEN m.y <> '' THEN nullif(list_position({list("jan feb mar apr may jun jul aug sep oct nov dec".split())}, lower(m.mon)), 0)::VARCHAR ELSE a.mo || b.mo END AS mo,
+        CASE WHEN c.y <> '' THEN CASE day_order WHEN 'mdy' THEN c.q WHEN 'dmy' THEN c.p END ELSE a.d || b.d || m.d END AS d
+      FROM matched WHERE a.y || b.y || c.y || m.y <> ''),
+    clocks AS (
+      SELECT *, CASE WHEN half = '' THEN h::INT WHEN h::INT BETWEEN 1 AND 12 THEN h::INT % 12 + CASE half WHEN 'PM' THEN 12 ELSE 0 END END AS hour,
+        try_cast(y || '-' || lpad(mo, 2, '0') || '-' || lpad(d, 2, '0') AS DATE) AS day FROM fields),
+    walls AS (
+      SELECT *, (day - DATE '1970-01-01')::BIGINT * 86400 + hour * 3600 + mi::INT * 60 + s::INT AS wall,
+        CASE WHEN regexp_matches(tail, '^[+-]') THEN CASE WHEN tail[1] = '-' THEN -1 ELSE 1 END * (tail[2:3]::INT * 3600 + coalesce(try_cast(replace(tail[4:], ':', '') AS INT), 0) * 60)
+             ELSE MAP {zones.ABBREVIATIONS}[upper(tail)] END AS fixed,
+        CASE WHEN tail = '' THEN zone WHEN tail IN (SELECT zone FROM relay_zone) THEN tail END AS place
+      FROM clocks WHERE hour < 24 AND mi::INT < 60 AND s::INT < 60),
+    offsets AS (SELECT *, {_utc("place", "(wall - 86400)")} AS o1, {_utc("place", "(wall + 86400)")} AS o2 FROM walls),
+    shown AS (SELECT *, {_utc("place", "(wall - o1)")} = o1 AS ok1, {_utc("place", "(wall - o2)")} = o2 AS ok2, least(wall - o1, wall - o2) AS early, greatest(wall - o1, wall - o2) AS late FROM offsets),
+    read AS (
+      SELECT metric_id, raw, {_scaled("n")} AS utc_s FROM numbers WHERE n > 0
+      UNION ALL
+      SELECT metric_id, raw, CASE WHEN fixed IS NOT NULL THEN wall - fixed WHEN ok1 AND ok2 THEN CASE WHEN late <= received THEN late ELSE early END
+                                  WHEN ok1 THEN wall - o1 WHEN ok2 THEN wall - o2 END FROM shown),
+    every AS (
+      SELECT 'graphite' AS src, seq AS rec_id, Time - Time % 86400 AS utc_s, Date IS DISTINCT FROM DATE '1970-01-01' + CAST(Time // 86400 AS INTEGER) AS changed
+      FROM graphite WHERE Time IS NOT NULL
+      UNION ALL SELECT 'prom_sample', sample_id, {_scaled("timestamp")}, NOT (timestamp >= 100000000000 AND timestamp < 100000000000000) FROM prom_sample WHERE timestamp > 0
+      UNION ALL SELECT 'telegraf_metric', metric_id, utc_s::BIGINT, NOT regexp_full_match(raw, '[0-9]{{10}}') FROM read WHERE utc_s > 0 AND utc_s <= {instants.LAST_SECOND})
+"""
+
 SQL = {
+    "p2_instants": f"WITH {INSTANTS} SELECT src, rec_id, utc_s FROM every",
+    "p2_found": f"WITH {INSTANTS} SELECT src, rec_id, utc_s FROM every WHERE changed",
     "p1_found": f"""
         WITH {READINGS},
         slots AS (SELECT DISTINCT path, step, Time // 86400 AS day, Time - Time % step AS slot FROM stepped),

@@ -83,6 +83,34 @@ def test_local_times(zone):
                 assert (int(utc[0]) if ok[0] else None) == want
 
 
+def test_masks_are_compiled_once():
+    instants.compile_mask.cache_clear()
+    for _ in range(3):
+        instants.parse_tokens(["2024-03-10T05:14:57Z", "17"], ["9999-99-99A99:99:99A", "99"], *[np.array(["", ""], object)] * 2, np.zeros(2, np.int64))
+    assert instants.compile_mask.cache_info().misses == 2
+
+
+def test_version_of_zone_data(monkeypatch, tmp_path):
+    """Without the package the system's files have a digest; without any there is no version."""
+    import builtins
+
+    real = builtins.__import__
+    monkeypatch.setattr(builtins, "__import__", lambda name, *a, **k: (_ for _ in ()).throw(ImportError) if name == "tzdata" else real(name, *a, **k))
+    (tmp_path / "Zone").write_bytes(b"TZif1")
+    seen = set()
+    for content in (b"TZif1", b"TZif2"):
+        (tmp_path / "Zone").write_bytes(content)
+        monkeypatch.setattr(zones.zoneinfo, "TZPATH", (str(tmp_path),))
+        zones.version.cache_clear()
+        seen.add(zones.version())
+    assert len(seen) == 2 and all(v.startswith("system-") for v in seen)
+    monkeypatch.setattr(zones.zoneinfo, "TZPATH", (str(tmp_path / "none"),))
+    zones.version.cache_clear()
+    with pytest.raises(RuntimeError):
+        zones.version()
+    zones.version.cache_clear()
+
+
 def test_tables_and_nulls(spark):
     metrics = spark.createDataFrame(
         [(1, " 1710047075", {"relay": "r"}, 10**10), (2, "2024-03-10 00:00:00", {"relay": "r"}, None), (3, None, None, None), (4, "1710047075", {}, 0), (5, "2024-03-10 00:00:00", {"relay": "other"}, 1), (6, "\t\n", None, 1)],
