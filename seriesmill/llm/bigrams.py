@@ -45,15 +45,59 @@ def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, n): (a << 21) + b for each bigram that isn't wholly ASCII, a for each symbol, -cp for East Asian characters."""
-    cp, _ = laid_out(texts)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, places where they begin, and the end)"""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[0] < offsets[-1] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def wide_words(texts: pa.Array) -> pa.Array:
+    """Of each text the words (between white space) with a character above ASCII, with a blank after each. Most texts have few."""
+    data, begin = _bytes(texts)
+    inside = ~_SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[begin] = True
+    start = inside.copy()
+    start[1:] &= ~inside[:-1] | cut[1:-1]
+    end = inside.copy()
+    end[:-1] &= ~inside[1:] | cut[1:-1]
+    first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
+    wide = np.concatenate(([0], np.cumsum(data >= 0x80, dtype=np.int64)))
+    hit = wide[last] > wide[first]
+    first, last = first[hit], last[hit]
+    size = last - first + 1
+    out = np.full(int(size.sum()), BLANK, np.uint8)
+    at = np.cumsum(size) - size
+    own = size - 1
+    within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+    out[within + np.repeat(at, own)] = data[within + np.repeat(first, own)]
+    doc = np.searchsorted(begin, first, side="right") - 1
+    ends = np.concatenate(([0], np.cumsum(np.bincount(doc, size, len(texts)).astype(np.int64))))
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out))
+
+
+def counts(texts: pa.Array, words: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, n): (a << 21) + b for each bigram that isn't wholly ASCII, a for each symbol, -cp for East Asian characters.
+
+    words: wide_words of the texts, where they are known.
+    """
+    data, _ = _bytes(texts)
+    every = np.bincount(data, minlength=256)
+    plain = every[:0x80].copy()
+    plain[DIGIT] = plain[0x30:0x3A].sum()
+    plain[0x31:0x3A] = 0
+    plain[BLANK] += plain[9:14].sum() + len(texts)
+    plain[9:14] = 0
+    cp, _ = laid_out(wide_words(texts) if words is None else words)
     s = symbols(cp).astype(np.int64)
     wide = s >= 0x80
     both = wide[1:] | wide[:-1]
-    keys = [(s[:-1][both] << 21) + s[1:][both], s[wide], -cp[is_east(cp)].astype(np.int64)]
-    k, n = np.unique(np.concatenate(keys), return_counts=True)
-    plain = np.bincount(s[~wide], minlength=0x80)
+    k, n = np.unique(np.concatenate([(s[:-1][both] << 21) + s[1:][both], s[wide], -cp[is_east(cp)].astype(np.int64)]), return_counts=True)
     held = np.flatnonzero(plain)
     return np.concatenate([k, held]), np.concatenate([n, plain[held]])
 
@@ -76,6 +120,9 @@ class Bigrams:
         self.easts = max(1, sum(self.east.values()))
         #: ASCII, and all characters above it that the corpus holds.
         self.known = frozenset(map(chr, range(0x80))) | {chr(k) for k in (*self.single, *self.east) if 0x80 <= k < 0x110000}
+        self.single_n, self.east_log = np.zeros(0x110000), np.full(0x110000, math.log(1e-7))
+        self.single_n[keys[one]] = n[one]
+        self.east_log[-keys[east]] = np.log(np.maximum(n[east] / self.easts, 1e-7))
         self.seen: dict[int, float] = {}
         self.pairs = dict(zip(self.keys.tolist(), self.n.tolist(), strict=True))
 
@@ -94,21 +141,34 @@ class Bigrams:
         """Whether the corpus has the text's first character after left, or its last before right. Both are above ASCII."""
         return (left << 21) + symbol(text[0]) in self.pairs or (symbol(text[-1]) << 21) + right in self.pairs
 
-    def score(self, left: int, text: str, right: int, enough: float = -math.inf) -> float:
-        """log P of the text between its neighbours; below `enough` it isn't worked out to the end, since it only falls."""
-        out, a = 0.0, left
-        for c in text:
-            if out < enough:
-                return out
-            o = ord(c)
-            if o < 0x80:
-                b = DIGIT if 0x30 <= o <= 0x39 else BLANK if 9 <= o <= 13 else o
-            elif o < 0x2E80:
-                b = o
-            else:
-                b = symbol(c)
-                if b == EAST:
-                    out += math.log(max(self.east.get(o, 0) / self.easts, 1e-7))
-            out += self.log_p(a, b)
-            a = b
-        return out + self.log_p(a, right)
+    def log_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """log_p of many bigrams."""
+        key = (a << 21) + b
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        n = np.where(self.keys[at] == key, self.n[at], 0.0) if len(self.keys) else np.zeros(len(key))
+        p = np.maximum(self.single_n[b] / self.total, self.LEAST)
+        return np.where((a < 0x80) & (b < 0x80), -3.0, np.log((n + self.WEIGHT * p) / (self.single_n[a] + self.WEIGHT)))
+
+    def scores(self, left: np.ndarray, texts: list[str], right: np.ndarray) -> np.ndarray:
+        """log P of each text between its neighbours."""
+        if not texts:
+            return np.zeros(0)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum(size + 2)
+        begin = ends - size - 2
+        row = np.repeat(np.arange(len(texts)), size)
+        s = np.empty(ends[-1], np.int64)
+        s[begin], s[ends - 1] = left, right
+        s[np.arange(len(cp)) + 2 * row + 1] = symbols(cp)
+        pair = np.ones(len(s), bool)
+        pair[ends - 1] = False
+        lp = np.zeros(len(s))
+        at = np.flatnonzero(pair)
+        lp[at] = self.log_pairs(s[at], s[at + 1])
+        out = np.add.reduceat(lp, begin)
+        east = np.flatnonzero(is_east(cp))
+        return out + np.bincount(row[east], self.east_log[cp[east]], len(texts)) if len(east) else out
+
+    def score(self, left: int, text: str, right: int) -> float:
+        return float(self.scores(np.array([left]), [text], np.array([right]))[0])

@@ -162,6 +162,8 @@ def earlier_paired(text: str) -> dict[str, str]:
     """The same for double-byte encodings, in whose characters ASCII may be the second byte: the whole text is read again."""
     found: dict[str, str] = {}
     for wrong in ("cp1252", "latin-1"):
+        if not all(c < "\x80" or c in byte_of(wrong) for c in text):
+            continue
         for true in TRUE_PAIRED:
             before = unread_paired(text, true, wrong)
             if before is not None and before != text:

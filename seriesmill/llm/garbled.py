@@ -59,19 +59,6 @@ def _narrow(df: DataFrame) -> DataFrame:
     return df.select("doc_id", source.cast("int").alias("src"), "text")
 
 
-def corpus_counts(df: DataFrame) -> DataFrame:
-    """(key, n): bigrams and symbols of all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = _texts(b)
-            for a, z in pieces(texts):
-                key, n = bigrams.counts(texts.slice(a, z - a))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    return df.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 #: Distinct tokens that a task remembers before it sends them.
 KINDS = 1 << 18
 
@@ -112,28 +99,35 @@ def _hashes(src: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndar
     return h ^ (h >> np.uint64(32))
 
 
-def token_kinds(df: DataFrame) -> DataFrame:
-    """src, left, token, right of every suspect, distinct within a task as far as it remembers."""
+def first_look(df: DataFrame) -> DataFrame:
+    """What one pass over the texts tells: rows of key, n (bigrams and symbols, see bigrams.counts), and rows of src, left, token,
+    right: every suspect, distinct within a task as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: dict[tuple, None] = {}
+        names = ["key", "n", "src", "left", "token", "right"]
 
         def out() -> pa.RecordBatch:
             columns = zip(*kinds, strict=True) if kinds else ((),) * 4
             types = (pa.int32(), pa.int32(), pa.string(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["src", "left", "token", "right"])
+            none = pa.nulls(len(kinds), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
         for b in batches:
             texts, src = _texts(b), b.column("src").to_numpy(zero_copy_only=False)
             for a, z in pieces(texts):
-                doc, left, right, first, last, cp = _tokens(texts.slice(a, z - a))
+                words = bigrams.wide_words(texts.slice(a, z - a))
+                key, n = bigrams.counts(texts.slice(a, z - a), words)
+                blank = [pa.nulls(len(key), t) for t in (pa.int32(), pa.int32(), pa.string(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64)), *blank], names=names)
+                doc, left, right, first, last, cp = _tokens(words)
                 kinds.update(dict.fromkeys(zip(src[a + doc].tolist(), left.tolist(), _cut(cp, first, last), right.tolist(), strict=True)))
                 if len(kinds) >= KINDS:
                     yield out()
                     kinds.clear()
         yield out()
 
-    return _narrow(df).mapInArrow(run, "src int, left int, token string, right int")
+    return _narrow(df).mapInArrow(run, "key bigint, n bigint, src int, left int, token string, right int")
 
 
 #: Bits of the filter by which tasks skip tokens that aren't garbled.
@@ -162,7 +156,7 @@ def suspects(df: DataFrame, tokens: DataFrame) -> DataFrame:
         for b in batches:
             texts, src = _texts(b), b.column("src").to_numpy(zero_copy_only=False)
             for a, z in pieces(texts):
-                doc, left, right, first, last, cp = _tokens(texts.slice(a, z - a))
+                doc, left, right, first, last, cp = _tokens(bigrams.wide_words(texts.slice(a, z - a)))
                 h = (_hashes(src[a + doc], left, right, first, last, cp) % np.uint64(FILTER)).astype(np.int64)
                 hit = (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
                 doc, left, right, first, last = (x[hit] for x in (doc, left, right, first, last))
@@ -184,6 +178,14 @@ def _marks(text: str) -> list[str]:
 
 #: Readings of middles (the part of a token from its first to its last non-ASCII character) that a task remembers.
 MIDDLES = 1 << 17
+#: Middles whose readings are scored together.
+MIDDLES_AT_ONCE = 1 << 10
+
+
+def _lost(token: str) -> list[dict]:
+    if any(c == codepages.LOST or "\x80" <= c < "\xa0" and c != "\x85" for c in token):
+        return [{"swap": LOST, "before": token, "gain": 12.0}]
+    return []
 
 
 class Reader:
@@ -199,60 +201,75 @@ class Reader:
         rare = [self.model.log_p(a, b) < RARE for a, b in zip(s, s[1:], strict=False)]
         return "".join(dict.fromkeys(c for i, c in enumerate(middle) if c >= "\x80" and (rare[i] or rare[i + 1])))
 
-    def _middle(self, left: int, middle: str, right: int) -> list[tuple[str, str, float]]:
-        key = (left, middle, right)
-        out = self.seen.get(key)
-        if out is None:
-            score = self.model.score
-            base = score(left, middle, right)
-            out = []
-            for before, swap in codepages.earlier(middle, self.model.known).items():
-                utf8 = swap.startswith("utf-8")
-                if not utf8 and not self.model.seen_beside(left, before, right):
-                    continue  # never likelier than what stands
-                least = LEAST_GAIN_UTF8 if utf8 else LEAST_GAIN
-                if utf8 and not self.model.known.issuperset(before):
-                    gain = codepages.form(middle, swap)  # the corpus has a character only garbled, so its bigrams say nothing
-                else:
-                    gain = score(left, before, right, base + least) - base
-                if gain > least:
-                    out.append((swap, before, gain))
+    def _middles(self, keys: list[tuple[int, str, int]]) -> None:
+        """Reads the middles back that aren't remembered; all of them are scored together."""
+        known = self.model.known
+        which: list[int] = []  # the middle of each reading
+        readings: list[tuple[str, str, float, float]] = []  # swap, what it was, least gain, what the number of ways costs
+        for k, (left, middle, right) in enumerate(keys):
+            for before, swap in codepages.earlier(middle, known).items():
+                if swap.startswith("utf-8"):
+                    which.append(k)
+                    readings.append((swap, before, LEAST_GAIN_UTF8, 0.0))
+                elif self.model.seen_beside(left, before, right):  # else never likelier than what stands
+                    which.append(k)
+                    readings.append((swap, before, LEAST_GAIN, 0.0))
             if len(kinds := {c for c in middle if c >= "\x80"}) > codepages.FEW:
-                readings = codepages.alone(middle, self._odd(left, middle, right), self.model.known)
+                alone = codepages.alone(middle, self._odd(left, middle, right), known)
                 # a letter of a long word can be exchanged in many ways, one of which is often likelier
-                ways = math.log(max(1, len(kinds) * len(readings)))
-                for before, swap in readings.items():
-                    gain = score(left, before, right, base + ways + LEAST_GAIN) - base - ways
-                    if gain > LEAST_GAIN:
-                        out.append((swap, before, gain))
-            if len(self.seen) >= MIDDLES:
-                self.seen.clear()
-            self.seen[key] = out
-        return out
+                ways = math.log(max(1, len(kinds) * len(alone)))
+                for before, swap in alone.items():
+                    which.append(k)
+                    readings.append((swap, before, LEAST_GAIN, ways))
+        at = np.array(which, np.int64)
+        left, right = (np.array([k[i] for k in keys], np.int64) for i in (0, 2))
+        base = self.model.scores(left, [k[1] for k in keys], right)
+        gain = self.model.scores(left[at], [r[1] for r in readings], right[at]) - base[at]
+        found: list[list[tuple[str, str, float]]] = [[] for _ in keys]
+        for k, (swap, before, least, ways), g in zip(which, readings, gain.tolist(), strict=True):
+            if least == LEAST_GAIN_UTF8 and not known.issuperset(before):
+                g = codepages.form(keys[k][1], swap)  # the corpus has a character only garbled, so its bigrams say nothing
+            if g - ways > least:
+                found[k].append((swap, before, g - ways))
+        if len(self.seen) + len(keys) > MIDDLES:
+            self.seen.clear()
+        self.seen.update(zip(keys, found, strict=True))
+
+    def read(self, lefts: list[int], tokens: list[str], rights: list[int]) -> list[list[dict]]:
+        spans, keys = [], []
+        for left, token, right in zip(lefts, tokens, rights, strict=True):
+            at = [i for i, c in enumerate(token) if c >= "\x80"]
+            if not at:
+                spans.append(None)
+                continue
+            first, last = at[0], at[-1] + 1
+            key = (bigrams.symbol(token[first - 1]) if first else left, token[first:last], bigrams.symbol(token[last]) if last < len(token) else right)
+            spans.append((first, last, key))
+            keys.append(key)
+        for a in range(0, len(keys), MIDDLES_AT_ONCE):
+            part = keys[a : a + MIDDLES_AT_ONCE]
+            self._middles([k for k in dict.fromkeys(part) if k not in self.seen])
+        # double-byte readings are of whole tokens
+        paired = [(i, before, swap) for i, t in enumerate(tokens) if spans[i] for before, swap in codepages.earlier_paired(t).items()]
+        own = sorted({i for i, _, _ in paired})
+        all_of = lambda places, texts: self.model.scores(np.array([lefts[i] for i in places], np.int64), texts, np.array([rights[i] for i in places], np.int64)).tolist()
+        base = dict(zip(own, all_of(own, [tokens[i] for i in own]), strict=True))
+        gains: dict[int, list[dict]] = {}
+        for (i, before, swap), score in zip(paired, all_of([i for i, _, _ in paired], [b for _, b, _ in paired]), strict=True):
+            if score - base[i] > LEAST_GAIN:
+                gains.setdefault(i, []).append({"swap": swap, "before": before, "gain": score - base[i]})
+        return [[] if span is None else self._token(token, *span) + gains.get(i, []) + _lost(token) for i, (token, span) in enumerate(zip(tokens, spans, strict=True))]
+
+    def _token(self, token: str, first: int, last: int, key: tuple[int, str, int]) -> list[dict]:
+        if key not in self.seen:
+            self._middles([key])
+        # a lone character may stand in a list of symbols
+        return [
+            {"swap": swap, "before": token[:first] + middle + token[last:], "gain": gain} for swap, middle, gain in self.seen[key] if swap.startswith("utf-8") or len(token) > 1
+        ]
 
     def __call__(self, left: int, token: str, right: int) -> list[dict]:
-        at = [i for i, c in enumerate(token) if c >= "\x80"]
-        if not at:
-            return []
-        first, last = at[0], at[-1] + 1
-        inner_left = bigrams.symbol(token[first - 1]) if first else left
-        inner_right = bigrams.symbol(token[last]) if last < len(token) else right
-        read = []
-        for swap, middle, gain in self._middle(inner_left, token[first:last], inner_right):
-            before = token[:first] + middle + token[last:]
-            # a lone character may stand in a list of symbols
-            if swap.startswith("utf-8") or len(token) > 1:
-                read.append({"swap": swap, "before": before, "gain": gain})
-        paired = codepages.earlier_paired(token)
-        if paired:
-            base = self.model.score(left, token, right)
-            for before, swap in paired.items():
-                gain = self.model.score(left, before, right) - base
-                if gain > LEAST_GAIN:
-                    read.append({"swap": swap, "before": before, "gain": gain})
-        if any(c == codepages.LOST or "\x80" <= c < "\xa0" and c != "\x85" for c in token):
-            read.append({"swap": LOST, "before": token, "gain": 12.0})
-        return read
+        return self.read([left], [token], [right])[0]
 
 
 def scored(events: DataFrame, lm) -> DataFrame:
@@ -262,7 +279,7 @@ def scored(events: DataFrame, lm) -> DataFrame:
         reader = Reader(bigrams.Bigrams(*lm.value))
         kind = pa.list_(pa.struct([("swap", pa.string()), ("before", pa.string()), ("gain", pa.float64())]))
         for b in batches:
-            out = [reader(*x) for x in zip(*(b.column(c).to_pylist() for c in ("left", "token", "right")), strict=True)]
+            out = reader.read(*(b.column(c).to_pylist() for c in ("left", "token", "right")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(out, kind)], names=[*b.schema.names, "read"])
 
     return events.mapInArrow(run, "left int, token string, right int, sources array<int>, read array<struct<swap:string,before:string,gain:double>>")
@@ -367,10 +384,11 @@ class Findings:
 
     def __init__(self, df: DataFrame) -> None:
         spark = df.sparkSession
-        counted = corpus_counts(df).toArrow()
+        looked = checkpoint(first_look(df))
+        counted = looked.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         lm = spark.sparkContext.broadcast((counted["key"].to_numpy(), counted["n"].to_numpy()))
         self.bigrams = lm
-        kinds = token_kinds(df).groupBy("left", "token", "right").agg(F.collect_set("src").alias("sources"))  # at most SOURCES
+        kinds = looked.where("token IS NOT NULL").groupBy("left", "token", "right").agg(F.collect_set("src").alias("sources"))  # at most SOURCES
         share = (1 / F.size("sources")).alias("share")
         # few bytes, but much work for each: not to be coalesced by size
         kinds = kinds.repartition(4 * spark.sparkContext.defaultParallelism, "token")
@@ -454,7 +472,8 @@ def restore(text: str, swaps: dict[str, str], model: bigrams.Bigrams, before: di
         else:
             left, right = int(s[i - 1]) if i else bigrams.BLANK, int(s[j]) if j < len(s) else bigrams.BLANK
             options = [token, *(codepages.undo(token, x) for x in usual)]
-            best = max(options, key=lambda t: model.score(left, t, right))
+            gains = model.scores(np.full(len(options), left), options, np.full(len(options), right))
+            best = options[int(gains.argmax())]
         if best != token:
             out += [text[at:i], best]
             at = j
