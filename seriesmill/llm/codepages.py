@@ -50,6 +50,27 @@ def _utf8_pattern(wrong: str) -> re.Pattern[str]:
     return re.compile(f"{span(0xC2, 0xDF)}{tail}|{span(0xE0, 0xEF)}{tail}{{2}}|{span(0xF0, 0xF4)}{tail}{{3}}")
 
 
+@lru_cache(maxsize=None)
+def _roles() -> dict[str, tuple[int, int]]:
+    """Of each character: the code pages (as bits) in whose bytes it begins a UTF-8 sequence, and those in which it goes on with one."""
+    out: dict[str, tuple[int, int]] = {}
+    for k, wrong in enumerate(READ_AS):
+        for c, b in byte_of(wrong).items():
+            lead, tail = out.get(c, (0, 0))
+            out[c] = (lead | (0xC2 <= b <= 0xF4) << k, tail | (b <= 0xBF) << k)
+    return out
+
+
+def utf8_pages(text: str) -> list[str]:
+    """The code pages in whose bytes two neighbouring characters may be part of a UTF-8 sequence."""
+    roles, hit, before = _roles(), 0, 0
+    for c in text:
+        lead, tail = roles.get(c, (0, 0))
+        hit |= before & tail
+        before = lead
+    return [wrong for k, wrong in enumerate(READ_AS) if hit >> k & 1] if hit else []
+
+
 def unread_utf8(text: str, wrong: str) -> str:
     """text with each sequence that is UTF-8 in the bytes of the wrong code page turned back into its character."""
     table = byte_of(wrong)
@@ -143,7 +164,7 @@ def earlier(text: str, known: frozenset[str] | None = None) -> dict[str, str]:
     for _ in range(TIMES):
         following: dict[str, str] = {}
         for t, how in level.items():
-            for wrong in READ_AS:
+            for wrong in utf8_pages(t):
                 if (before := unread_utf8(t, wrong)) != t and before not in found:
                     following.setdefault(before, f"{how}+utf-8>{wrong}".strip("+"))
         found |= following

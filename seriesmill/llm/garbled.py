@@ -4,11 +4,12 @@ A wrong decoding is a substitution cipher: bytes stand for other letters. Which
 and differs by source. So for each source expectation-maximization learns which letter a garbled character stands for,
 against the bigrams of the corpus:
 
-1. Bigrams of characters are counted over all texts.
-2. Every distinct token with a character above ASCII (source, neighbours, token) is a suspect, however usual it is: a
-   frequent garbling makes its own bigrams usual.
-3. Each distinct suspect is read back through every code-page swap, also repeated ones and swaps of parts, and each
-   result is scored against the bigrams: gain = log P(read back) - log P(as it stands).
+1. Bigrams of characters are counted over all texts, and every distinct token with a character above ASCII (source, language,
+   neighbours, token) is a suspect, however usual it is: a frequent garbling makes its own bigrams usual.
+2. For each source and language, characters get letters by their neighbours alone, against the language's bigrams of the
+   other sources (see letters): that finds swaps by code pages that aren't listed.
+3. Each distinct suspect is read back through every listed code-page swap, also repeated ones and swaps of parts, and by its
+   source's letters, and each result is scored against the bigrams: gain = log P(read back) - log P(as it stands).
 4. E: the posterior of each swap (and of none) for each suspect, from gains and the source's table.
    M: the source's table P(swap | character): of the distinct suspects that hold the character, the share explained by
    the swap. Distinct ones, and one of them left out, so that a name with an unusual letter, however often it occurs,
@@ -18,8 +19,8 @@ against the bigrams of the corpus:
    translate(), UTF-8 and double-byte ones by reading their bytes again.
 
 Defined results: null, empty and blank texts aren't affected. U+FFFD and C1 control characters (but U+0085) come from
-wrong decodings only: a token with one is affected even where nothing restores it. Sources share one of SOURCES tables by hash; a null source has
-its own. Not found: text wrongly read into East Asian characters (UTF-8 or EUC-JP read as Shift_JIS or GBK), which are part of no
+wrong decodings only: a token with one is affected even where nothing restores it. Sources with fewer than SUPPORT distinct
+suspects use the table of all; a null source is one like others. Not found: text wrongly read into East Asian characters (UTF-8 or EUC-JP read as Shift_JIS or GBK), which are part of no
 token.
 """
 
@@ -36,10 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.llm import bigrams, codepages
+from seriesmill.llm.letters import learn_letters
 from seriesmill.llm.pretokens import pieces
+from seriesmill.llm.shared import fetched
 from seriesmill.session import checkpoint
 
-SOURCES = 4096
+#: Distinct suspects that a source needs for a table of its own.
+SUPPORT = 50
+#: Stands for all sources without one, and for all sources together.
+SMALL, ALL = -2, -1
 ITERATIONS = 4
 #: P(swap | character) before the first iteration, the least P that it stands, and the weight of the prior table, in suspects.
 START, STANDS, WEIGHT = 0.002, 1e-3, 20.0
@@ -47,7 +53,7 @@ START, STANDS, WEIGHT = 0.002, 1e-3, 20.0
 LEAST_GAIN, LEAST_GAIN_UTF8 = 2.5, 0.05
 #: In a token of more than four kinds of characters above ASCII, one may have been swapped alone if a bigram of it has log P(b | a) below this.
 RARE = -5.0
-LOST = "lost"
+LOST, LEARNED = "lost", "learned"
 
 
 def _texts(b: pa.RecordBatch) -> pa.Array:
@@ -55,8 +61,17 @@ def _texts(b: pa.RecordBatch) -> pa.Array:
 
 
 def _narrow(df: DataFrame) -> DataFrame:
-    source = F.when(F.col("source").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("source"), F.lit(SOURCES - 1)) + 1)
-    return df.select("doc_id", source.cast("int").alias("src"), "text")
+    """doc_id, src (a hash of the source, 0 for null), lang (two letters as a number, 0 where not known), text."""
+    source = F.when(F.col("source").isNull(), F.lit(0)).otherwise(F.abs(F.xxhash64("source") % (1 << 62)) + 1)
+    two = F.lower(F.substring(F.trim("lang"), 1, 2)) if "lang" in df.columns else F.lit(None).cast("string")
+    code = F.when(two.rlike("^[a-z]{2}$"), F.ascii(two) * 256 + F.ascii(F.substring(two, 2, 1))).otherwise(F.lit(0))
+    return df.select("doc_id", source.cast("bigint").alias("src"), code.cast("int").alias("lang"), "text")
+
+
+def _of_tables(df: DataFrame, supported: DataFrame) -> DataFrame:
+    """df with SMALL for a src that has no table of its own."""
+    known = supported.select(F.col("src").alias("_own"))
+    return df.join(known, F.col("src") == F.col("_own"), "left").withColumn("src", F.coalesce("_own", F.lit(SMALL).cast("bigint"))).drop("_own")
 
 
 #: Distinct tokens that a task remembers before it sends them.
@@ -100,41 +115,40 @@ def _hashes(src: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndar
 
 
 def first_look(df: DataFrame) -> DataFrame:
-    """What one pass over the texts tells: rows of key, n (bigrams and symbols, see bigrams.counts), and rows of src, left, token,
-    right: every suspect, distinct within a task as far as it remembers."""
+    """What one pass over the texts tells: rows of key, n (bigrams and symbols, see bigrams.counts), and rows of src, lang, left,
+    token, right: every suspect, distinct within a task as far as it remembers."""
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+    names = ["key", "n", "src", "lang", "left", "token", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: dict[tuple, None] = {}
-        names = ["key", "n", "src", "left", "token", "right"]
 
         def out() -> pa.RecordBatch:
-            columns = zip(*kinds, strict=True) if kinds else ((),) * 4
-            types = (pa.int32(), pa.int32(), pa.string(), pa.int32())
+            columns = zip(*kinds, strict=True) if kinds else ((),) * len(types)
             none = pa.nulls(len(kinds), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
         for b in batches:
-            texts, src = _texts(b), b.column("src").to_numpy(zero_copy_only=False)
+            texts, src, lang = _texts(b), *(b.column(c).to_numpy(zero_copy_only=False) for c in ("src", "lang"))
             for a, z in pieces(texts):
                 words = bigrams.wide_words(texts.slice(a, z - a))
                 key, n = bigrams.counts(texts.slice(a, z - a), words)
-                blank = [pa.nulls(len(key), t) for t in (pa.int32(), pa.int32(), pa.string(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64)), *blank], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64)), *(pa.nulls(len(key), t) for t in types)], names=names)
                 doc, left, right, first, last, cp = _tokens(words)
-                kinds.update(dict.fromkeys(zip(src[a + doc].tolist(), left.tolist(), _cut(cp, first, last), right.tolist(), strict=True)))
+                kinds.update(dict.fromkeys(zip(src[a + doc].tolist(), lang[a + doc].tolist(), left.tolist(), _cut(cp, first, last), right.tolist(), strict=True)))
                 if len(kinds) >= KINDS:
                     yield out()
                     kinds.clear()
         yield out()
 
-    return _narrow(df).mapInArrow(run, "key bigint, n bigint, src int, left int, token string, right int")
+    return _narrow(df).mapInArrow(run, "key bigint, n bigint, src bigint, lang int, left int, token string, right int")
 
 
 #: Bits of the filter by which tasks skip tokens that aren't garbled.
 FILTER = 1 << 26
 
 
-def suspects(df: DataFrame, tokens: DataFrame) -> DataFrame:
+def suspects(df: DataFrame, tokens: DataFrame, supported: DataFrame) -> DataFrame:
     """doc_id, src, left, token, right wherever a text may hold one of the tokens: all that do, and the few whose hash is alike."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
@@ -146,7 +160,7 @@ def suspects(df: DataFrame, tokens: DataFrame) -> DataFrame:
                 h = _hashes(*(b.column(c).to_numpy(zero_copy_only=False)[a:z] for c in ("src", "left", "right")), begin[:-1], begin[1:] - 1, cp)
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(h % np.uint64(FILTER)).astype(np.int64))], names=["h"])
 
-    places = tokens.mapInArrow(hashed, "h bigint").distinct().toArrow()["h"].to_numpy()
+    places = fetched(tokens.mapInArrow(hashed, "h bigint").distinct(), "places of the filter", FILTER * 8)["h"].to_numpy()
     bits = np.zeros(FILTER // 8, np.uint8)
     np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
     shared = df.sparkSession.sparkContext.broadcast(bits)
@@ -165,11 +179,12 @@ def suspects(df: DataFrame, tokens: DataFrame) -> DataFrame:
                 doc, left, tokens, right = zip(*once, strict=True) if once else ((),) * 4
                 place = a + np.array(doc, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(place)), pa.array(src[place], pa.int32()), pa.array(left, pa.int32()), pa.array(tokens, pa.string()), pa.array(right, pa.int32())],
+                    [b.column("doc_id").take(pa.array(place)), pa.array(src[place], pa.int64()), pa.array(left, pa.int32()), pa.array(tokens, pa.string()), pa.array(right, pa.int32())],
                     names=["doc_id", "src", "left", "token", "right"],
                 )
 
-    return _narrow(df).mapInArrow(run, f"doc_id {kind}, src int, left int, token string, right int")
+    narrow = _of_tables(_narrow(df), supported).select("doc_id", "src", "text")
+    return narrow.mapInArrow(run, f"doc_id {kind}, src bigint, left int, token string, right int")
 
 
 def _marks(text: str) -> list[str]:
@@ -282,10 +297,39 @@ def scored(events: DataFrame, lm) -> DataFrame:
             out = reader.read(*(b.column(c).to_pylist() for c in ("left", "token", "right")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(out, kind)], names=[*b.schema.names, "read"])
 
-    return events.mapInArrow(run, "left int, token string, right int, sources array<int>, read array<struct<swap:string,before:string,gain:double>>")
+    return events.mapInArrow(run, "left int, token string, right int, sources array<bigint>, read array<struct<swap:string,before:string,gain:double>>")
+
 
+def with_letters(events: DataFrame, letters: dict[int, dict[int, tuple[str, float]]], lm) -> DataFrame:
+    """events with a further reading of the tokens that hold a character for which their source has a letter.
 
-#: (source, character) -> {swap: probability}; source -1 stands for all, swap "" for each one not listed.
+    The corpus's bigrams hold the source's own characters as well. So the gain is increased, for each, by how much rarer the
+    character is in the other sources than in all.
+    """
+    shared = events.sparkSession.sparkContext.broadcast(letters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = bigrams.Bigrams(*lm.value)
+        tables = {s: {u: v for u, (v, _) in t.items()} for s, t in shared.value.items()}
+        for b in batches:
+            read = b.column("read").to_pylist()
+            left, right = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("left", "right"))
+            tokens = b.column("token").to_pylist()
+            src = b.column("src").to_pylist()
+            made = [(i, t, before) for i, (s, t) in enumerate(zip(src, tokens, strict=True)) if s in tables and (before := t.translate(tables[s])) != t]
+            at = np.array([i for i, _, _ in made], np.int64)
+            gain = model.scores(left[at], [x for _, _, x in made], right[at]) - model.scores(left[at], [t for _, t, _ in made], right[at])
+            for (i, t, before), g in zip(made, gain.tolist(), strict=True):
+                g += sum(shared.value[src[i]][ord(c)][1] for c in t if ord(c) in shared.value[src[i]])
+                if g > LEAST_GAIN and all(r["before"] != before for r in read[i]):
+                    read[i].append({"swap": LEARNED, "before": before, "gain": g})
+            kind = b.schema.field("read").type
+            yield pa.RecordBatch.from_arrays([pa.array(read, kind) if c == "read" else b.column(c) for c in b.schema.names], names=b.schema.names)
+
+    return events.mapInArrow(run, events.schema)
+
+
+#: (source, character) -> {swap: probability}; source ALL stands for all, swap "" for each one not listed.
 Table = dict[tuple[int, str], dict[str, float]]
 
 
@@ -294,7 +338,7 @@ def posterior(table: Table, src: int, token: str, read: list[dict]) -> tuple[flo
     marks = set(_marks(token))
 
     def p(u: str) -> dict[str, float]:
-        return table.get((src, u)) or table.get((-1, u)) or {"": START}
+        return table.get((src, u)) or table.get((ALL, u)) or {"": START}
 
     logs = []
     for r in read:
@@ -314,14 +358,15 @@ def posterior(table: Table, src: int, token: str, read: list[dict]) -> tuple[flo
 
 def _sums(rows: DataFrame, run) -> dict[tuple[int, str, str], float]:
     """(source, character, swap) -> sum of n, of what run makes of the rows."""
-    got = rows.mapInArrow(run, "src int, mark string, swap string, n double").groupBy("src", "mark", "swap").agg(F.sum("n").alias("n"))
-    return {(r["src"], r["mark"], r["swap"]): r["n"] for r in got.collect()}
+    got = rows.mapInArrow(run, "src bigint, mark string, swap string, n double").groupBy("src", "mark", "swap").agg(F.sum("n").alias("n"))
+    t = fetched(got, "tables of swaps; a higher SUPPORT gives fewer")
+    return {(s, u, swap): n for s, u, swap, n in zip(*(t[c].to_pylist() for c in ("src", "mark", "swap", "n")), strict=True)}
 
 
 def _batch(sums: dict[tuple[int, str, str], float]) -> pa.RecordBatch:
     keys = list(sums)
     return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in keys], pa.int32()), *(pa.array([k[i] for k in keys], pa.string()) for i in (1, 2)), pa.array(list(sums.values()), pa.float64())],
+        [pa.array([k[0] for k in keys], pa.int64()), *(pa.array([k[i] for k in keys], pa.string()) for i in (1, 2)), pa.array(list(sums.values()), pa.float64())],
         names=["src", "mark", "swap", "n"],
     )
 
@@ -339,9 +384,10 @@ def learn(kinds: DataFrame, events: DataFrame, iterations: int = ITERATIONS) ->
         for b in batches:
             for token, sources in zip(*(b.column(c).to_pylist() for c in ("token", "sources")), strict=True):
                 for u in set(_marks(token)):
-                    sums[-1, u, ""] += 1
+                    sums[ALL, u, ""] += 1
                     for src in sources:
-                        sums[src, u, ""] += 1
+                        if src != SMALL:
+                            sums[src, u, ""] += 1
         yield _batch(sums)
 
     suspected = _sums(kinds.select("token", "sources"), held)
@@ -357,22 +403,23 @@ def learn(kinds: DataFrame, events: DataFrame, iterations: int = ITERATIONS) ->
                     for r, w in zip(read, posterior(shared.value, src, token, read)[1], strict=True):
                         if w > 1e-4:
                             for u in marks - set(r["before"]) or marks:
-                                sums[src, u, r["swap"]] += w
-                                sums[-1, u, r["swap"]] += w * share
+                                if src != SMALL:
+                                    sums[src, u, r["swap"]] += w
+                                sums[ALL, u, r["swap"]] += w * share
             yield _batch(sums)
 
         sums = suspected | _sums(events.select("src", "token", "read", "share"), run)
-        of_all = {(u, swap): n for (src, u, swap), n in sums.items() if src == -1}
+        of_all = {(u, swap): n for (src, u, swap), n in sums.items() if src == ALL}
         of_source = {key: n for key, n in sums.items() if key[0] >= 0}
         others = lambda n: max(0.0, n - 1)
         table = defaultdict(dict)
         for (u, swap), n in of_all.items():
             # under "": what a swap has that none of the suspects shows
-            table[-1, u][swap] = ((others(n) if swap else 0.0) + WEIGHT * START) / (others(of_all[u, ""]) + WEIGHT)
+            table[ALL, u][swap] = ((others(n) if swap else 0.0) + WEIGHT * START) / (others(of_all[u, ""]) + WEIGHT)
         for src, u, swap in list(of_source):
             if not swap:
                 total = others(of_source[src, u, ""]) + WEIGHT
-                for how, common in table[-1, u].items():
+                for how, common in table[ALL, u].items():
                     own = others(of_source.get((src, u, how), 0.0)) if how else 0.0
                     table[src, u][how] = (own + WEIGHT * common) / total
         table = dict(table)
@@ -385,16 +432,29 @@ class Findings:
     def __init__(self, df: DataFrame) -> None:
         spark = df.sparkSession
         looked = checkpoint(first_look(df))
-        counted = looked.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        counted = fetched(looked.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")), "bigrams")
         lm = spark.sparkContext.broadcast((counted["key"].to_numpy(), counted["n"].to_numpy()))
         self.bigrams = lm
-        kinds = looked.where("token IS NOT NULL").groupBy("left", "token", "right").agg(F.collect_set("src").alias("sources"))  # at most SOURCES
+        tokens = looked.where("token IS NOT NULL").select("src", "lang", "left", "token", "right")
+        per_source = tokens.drop("lang").distinct().groupBy("src").count()
+        supported = checkpoint(per_source.where(F.col("count") >= SUPPORT).select("src"))
+        told = fetched(learn_letters(tokens.join(supported, "src", "left_semi")), "letters of sources")
+        #: By source: code point -> (letter, how much rarer the character is elsewhere).
+        self.letters: dict[int, dict[int, tuple[str, float]]] = {}
+        for src, mark, letter, rarer in zip(*(told[c].to_pylist() for c in ("src", "mark", "letter", "rarer")), strict=True):
+            self.letters.setdefault(src, {})[ord(mark)] = letter, rarer
+        own = _of_tables(tokens.drop("lang"), supported)
+        kinds = own.groupBy("left", "token", "right").agg(F.collect_set("src").alias("sources"))  # at most the sources with a table
         share = (1 / F.size("sources")).alias("share")
-        # few bytes, but much work for each: not to be coalesced by size
-        kinds = kinds.repartition(4 * spark.sparkContext.defaultParallelism, "token")
+        # few bytes, but much work for each: not to be coalesced by size. Tokens of the same characters go together, since what
+        # the swaps make of these is remembered; single characters may be of very many tokens
+        marks = F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace("token", r"[\x00-\x7F]", ""), ""))), "")
+        salt = F.pmod(F.xxhash64("token"), F.when(F.length(marks) > 1, F.lit(4)).otherwise(F.lit(64)))
+        kinds = kinds.repartition(4 * spark.sparkContext.defaultParallelism, marks, salt)
         kinds = checkpoint(scored(kinds, lm))
         # what can't be read back counts in the table, but never changes its mind
-        events = kinds.where(F.size("read") > 0).select("left", "token", "right", "read", share, F.explode("sources").alias("src"))
+        every = kinds.select("left", "token", "right", "read", share, F.explode("sources").alias("src"))
+        events = checkpoint(with_letters(every, self.letters, lm).where(F.size("read") > 0)) if self.letters else every.where(F.size("read") > 0)
         self.table = learn(kinds, events)
         shared = spark.sparkContext.broadcast(self.table)
 
@@ -416,9 +476,9 @@ class Findings:
                 )
 
         #: src, left, token, right, swap, before, sure of each garbled token.
-        self.tokens = checkpoint(events.mapInArrow(decide, "src int, left int, token string, right int, swap string, before string, sure double"))
+        self.tokens = checkpoint(events.mapInArrow(decide, "src bigint, left int, token string, right int, swap string, before string, sure double"))
         #: doc_id, src, left, token, right of the places where they may stand.
-        self.suspects = suspects(df, self.tokens)
+        self.suspects = suspects(df, self.tokens, supported)
 
     def documents(self) -> DataFrame:
         """doc_id of each affected document."""
@@ -427,7 +487,7 @@ class Findings:
     def mapping(self) -> DataFrame:
         """src, mark, swap, p: the learned tables."""
         rows = [(s, u, swap, float(p)) for (s, u), t in self.table.items() for swap, p in t.items() if s >= 0 and swap and p >= 0.01]
-        return self.suspects.sparkSession.createDataFrame(rows, "src int, mark string, swap string, p double")
+        return self.suspects.sparkSession.createDataFrame(rows, "src bigint, mark string, swap string, p double")
 
     def restored(self, df: DataFrame) -> DataFrame:
         """doc_id and text of the affected documents, as far as it can be had back."""
@@ -455,7 +515,7 @@ def restore(text: str, swaps: dict[str, str], model: bigrams.Bigrams, before: di
     s = bigrams.symbols(cp)
     inside = (s != bigrams.BLANK) & (s != bigrams.EAST)
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    usual = [x for x in dict.fromkeys(swaps.values()) if x != LOST]
+    usual = [x for x in dict.fromkeys(swaps.values()) if x not in (LOST, LEARNED)]
     out, at = [], 0
     for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
         token = text[i:j]
@@ -465,7 +525,7 @@ def restore(text: str, swaps: dict[str, str], model: bigrams.Bigrams, before: di
         swap = swaps.get(key)
         if swap and swap != LOST:
             was = (before or {}).get(key)
-            if was is not None and swap in dict(codepages.swaps()):
+            if was is not None and (swap == LEARNED or swap in dict(codepages.swaps())):
                 best = "".join(c if c < "\x80" else w for c, w in zip(token, was, strict=True))
             else:
                 best = codepages.undo(token, swap)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from seriesmill.llm import bigrams, codepages, garbled
+from seriesmill.llm import bigrams, codepages, garbled, letters, shared
 
 GERMAN = "Der Kläger hat die Gebühr für die Prüfung nicht bezahlt und bestreitet die Höhe der Entschädigung. Das Gericht hält die Klage für zulässig, aber unbegründet. Müller und Größe sowie Straße genügen.".split()
 FRENCH = "La société a été condamnée à réparer le préjudice causé à l’appelant, déclaré recevable après l’arrêt du tribunal où siège le président. Sûreté et intérêts sont dus à l’échéance fixée.".split()
@@ -123,6 +123,71 @@ def test_token_without_a_letter():
     assert "[…]" in {r["before"] for r in read}
 
 
+#: A code page that nobody lists: letters for other characters, without any system.
+UNLISTED = str.maketrans("äöüß", "Þ¤ÏŒ")
+COURT = """Kläger hält erklärt Geschäft Verhältnis nämlich später wäre Gläubiger Anträge Verträge während Erklärung ergänzt Schäden
+Tätigkeit ständig zunächst Länge Höhe gehört möglich können nötig Behörde öffentlich Größe lösen gewöhnlich schön hören förmlich
+Zerstörung erhöht völlig Vermögen persönlich zwölf Gebühr Prüfung begründet für Rückgabe zurück führt müssen gültig Kündigung früher
+natürlich Verfügung ausdrücklich künftig Rüge Grundstück übrig würde groß Straße gemäß außer Maß Schluß heißt bloß stieß weiß
+schließen Verstoß Fuß Beschluß muß größer regelmäßig""".split()
+
+
+def test_unlisted_page(spark):
+    """A source whose German went through a swap of no listed page: told by the neighbours of its characters, and undone."""
+    rng = random.Random(12)
+    words = COURT + "der Vertrag ist nach Ansicht des Gerichts wirksam und die Frist war noch nicht abgelaufen".split()
+    rows = []
+    for i in range(900):
+        lang, source = ("de", "fr")[i % 2], f"s{i % 6}"
+        rows.append((i, sentence(rng, words if lang == "de" else FRENCH), source, lang))
+    hit = {i for i, _, s, lang in rows if s == "s2" and lang == "de"}
+    garbled_rows = [(i, t.translate(UNLISTED) if i in hit else t, s, lang) for i, t, s, lang in rows]
+    df = spark.createDataFrame(garbled_rows, "doc_id bigint, text string, source string, lang string")
+    f = garbled.Findings(df)
+    assert [{u: v for u, (v, _) in t.items()} for t in f.letters.values()] == [{ord(c): v for v, c in (("ä", "Þ"), ("ö", "¤"), ("ü", "Ï"), ("ß", "Œ"))}]
+    assert {r.doc_id for r in f.documents().collect()} == hit
+    texts = {i: t for i, t, _, _ in rows}
+    got = {r.doc_id: r.text for r in f.restored(df).collect()}
+    assert np.mean([got[i] == texts[i] for i in hit]) >= 0.95
+    assert f.mapping().where("swap = 'learned' AND p > 0.5").count() >= 3
+    # the same characters in every source are letters of the language
+    everywhere = [(i, t.translate(UNLISTED) if lang == "de" else t, s, lang) for i, t, s, lang in rows]
+    assert garbled.Findings(spark.createDataFrame(everywhere, df.schema)).letters == {}
+
+
+def test_rare_letters_are_no_swaps():
+    """Characters whose neighbours fit no letter, or too few of them, stand for themselves."""
+    keys = [(a, v, b) for a in range(97, 110) for v in (228, 246) for b in range(97, 110) if (a + v + b) % 3]
+    l, u, r = (np.array(x) for x in zip(*keys, strict=True))
+    n = np.ones(len(l), np.int64)
+    pair, of = letters._pairs(l, u, r)
+    k, m = np.unique(np.concatenate((pair, u)), return_inverse=True)
+    counts = np.bincount(m)
+    none = np.zeros(0, np.int64)
+    own = np.array([97, 98, 99]), np.array([248, 248, 229]), np.array([100, 100, 100])
+    assert letters.letters_of(*own, np.ones(3, np.int64), letters.Others(k, counts, none, none, none, none)) == {}
+    assert letters.letters_of(none, none, none, none, letters.Others(k, counts, none, none, none, none)) == {}
+
+
+def test_large_tables_are_refused(spark):
+    with pytest.raises(ValueError):
+        shared.fetched(spark.range(100), "numbers", 100)
+    assert shared.fetched(spark.range(100), "numbers").num_rows == 100
+
+
+def test_wide_words():
+    texts = pa.array(["plain words", "é", "", "a Größe\tb\n日本x 5 ”", None, "x" * 10 + " " + "é" * 3]).slice(1)
+    assert bigrams.wide_words(pa.array([t or "" for t in texts.to_pylist()])).to_pylist() == ["é ", "", "Größe 日本x ” ", "", "ééé "]
+    assert bigrams.wide_words(pa.array(["", ""])).to_pylist() == ["", ""]
+
+
+@pytest.mark.parametrize("text", ["Ã¼ber", "plain", "Größe", "â‚¬", "ÐŸÑ€", "é"])
+def test_pages_of_utf8(text):
+    """No page is left out by the quick look."""
+    hit = {w for w in codepages.READ_AS if codepages.unread_utf8(text, w) != text}
+    assert hit <= set(codepages.utf8_pages(text))
+
+
 def test_form():
     assert codepages.form(swap("żć", "utf-8", "cp1252"), "utf-8>cp1252") > 4
     assert codepages.form(swap("Ж", "utf-8", "cp1252") + "é", "utf-8>cp1252") == 0  # é is part of none
