@@ -102,6 +102,10 @@ def counts(texts: pa.Array, words: pa.Array | None = None) -> tuple[np.ndarray,
     return np.concatenate([k, held]), np.concatenate([n, plain[held]])
 
 
+#: Up to so many symbols a table of all their pairs is made: 32 MB.
+MOST_SYMBOLS = 2000
+
+
 class Bigrams:
     """log P(b | a), smoothed towards P(b)."""
 
@@ -120,9 +124,20 @@ class Bigrams:
         self.easts = max(1, sum(self.east.values()))
         #: ASCII, and all characters above it that the corpus holds.
         self.known = frozenset(map(chr, range(0x80))) | {chr(k) for k in (*self.single, *self.east) if 0x80 <= k < 0x110000}
-        self.single_n, self.east_log = np.zeros(0x110000), np.full(0x110000, math.log(1e-7))
-        self.single_n[keys[one]] = n[one]
+        self.east_log = np.full(0x110000, math.log(1e-7))
         self.east_log[-keys[east]] = np.log(np.maximum(n[east] / self.easts, 1e-7))
+        # symbols by number; 0 stands for those that the corpus lacks
+        held = np.unique(np.concatenate((np.arange(0x80), keys[one])))
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[held] = np.arange(1, len(held) + 1)
+        self.number[0x30:0x3A], self.number[9:14] = self.number[DIGIT], self.number[BLANK]
+        every = np.arange(0x110000)
+        self.number[is_east(every)] = self.number[EAST]
+        count = np.zeros(len(held) + 1)
+        count[self.number[keys[one]]] = n[one]
+        self.count, self.part = count, np.maximum(count / self.total, self.LEAST)
+        self.ascii = np.concatenate(([False], held < 0x80))
+        self.table = self._table() if len(held) < MOST_SYMBOLS else None
         self.seen: dict[int, float] = {}
         self.pairs = dict(zip(self.keys.tolist(), self.n.tolist(), strict=True))
 
@@ -141,34 +156,50 @@ class Bigrams:
         """Whether the corpus has the text's first character after left, or its last before right. Both are above ASCII."""
         return (left << 21) + symbol(text[0]) in self.pairs or (symbol(text[-1]) << 21) + right in self.pairs
 
+    def _table(self) -> np.ndarray:
+        """log_p of all pairs of numbers."""
+        out = np.log(self.WEIGHT * self.part[None] / (self.count + self.WEIGHT)[:, None])
+        a, b = self.number[self.keys >> 21], self.number[self.keys & 0x1FFFFF]
+        out[a, b] = np.log((self.n + self.WEIGHT * self.part[b]) / (self.count[a] + self.WEIGHT))
+        out[np.ix_(self.ascii, self.ascii)] = -3.0
+        return out.reshape(-1)
+
     def log_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """log_p of many bigrams."""
-        key = (a << 21) + b
+        """log_p of many bigrams, given by their numbers: from a table of all, or one by one where there are too many symbols for it."""
+        if self.table is not None:
+            return self.table[a.astype(np.int64) * len(self.count) + b]
+        symbol_of = np.zeros(len(self.count), np.int64)
+        seen = np.flatnonzero(self.number)[::-1]
+        symbol_of[self.number[seen]] = symbols(seen.astype(np.int32))
+        key = (symbol_of[a] << 21) + symbol_of[b]
         at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        n = np.where(self.keys[at] == key, self.n[at], 0.0) if len(self.keys) else np.zeros(len(key))
-        p = np.maximum(self.single_n[b] / self.total, self.LEAST)
-        return np.where((a < 0x80) & (b < 0x80), -3.0, np.log((n + self.WEIGHT * p) / (self.single_n[a] + self.WEIGHT)))
+        n = np.where((self.keys[at] == key) & (a > 0) & (b > 0), self.n[at], 0.0) if len(self.keys) else np.zeros(len(key))
+        return np.where(self.ascii[a] & self.ascii[b], -3.0, np.log((n + self.WEIGHT * self.part[b]) / (self.count[a] + self.WEIGHT)))
 
     def scores(self, left: np.ndarray, texts: list[str], right: np.ndarray) -> np.ndarray:
-        """log P of each text between its neighbours."""
+        """log P of each text between its neighbours (symbols)."""
         if not texts:
             return np.zeros(0)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(size + 2)
         begin = ends - size - 2
-        row = np.repeat(np.arange(len(texts)), size)
-        s = np.empty(ends[-1], np.int64)
-        s[begin], s[ends - 1] = left, right
-        s[np.arange(len(cp)) + 2 * row + 1] = symbols(cp)
-        pair = np.ones(len(s), bool)
-        pair[ends - 1] = False
+        s = np.zeros(ends[-1], np.int32)
+        inner = np.ones(len(s), bool)
+        inner[begin] = inner[ends - 1] = False
+        s[inner] = self.number[cp]
+        s[begin], s[ends - 1] = self.number[left], self.number[right]
+        # the pair of a text's right neighbour with the next text's left one counts for nothing
         lp = np.zeros(len(s))
-        at = np.flatnonzero(pair)
-        lp[at] = self.log_pairs(s[at], s[at + 1])
+        lp[:-1] = self.log_pairs(s[:-1], s[1:])
+        lp[ends - 1] = 0
         out = np.add.reduceat(lp, begin)
-        east = np.flatnonzero(is_east(cp))
-        return out + np.bincount(row[east], self.east_log[cp[east]], len(texts)) if len(east) else out
+        wide = np.flatnonzero(cp >= 0x2E80)
+        east = wide[is_east(cp[wide].astype(np.int32))]
+        if not len(east):
+            return out
+        row = np.searchsorted(np.cumsum(size), east, side="right")
+        return out + np.bincount(row, self.east_log[cp[east]], len(texts))
 
     def score(self, left: int, text: str, right: int) -> float:
         return float(self.scores(np.array([left]), [text], np.array([right]))[0])

@@ -71,15 +71,26 @@ def utf8_pages(text: str) -> list[str]:
     return [wrong for k, wrong in enumerate(READ_AS) if hit >> k & 1] if hit else []
 
 
+@lru_cache(maxsize=None)
+def _sequences(wrong: str) -> dict[str, str]:
+    """What unread_utf8 made of sequences of this code page so far."""
+    return {}
+
+
 def unread_utf8(text: str, wrong: str) -> str:
     """text with each sequence that is UTF-8 in the bytes of the wrong code page turned back into its character."""
-    table = byte_of(wrong)
+    table, known = byte_of(wrong), _sequences(wrong)
 
     def back(m: re.Match[str]) -> str:
-        try:
-            return bytes(table[c] for c in m[0]).decode("utf-8")
-        except UnicodeDecodeError:
-            return m[0]
+        out = known.get(m[0])
+        if out is None:
+            try:
+                out = bytes(table[c] for c in m[0]).decode("utf-8")
+            except UnicodeDecodeError:
+                out = m[0]
+            if len(known) < 1 << 16:
+                known[m[0]] = out
+        return out
 
     return _utf8_pattern(wrong).sub(back, text)
 
@@ -116,15 +127,19 @@ def unread_paired(text: str, true: str, wrong: str) -> str | None:
         return None
 
 
+@lru_cache(maxsize=1 << 16)
+def _by_swap(mark: str) -> str:
+    """What each of swaps() makes of the character, one after the other."""
+    return "".join(table.get(ord(mark), mark) for _, table in swaps())
+
+
 @lru_cache(maxsize=1 << 16)
 def substitutions(marks: str, known: frozenset[str] | None = None) -> tuple[tuple[str, str], ...]:
     """What the single-byte swaps make of these characters: (a swap, their letters), equal results once, known letters only."""
-    found: dict[str, str] = {}
-    for name, table in swaps():
-        to = marks.translate(table)
-        if to != marks and (known is None or known.issuperset(to)):
-            found.setdefault(to, name)
-    return tuple((name, to) for to, name in found.items())
+    made = list(zip(*map(_by_swap, marks), strict=True))
+    first = dict(zip(reversed(made), range(len(made) - 1, -1, -1), strict=True))
+    own = tuple(marks)
+    return tuple((swaps()[k][0], "".join(to)) for to, k in sorted(first.items(), key=lambda x: x[1]) if to != own and (known is None or known.issuperset(to)))
 
 
 def undo(text: str, swap: str) -> str:

@@ -27,6 +27,8 @@ from seriesmill.llm.pretokens import pieces, words
 HEAD_WORDS = 1 << 17
 #: Longest word in the head, in bytes; longer ones are replayed where they stand.
 HEAD_BYTES = 64
+#: Words outside the head, and ids of them, that a task remembers.
+MEMO_WORDS, MEMO_IDS = 1 << 16, 1 << 22
 
 
 def _texts(b: pa.RecordBatch, column: str) -> pa.Array:
@@ -82,6 +84,7 @@ class Encoder:
     def __init__(self, head_words: pa.Array, ids: np.ndarray, offsets: np.ndarray, tokenizer: str, folder: str) -> None:
         self.head, self.ids, self.offsets = head_words, ids, offsets
         self.merges = load(tokenizer, folder)
+        self._forget()
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)"""
@@ -95,8 +98,8 @@ class Encoder:
         pool = self.ids
         begin[known], size[known] = self.offsets[at[known]], self.offsets[at[known] + 1] - self.offsets[at[known]]
         if not known.all():
-            ids, offsets = replay(distinct.filter(pa.array(~known)), self.merges)
-            begin[~known], size[~known] = offsets[:-1] + len(pool), np.diff(offsets)
+            ids, start, n = self._tail(distinct.filter(pa.array(~known)))
+            begin[~known], size[~known] = start + len(pool), n
             pool = np.concatenate([pool, ids])
         n = size[which]
         ends = np.cumsum(n)
@@ -106,6 +109,25 @@ class Encoder:
         return flat, np.diff(np.concatenate(([0], upto)))
 
 
+    def _tail(self, rest: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each word begin, how many) of words outside the head; what the task replayed before is remembered."""
+        if len(self.memo) > MEMO_WORDS or len(self.memo_ids) > MEMO_IDS:
+            self._forget()
+        at = pc.index_in(rest, self.memo) if len(self.memo) else pa.nulls(len(rest), pa.int32())
+        fresh = rest.filter(at.is_null())
+        if len(fresh):
+            ids, offsets = replay(fresh, self.merges)
+            self.memo_ends = np.concatenate([self.memo_ends, self.memo_ends[-1] + offsets[1:]])
+            self.memo_ids = np.concatenate([self.memo_ids, ids])
+            self.memo = pa.concat_arrays([self.memo, fresh])
+            at = pc.index_in(rest, self.memo)
+        where = at.to_numpy(zero_copy_only=False)
+        return self.memo_ids, self.memo_ends[where], self.memo_ends[where + 1] - self.memo_ends[where]
+
+    def _forget(self) -> None:
+        self.memo, self.memo_ids, self.memo_ends = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+
 def shared_head(df: DataFrame, text: str, tokenizer: str, folder: str, most: int = HEAD_WORDS):
     """Broadcast of the head's words with their ids: at most `most` words of at most HEAD_BYTES bytes."""
     spark = df.sparkSession

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.llm import bigrams, codepages
@@ -287,17 +287,29 @@ class Reader:
         return self.read([left], [token], [right])[0]
 
 
+_READ = pa.list_(pa.struct([("swap", pa.string()), ("before", pa.string()), ("gain", pa.float64()), ("changed", pa.string())]))
+
+
+def _changed(marks: str, before: str) -> str:
+    """The characters that a reading changes: those of the token that it doesn't hold, or all."""
+    return "".join(u for u in marks if u not in before) or marks
+
+
 def scored(events: DataFrame, lm) -> DataFrame:
-    """The distinct suspects with `read`: array<struct<swap, before, gain>> of what they may have been."""
+    """The distinct suspects with `marks` (their characters above ASCII, each once) and `read`: what they may have been."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(bigrams.Bigrams(*lm.value))
-        kind = pa.list_(pa.struct([("swap", pa.string()), ("before", pa.string()), ("gain", pa.float64())]))
         for b in batches:
-            out = reader.read(*(b.column(c).to_pylist() for c in ("left", "token", "right")))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(out, kind)], names=[*b.schema.names, "read"])
+            tokens = b.column("token").to_pylist()
+            marks = ["".join(dict.fromkeys(_marks(t))) for t in tokens]
+            out = reader.read(b.column("left").to_pylist(), tokens, b.column("right").to_pylist())
+            for own, read in zip(marks, out, strict=True):
+                for r in read:
+                    r["changed"] = _changed(own, r["before"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(marks, pa.string()), pa.array(out, _READ)], names=[*b.schema.names, "marks", "read"])
 
-    return events.mapInArrow(run, "left int, token string, right int, sources array<bigint>, read array<struct<swap:string,before:string,gain:double>>")
+    return events.mapInArrow(run, "id bigint, left int, token string, right int, marks string, read array<struct<swap:string,before:string,gain:double,changed:string>>")
 
 
 def with_letters(events: DataFrame, letters: dict[int, dict[int, tuple[str, float]]], lm) -> DataFrame:
@@ -314,17 +326,15 @@ def with_letters(events: DataFrame, letters: dict[int, dict[int, tuple[str, floa
         for b in batches:
             read = b.column("read").to_pylist()
             left, right = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("left", "right"))
-            tokens = b.column("token").to_pylist()
-            src = b.column("src").to_pylist()
+            tokens, marks, src = (b.column(c).to_pylist() for c in ("token", "marks", "src"))
             made = [(i, t, before) for i, (s, t) in enumerate(zip(src, tokens, strict=True)) if s in tables and (before := t.translate(tables[s])) != t]
             at = np.array([i for i, _, _ in made], np.int64)
             gain = model.scores(left[at], [x for _, _, x in made], right[at]) - model.scores(left[at], [t for _, t, _ in made], right[at])
             for (i, t, before), g in zip(made, gain.tolist(), strict=True):
                 g += sum(shared.value[src[i]][ord(c)][1] for c in t if ord(c) in shared.value[src[i]])
                 if g > LEAST_GAIN and all(r["before"] != before for r in read[i]):
-                    read[i].append({"swap": LEARNED, "before": before, "gain": g})
-            kind = b.schema.field("read").type
-            yield pa.RecordBatch.from_arrays([pa.array(read, kind) if c == "read" else b.column(c) for c in b.schema.names], names=b.schema.names)
+                    read[i].append({"swap": LEARNED, "before": before, "gain": g, "changed": _changed(marks[i], before)})
+            yield pa.RecordBatch.from_arrays([pa.array(read, _READ) if c == "read" else b.column(c) for c in b.schema.names], names=b.schema.names)
 
     return events.mapInArrow(run, events.schema)
 
@@ -333,22 +343,25 @@ def with_letters(events: DataFrame, letters: dict[int, dict[int, tuple[str, floa
 Table = dict[tuple[int, str], dict[str, float]]
 
 
-def posterior(table: Table, src: int, token: str, read: list[dict]) -> tuple[float, list[float]]:
-    """(P(as it stands), P of each candidate)."""
-    marks = set(_marks(token))
+#: The same in logarithms: ({swap: log P}, log P of one not listed, log P that the character stands).
+Logs = dict[tuple[int, str], tuple[dict[str, float], float, float]]
+
+
+def in_logs(table: Table) -> Logs:
+    out = {key: ({swap: math.log(x) for swap, x in p.items()}, math.log(p[""]), math.log(max(1 - sum(p.values()), STANDS))) for key, p in table.items()}
+    out[ALL, ""] = {}, math.log(START), math.log(max(1 - START, STANDS))
+    return out
 
-    def p(u: str) -> dict[str, float]:
-        return table.get((src, u)) or table.get((ALL, u)) or {"": START}
 
+def posterior(table: Logs, src: int, marks: str, swaps: list[str], gains: list[float], changed: list[str]) -> tuple[float, list[float]]:
+    """(P(as it stands), P of each reading) of a token with these characters above ASCII."""
+    of = {u: table.get((src, u)) or table.get((ALL, u)) or table[ALL, ""] for u in marks}
     logs = []
-    for r in read:
-        if r["swap"] == LOST:
-            logs.append(r["gain"])
-            continue
-        changed = marks - set(r["before"]) or marks
-        prior = sum(math.log(p(u).get(r["swap"], p(u)[""])) for u in changed) / len(changed)
-        logs.append(r["gain"] + prior)
-    stands = sum(math.log(max(1 - sum(p(u).values()), STANDS)) for u in marks) / max(1, len(marks))
+    for swap, gain, own in zip(swaps, gains, changed, strict=True):
+        if swap != LOST:
+            gain += sum([of[u][0].get(swap, of[u][1]) for u in own]) / len(own)
+        logs.append(gain)
+    stands = sum([x[2] for x in of.values()]) / max(1, len(of))
     top = max([stands, *logs])
     weights = [math.exp(x - top) for x in logs]
     rest = math.exp(stands - top)
@@ -356,6 +369,16 @@ def posterior(table: Table, src: int, token: str, read: list[dict]) -> tuple[flo
     return rest / total, [w / total for w in weights]
 
 
+def _readings(b: pa.RecordBatch) -> Iterator[tuple[list[str], list[float], list[str]]]:
+    """swaps, gains and changed characters of each row's readings."""
+    read = b.column("read")
+    ends = read.offsets.to_numpy()
+    flat = read.flatten()
+    swap, gain, changed = (flat.field(c).to_pylist() for c in ("swap", "gain", "changed"))
+    for a, z in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=True):
+        yield swap[a:z], gain[a:z], changed[a:z]
+
+
 def _sums(rows: DataFrame, run) -> dict[tuple[int, str, str], float]:
     """(source, character, swap) -> sum of n, of what run makes of the rows."""
     got = rows.mapInArrow(run, "src bigint, mark string, swap string, n double").groupBy("src", "mark", "swap").agg(F.sum("n").alias("n"))
@@ -371,44 +394,41 @@ def _batch(sums: dict[tuple[int, str, str], float]) -> pa.RecordBatch:
     )
 
 
-def learn(kinds: DataFrame, events: DataFrame, iterations: int = ITERATIONS) -> Table:
-    """The table after so many iterations. kinds: token and sources of each distinct suspect; events: src, token, read and share
-    (one over its number of sources) of each distinct suspect of a source that can be read back.
+def learn(held: DataFrame, kinds: DataFrame, events: DataFrame, iterations: int = ITERATIONS) -> Table:
+    """The table after so many iterations. held: src and token of each distinct suspect of each source, kinds: the distinct suspects
+    of all; events: src, marks, read and share (one over its number of sources) of those of a source that can be read back.
 
     Gathered is a sum per source, character and swap: as many rows as the table has.
     """
     spark = events.sparkSession
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, str, str], float] = defaultdict(float)
         for b in batches:
-            for token, sources in zip(*(b.column(c).to_pylist() for c in ("token", "sources")), strict=True):
+            for src, token in zip(*(b.column(c).to_pylist() for c in ("src", "token")), strict=True):
                 for u in set(_marks(token)):
-                    sums[ALL, u, ""] += 1
-                    for src in sources:
-                        if src != SMALL:
-                            sums[src, u, ""] += 1
+                    sums[src, u, ""] += 1
         yield _batch(sums)
 
-    suspected = _sums(kinds.select("token", "sources"), held)
+    own, every = held.where(F.col("src") != SMALL).select("src", "token"), kinds.select(F.lit(ALL).cast("bigint").alias("src"), "token")
+    suspected = _sums(own.unionByName(every), marked)
     table: Table = {}
     for _ in range(iterations):
-        shared = spark.sparkContext.broadcast(table)
+        shared = spark.sparkContext.broadcast(in_logs(table))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, str, str], float] = defaultdict(float)
             for b in batches:
-                for src, token, read, share in zip(*(b.column(c).to_pylist() for c in ("src", "token", "read", "share")), strict=True):
-                    marks = set(_marks(token))
-                    for r, w in zip(read, posterior(shared.value, src, token, read)[1], strict=True):
+                for src, marks, share, (swaps, gains, changed) in zip(*(b.column(c).to_pylist() for c in ("src", "marks", "share")), _readings(b), strict=True):
+                    for swap, own, w in zip(swaps, changed, posterior(shared.value, src, marks, swaps, gains, changed)[1], strict=True):
                         if w > 1e-4:
-                            for u in marks - set(r["before"]) or marks:
+                            for u in own:
                                 if src != SMALL:
-                                    sums[src, u, r["swap"]] += w
-                                sums[ALL, u, r["swap"]] += w * share
+                                    sums[src, u, swap] += w
+                                sums[ALL, u, swap] += w * share
             yield _batch(sums)
 
-        sums = suspected | _sums(events.select("src", "token", "read", "share"), run)
+        sums = suspected | _sums(events.select("src", "marks", "share", "read"), run)
         of_all = {(u, swap): n for (src, u, swap), n in sums.items() if src == ALL}
         of_source = {key: n for key, n in sums.items() if key[0] >= 0}
         others = lambda n: max(0.0, n - 1)
@@ -435,40 +455,45 @@ class Findings:
         counted = fetched(looked.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")), "bigrams")
         lm = spark.sparkContext.broadcast((counted["key"].to_numpy(), counted["n"].to_numpy()))
         self.bigrams = lm
-        tokens = looked.where("token IS NOT NULL").select("src", "lang", "left", "token", "right")
-        per_source = tokens.drop("lang").distinct().groupBy("src").count()
-        supported = checkpoint(per_source.where(F.col("count") >= SUPPORT).select("src"))
-        told = fetched(learn_letters(tokens.join(supported, "src", "left_semi")), "letters of sources")
-        #: By source: code point -> (letter, how much rarer the character is elsewhere).
-        self.letters: dict[int, dict[int, tuple[str, float]]] = {}
-        for src, mark, letter, rarer in zip(*(told[c].to_pylist() for c in ("src", "mark", "letter", "rarer")), strict=True):
-            self.letters.setdefault(src, {})[ord(mark)] = letter, rarer
-        own = _of_tables(tokens.drop("lang"), supported)
-        kinds = own.groupBy("left", "token", "right").agg(F.collect_set("src").alias("sources"))  # at most the sources with a table
-        share = (1 / F.size("sources")).alias("share")
+        tokens = looked.where("token IS NOT NULL").withColumn("id", F.xxhash64("left", "token", "right"))
+        # where each distinct suspect stands: a few bytes for each source and language
+        places = checkpoint(tokens.select("id", "src", "lang").distinct())
+        supported = checkpoint(places.groupBy("src").count().where(F.col("count") >= SUPPORT).select("src"))
+        own = _of_tables(places.select("id", "src"), supported).repartition("id").distinct()
+        own = checkpoint(own.withColumn("share", 1 / F.count(F.lit(1)).over(Window.partitionBy("id"))))
         # few bytes, but much work for each: not to be coalesced by size. Tokens of the same characters go together, since what
         # the swaps make of these is remembered; single characters may be of very many tokens
         marks = F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace("token", r"[\x00-\x7F]", ""), ""))), "")
-        salt = F.pmod(F.xxhash64("token"), F.when(F.length(marks) > 1, F.lit(4)).otherwise(F.lit(64)))
-        kinds = kinds.repartition(4 * spark.sparkContext.defaultParallelism, marks, salt)
+        salt = F.pmod("id", F.when(F.length(marks) > 1, F.lit(4)).otherwise(F.lit(64)))
+        kinds = tokens.select("id", "left", "token", "right").distinct().repartition(4 * spark.sparkContext.defaultParallelism, marks, salt)
         kinds = checkpoint(scored(kinds, lm))
+        text = kinds.select("id", "left", "token", "right")
+        told = fetched(learn_letters(places.where("lang <> 0").join(supported, "src", "left_semi").join(text, "id")), "letters of sources")
+        #: By source: code point -> (letter, how much rarer the character is elsewhere).
+        self.letters: dict[int, dict[int, tuple[str, float]]] = {}
+        for src, mark, letter, rarer in zip(*(told[c].to_pylist() for c in ("src", "mark", "letter", "rarer")), strict=True):
+            self.letters.setdefault(src, {})[ord(mark)] = letter, rarer
         # what can't be read back counts in the table, but never changes its mind
-        every = kinds.select("left", "token", "right", "read", share, F.explode("sources").alias("src"))
-        events = checkpoint(with_letters(every, self.letters, lm).where(F.size("read") > 0)) if self.letters else every.where(F.size("read") > 0)
-        self.table = learn(kinds, events)
-        shared = spark.sparkContext.broadcast(self.table)
+        readable = kinds if self.letters else kinds.where(F.size("read") > 0)
+        events = own.join(readable, "id").select("left", "token", "right", "marks", "read", "share", "src")
+        events = checkpoint((with_letters(events, self.letters, lm) if self.letters else events).where(F.size("read") > 0))
+        self.table = learn(own.join(text.select("id", "token"), "id"), text, events)
+        shared = spark.sparkContext.broadcast(in_logs(self.table))
 
         def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep, how, before, sure = [], [], [], []
-                for i, (s, token, options) in enumerate(zip(*(b.column(c).to_pylist() for c in ("src", "token", "read")), strict=True)):
-                    stands, each = posterior(shared.value, s, token, options)
+                was = b.column("read").flatten().field("before").to_pylist()
+                begin = 0
+                for i, (src, marks, (swaps, gains, changed)) in enumerate(zip(b.column("src").to_pylist(), b.column("marks").to_pylist(), _readings(b), strict=True)):
+                    stands, each = posterior(shared.value, src, marks, swaps, gains, changed)
                     if stands < 0.5:
-                        best = max(range(len(each)), key=lambda k: (options[k]["swap"] != LOST, each[k]))
+                        best = max(range(len(each)), key=lambda k: (swaps[k] != LOST, each[k]))
                         keep.append(i)
-                        how.append(options[best]["swap"])
-                        before.append(options[best]["before"])
+                        how.append(swaps[best])
+                        before.append(was[begin + best])
                         sure.append(1 - stands)
+                    begin += len(swaps)
                 rows = b.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(c) for c in ("src", "left", "token", "right")), pa.array(how, pa.string()), pa.array(before, pa.string()), pa.array(sure, pa.float64())],

@@ -35,7 +35,7 @@ SMOOTH = 0.5
 
 
 def neighbourhoods(kinds: DataFrame) -> DataFrame:
-    """src, lang, l, u, r, n: how many distinct tokens of a source and language have a character above ASCII between two symbols."""
+    """src, lang, l, u, r, n: how often the tokens (distinct within a source and language) have a character above ASCII between two symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -53,7 +53,7 @@ def neighbourhoods(kinds: DataFrame) -> DataFrame:
             key, n = np.unique(np.stack([src, lang, left, s[at], right]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([*(pa.array(k) for k in key), pa.array(n.astype(np.int64))], names=["src", "lang", "l", "u", "r", "n"])
 
-    rows = kinds.select("src", "lang", "left", "token", "right").where("lang <> 0").distinct()
+    rows = kinds.select("src", "lang", "left", "token", "right").where("lang <> 0")
     schema = "src bigint, lang bigint, l bigint, u bigint, r bigint, n bigint"
     return rows.mapInArrow(run, schema).groupBy("src", "lang", "l", "u", "r").agg(F.sum("n").alias("n"))
 

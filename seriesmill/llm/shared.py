@@ -13,15 +13,12 @@ MOST_BYTES = 256 << 20
 
 
 def fetched(df: DataFrame, what: str, most_bytes: int = MOST_BYTES):
-    """The table as Arrow, after a check of its number of rows."""
+    """The table as Arrow, if it has no more rows than that allows."""
     width = sum({"string": 24, "double": 8, "bigint": 8, "int": 4}.get(k, 64) for _, k in df.dtypes)
-    rows = df.persist()
-    n = rows.count()
-    if n * width > most_bytes:
-        rows.unpersist()
-        raise ValueError(f"{what}: {n} rows of about {width} bytes are more than {most_bytes} for every task")
-    out = rows.toArrow()
-    rows.unpersist()
+    most = most_bytes // width
+    out = df.limit(most + 1).toArrow()
+    if out.num_rows > most:
+        raise ValueError(f"{what}: more than {most} rows of about {width} bytes, which is too much for every task")
     return out
 
 

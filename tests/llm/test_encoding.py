@@ -84,3 +84,15 @@ def test_head_keeps_its_bound(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert encode.encode(df).count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 1 << 16])
+def test_tail_is_remembered(public, monkeypatch, most):
+    """Words outside the head come out alike whether a task has met them before or not."""
+    monkeypatch.setattr(encode, "MEMO_WORDS", most)
+    e = encode.Encoder(pa.array(["the"]), np.array([7], np.int32), np.array([0, 1]), "byte_bpe_50k", merges.TOKENIZERS)
+    for texts in (["one two the", "zwölf", ""], ["two  three two", "zwölf one"], ["the"], ["four two " + "x" * 5000]):
+        ids, n = e(pa.array(texts))
+        ends = np.concatenate(([0], np.cumsum(n)))
+        got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        assert got == [[7] if t == "the" else public.encode_ordinary(t) for t in texts]
