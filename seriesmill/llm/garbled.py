@@ -148,8 +148,11 @@ def first_look(df: DataFrame) -> DataFrame:
 FILTER = 1 << 26
 
 
-def suspects(df: DataFrame, tokens: DataFrame, supported: DataFrame) -> DataFrame:
-    """doc_id, src, left, token, right wherever a text may hold one of the tokens: all that do, and the few whose hash is alike."""
+def suspects(df: DataFrame, tokens: DataFrame, supported: np.ndarray) -> DataFrame:
+    """doc_id, src, left, token, right wherever a text may hold one of the tokens: all that do, and the few whose hash is alike.
+
+    supported: the sources with a table of their own, sorted; the others are SMALL.
+    """
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +166,13 @@ def suspects(df: DataFrame, tokens: DataFrame, supported: DataFrame) -> DataFram
     places = fetched(tokens.mapInArrow(hashed, "h bigint").distinct(), "places of the filter", FILTER * 8)["h"].to_numpy()
     bits = np.zeros(FILTER // 8, np.uint8)
     np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+    shared = df.sparkSession.sparkContext.broadcast((bits, supported))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, supported = shared.value
         for b in batches:
             texts, src = _texts(b), b.column("src").to_numpy(zero_copy_only=False)
+            src = np.where(np.isin(src, supported), src, SMALL)
             for a, z in pieces(texts):
                 doc, left, right, first, last, cp = _tokens(bigrams.wide_words(texts.slice(a, z - a)))
                 h = (_hashes(src[a + doc], left, right, first, last, cp) % np.uint64(FILTER)).astype(np.int64)
@@ -183,8 +187,7 @@ def suspects(df: DataFrame, tokens: DataFrame, supported: DataFrame) -> DataFram
                     names=["doc_id", "src", "left", "token", "right"],
                 )
 
-    narrow = _of_tables(_narrow(df), supported).select("doc_id", "src", "text")
-    return narrow.mapInArrow(run, f"doc_id {kind}, src bigint, left int, token string, right int")
+    return _narrow(df).drop("lang").mapInArrow(run, f"doc_id {kind}, src bigint, left int, token string, right int")
 
 
 def _marks(text: str) -> list[str]:
@@ -503,7 +506,7 @@ class Findings:
         #: src, left, token, right, swap, before, sure of each garbled token.
         self.tokens = checkpoint(events.mapInArrow(decide, "src bigint, left int, token string, right int, swap string, before string, sure double"))
         #: doc_id, src, left, token, right of the places where they may stand.
-        self.suspects = suspects(df, self.tokens, supported)
+        self.suspects = suspects(df, self.tokens, np.sort(fetched(supported, "sources with a table")["src"].to_numpy()))
 
     def documents(self) -> DataFrame:
         """doc_id of each affected document."""
