@@ -163,9 +163,14 @@ def without_deleted(df: DataFrame, vectors: DataFrame, broadcast_bytes: int = BR
 
 def _apply(wide: DataFrame, vectors: DataFrame, names: list[str]) -> DataFrame:
     bucket = F.expr(f"_vr div {VECTOR_ROWS}")
-    joined = wide.join(F.broadcast(vectors), (F.col("_vf") == F.col("_file")) & (bucket == F.col("_bucket")), "left")
-    bit = F.expr(f"shiftright(cast(conv(hex(substring(_bits, cast(_vr % {VECTOR_ROWS} div 8 AS int) + 1, 1)), 16, 10) AS int), cast(_vr % 8 AS int)) & 1")
-    return joined.where(F.col("_bits").isNull() | (bit == 0)).select(*[F.col(f"`{c}`") for c in names])
+    # as 64-bit words, made once for each vector, so that a row's bit is found without making texts
+    word = lambda i: F.conv(F.hex(F.substring("_bits", i * 8 + 1, F.lit(8))), 16, -10).cast("bigint")
+    words = F.transform(F.sequence(F.lit(0), F.lit(VECTOR_BYTES // 8 - 1)), word).alias("_words")
+    joined = wide.join(F.broadcast(vectors.select("_file", "_bucket", words)), (F.col("_vf") == F.col("_file")) & (bucket == F.col("_bucket")), "left")
+    # the bytes of a word stand the other way round
+    at = F.expr(f"cast(_vr % {VECTOR_ROWS} div 64 AS int)")
+    bit = F.getbit(F.get("_words", at), F.expr("cast((7 - _vr % 64 div 8) * 8 + _vr % 8 AS int)"))
+    return joined.where(F.col("_words").isNull() | (bit == 0)).select(*[F.col(f"`{c}`") for c in names])
 
 
 def exactly_once(df: DataFrame) -> DataFrame:

@@ -48,6 +48,8 @@ HALO = HALF + SETTLE
 CELL_S, WEEK = 900, 7
 #: The level that the daily course stands out from is told from each so-manieth reading, over so many times the span.
 WIDER = 4
+#: Cells of days that are compared with other days at once.
+TARGETS = 1 << 17
 #: Deviations below so many times the noise aren't kept as part of a daily course.
 CANDIDATE = 4.0
 #: Parameters of a series: noise; spread of normal deviations, weight and spread of their tails; P(a value is repeated);
@@ -363,11 +365,23 @@ def daily_course(path: np.ndarray, day: np.ndarray, cells: pa.ListArray, peak_ce
     target_row[of] = row_of
     if not len(key):
         return target_row, key, best[0], best[1]
-    # of the other days: a matrix of targets by days; nan where the day has no reading in the cell
+    usual = [np.zeros(len(key)) for _ in best]
+    one = np.zeros(len(key), bool)
+    for a in range(0, len(key), TARGETS):
+        part = slice(a, a + TARGETS)
+        got, one[part] = _usual(key[part], key, best, held)
+        for x, y in zip(usual, got, strict=True):
+            x[part] = y
+    return target_row, key & 255, np.where(one, usual[2], usual[0]), np.where(one, usual[3], usual[1])
+
+
+def _usual(targets: np.ndarray, key: np.ndarray, best: Sequence[np.ndarray], held: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for each of `best`, low and high in turn, its lower median over the other days of each target, whether there is one such day
+    at most). Days without readings in the cell don't count."""
     others = [k for k in range(-WEEK, WEEK + 1) if k]
-    found = [np.full((len(key), len(others)), np.nan) for _ in best]
+    found = [np.full((len(targets), len(others)), np.nan) for _ in best]
     for i, k in enumerate(others):
-        other = key + (k << 8)
+        other = targets + (k << 8)
         near = np.minimum(np.searchsorted(held, other), len(held) - 1)
         here = held[near] == other
         at = np.minimum(np.searchsorted(key, other), len(key) - 1)
@@ -375,13 +389,12 @@ def daily_course(path: np.ndarray, day: np.ndarray, cells: pa.ListArray, peak_ce
         for x, b in zip(found, best, strict=True):
             x[:, i] = np.where(here, np.where(hit, b[at], 0.0), np.nan)
     n = (~np.isnan(found[0])).sum(axis=1)
-    where = np.arange(len(key)), np.maximum(n - 1, 0) // 2
-    usual = []
+    where = np.arange(len(targets)), np.maximum(n - 1, 0) // 2
+    out = []
     for k, x in enumerate(found):
         x = np.sort(-x if k % 2 == 0 else x, axis=1)[where]  # nan last
-        usual.append(np.where(n > 0, -x if k % 2 == 0 else x, 0.0))
-    one = n < 2
-    return target_row, key & 255, np.where(one, usual[2], usual[0]), np.where(one, usual[3], usual[1])
+        out.append(np.where(n > 0, -x if k % 2 == 0 else x, 0.0))
+    return out, n < 2
 
 
 #: What a day of a series needs to be worked on, in 64-bit words, so that it is one column: the numbers of readings before and

@@ -81,6 +81,18 @@ def tree(df: DataFrame, version: int, date: str | None = None, compat: bool = Fa
     return rows.select(*head, "Level", "Path", F.lit(version).cast("bigint").alias("Version"))
 
 
+def tree_of_dump(lines: DataFrame, line: str = "value") -> DataFrame:
+    """path, level, month: each path of a tab-separated dump (path, value, time, day, ...) and its ancestors once, with the first day of
+    the earliest month in which it stands. Lines with fewer than four columns give nothing."""
+    cells = F.split(line, "\t", -1)
+    rows = lines.where(F.size(cells) >= 4).select(cells[0].alias("Path"), cells[3].substr(1, 10).try_cast("date").alias("day"))
+    month = rows.where("day IS NOT NULL").groupBy("Path").agg(F.trunc(F.min("day"), "month").alias("month"))
+    path = F.col("Path")
+    leaf = F.struct(path_level(path).alias("Level"), path.alias("Path"))
+    nodes = month.select("month", F.explode(F.concat(F.array(leaf), ancestor_prefixes(path))).alias("r"))
+    return nodes.groupBy(F.col("r.Path").alias("path")).agg(F.min("month").alias("month"), F.any_value("r.Level").alias("level"))
+
+
 def series(df: DataFrame, version: int, reversed_path: bool = False) -> DataFrame:
     """Date, Level, Path, Version: a row for each plain series and day."""
     path = F.col("Path")

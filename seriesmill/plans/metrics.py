@@ -546,6 +546,72 @@ def rowbinary_lz4(spark: SparkSession, folder: str) -> DataFrame:
     return _row_files(spark, folder, True)
 
 
+#: By event_id % 16: whether a record of a row file is damaged (its day isn't that of its time).
+DAMAGED = 3
+
+
+@query(f"""
+    WITH e AS (SELECT user_id, event_id, event_type AS Path, value AS Value, {TIME} AS Time, CAST(ts AS DATE) AS Date,
+                      min(CASE WHEN event_id % 16 = {DAMAGED} THEN event_id END) OVER (PARTITION BY user_id) AS broken FROM events)
+    SELECT user_id::VARCHAR AS file, Path, Value, Time, Date, {NOW}::BIGINT AS Timestamp, NULL AS error FROM e WHERE broken IS NULL OR event_id < broken
+    UNION ALL SELECT user_id::VARCHAR, NULL, NULL, NULL, NULL, NULL, 'day 0 of time ' || Time FROM e WHERE event_id = broken
+""")
+def rowbinary_damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """A row file for each user, some of which hold damaged records: the good prefix is kept, the rest gives an error."""
+    import numpy as np
+    import pyarrow as pa
+
+    day = F.when(F.col("event_id") % 16 == DAMAGED, F.lit(0)).otherwise(F.unix_date(F.to_date("ts")))
+    record = F.struct("event_id", "event_type", "value", F.unix_timestamp("ts").alias("time"), day.alias("day"))
+    per = table(spark, folder, "events").groupBy(F.col("user_id").cast("string").alias("path")).agg(F.array_sort(F.collect_list(record)).alias("x"))
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for x in b.column("x"):
+                one = x.values
+                made.append(binary.put_records(one.field("event_type"), *(one.field(c).to_numpy() for c in ("value", "time", "day")), np.full(len(one), NOW)))
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return binary.row_files(per.mapInArrow(run, "path string, content binary"))
+
+
+@query(f"WITH {POINTS} SELECT seq, strftime(Date, '%Y-%m-%d') AS day FROM p")
+def day_text(spark: SparkSession, folder: str) -> DataFrame:
+    return _points(spark, folder).select("seq", numbers.day_text(F.col("Date")).alias("day"))
+
+
+READ_POINTS = "SELECT Path, Time, count(*) AS n FROM p WHERE Path LIKE 'plant.hall1.%' OR Path LIKE '%.latency.seconds' OR Path LIKE 'mem.used.percent?env=prod%' GROUP BY Path, Time"
+
+
+@query(f"WITH {POINTS} {READ_POINTS}")
+def read_points(spark: SparkSession, folder: str) -> DataFrame:
+    """What a reader asks of the points: LIKE, OR, and duplicates removed by grouping."""
+    return spark.sql(READ_POINTS.replace("FROM p", "FROM {p}"), p=_points(spark, folder))
+
+
+@query(f"WITH {TAGGED} SELECT DISTINCT Path, array_to_string(list_sort(Tags), '|') AS Tags FROM pieces WHERE list_contains(Tags, 'env=prod') OR array_to_string(Tags, '|') LIKE '%mount=/data%'")
+def read_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """What a reader asks of the tag table: series by tags, each with its tags sorted."""
+    return spark.sql(
+        "SELECT DISTINCT Path, array_join(array_sort(Tags), '|') AS Tags FROM {t} WHERE Tag1 = 'env=prod' OR Tag1 LIKE 'mount=/data%'", t=tables.tagged(_points(spark, folder), VERSION)
+    )
+
+
+@query("""
+    WITH l AS (SELECT DISTINCT Path, min(Date) OVER (PARTITION BY Path) AS d FROM graphite WHERE Path IS NOT NULL AND Date IS NOT NULL),
+    a AS (SELECT Path, date_trunc('month', d)::DATE AS month, string_split(Path, '.') AS x FROM l),
+    n AS (SELECT month, len(x) AS level, Path AS path FROM a
+          UNION ALL SELECT month, k, array_to_string(x[1:k], '.') || '.' FROM (SELECT month, x, unnest(generate_series(1, len(x) - 1)) AS k FROM a))
+    SELECT path, min(month) AS month, CAST(any_value(level) AS BIGINT) AS level FROM n GROUP BY path
+""")
+def tsv_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of a tab-separated dump of points."""
+    g = table(spark, folder, "graphite").where("Path IS NOT NULL AND Date IS NOT NULL")
+    lines = g.select(F.concat_ws("\t", "Path", F.lit("1"), F.lit("2"), F.date_format("Date", "yyyy-MM-dd")).alias("value"))
+    return tables.tree_of_dump(lines)
+
+
 @query(f"WITH {POINTS} SELECT seq, Date AS day FROM p")
 def day_utc(spark: SparkSession, folder: str) -> DataFrame:
     return _points(spark, folder).select("seq", F.col("Date").alias("day"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
+import ssl
 import struct
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
@@ -68,22 +71,41 @@ def row_binary(table: DataFrame) -> DataFrame:
     return table.select(*columns).mapInArrow(run, "content binary")
 
 
-def insert(table: DataFrame, url: str, name: str, timeout: float = 60, packed: bool = False) -> int:
-    """Posts each task's rows as `INSERT INTO name (columns) FORMAT RowBinary`; the number of posts. A failed post fails its task, which Spark runs again."""
-    import urllib.parse
+#: Bytes of rows that are posted at once, at least; a post holds whole batches.
+POST_BYTES = 8 << 20
 
+
+def insert(table: DataFrame, url: str, name: str, timeout: float = 60, packed: bool = False, ca_file: str | None = None, certificate: tuple[str, str] | None = None) -> int:
+    """Posts the rows as `INSERT INTO name (columns) FORMAT RowBinary`; the number of posts.
+
+    A failed post fails its task, which Spark runs again. Each post carries a token made of its content, by which a store
+    leaves out what it has already taken. ca_file and certificate (file, key file) are paths that every executor has.
+    """
     sep = "&" if "?" in url else "?"
-    target = url + sep + urllib.parse.urlencode({"query": f"INSERT INTO {name} ({', '.join(table.columns)}) FORMAT RowBinary"})
+    query = f"INSERT INTO {name} ({', '.join(table.columns)}) FORMAT RowBinary"
+
+    def post(data: bytes, context: ssl.SSLContext | None) -> None:
+        target = url + sep + urllib.parse.urlencode({"query": query, "insert_deduplication_token": hashlib.sha256(data).hexdigest()})
+        request = urllib.request.Request(target, gzip.compress(data) if packed else data, {"Content-Encoding": "gzip"} if packed else {})
+        with urllib.request.urlopen(request, timeout=timeout, context=context) as r:
+            failed = [v for k, v in r.headers.items() if k.lower().endswith("exception-code")]
+            if r.status != 200 or failed:
+                raise OSError(f"status {r.status} {failed} {r.read()[:300]!r}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = ssl.create_default_context(cafile=ca_file) if url.startswith("https:") else None
+        if context and certificate:
+            context.load_cert_chain(*certificate)
+        held: list[bytes] = []
+        posts = 0
         for b in batches:
-            for data in b.column("content").to_pylist():
-                headers = {"Content-Encoding": "gzip"} if packed else {}
-                request = urllib.request.Request(target, gzip.compress(data) if packed else data, headers)
-                with urllib.request.urlopen(request, timeout=timeout) as r:
-                    failed = [v for k, v in r.headers.items() if k.lower().endswith("exception-code")]
-                    if r.status != 200 or failed:
-                        raise OSError(f"status {r.status} {failed} {r.read()[:300]!r}")
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+            held += b.column("content").to_pylist()
+            if sum(map(len, held)) >= POST_BYTES:
+                post(b"".join(held), context)
+                held, posts = [], posts + 1
+        if any(held):
+            post(b"".join(held), context)
+            posts += 1
+        yield pa.RecordBatch.from_arrays([pa.array([posts], pa.int64())], names=["n"])
 
     return row_binary(table).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0

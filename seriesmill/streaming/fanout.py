@@ -118,6 +118,14 @@ class KnownKeys:
             known = known.where((F.col("day") >= oldest // DAY) & (F.col("inserted") >= oldest))
         return known.select(*self.key)
 
+    def count(self) -> int:
+        """How many different keys are known."""
+        return self.spark.read.schema(_KNOWN).parquet(self.path).select(*self.key).distinct().count() if self._folders(self.at, "day") else 0
+
+    def clear(self) -> None:
+        """Forgets all keys: the next batch writes every series again."""
+        self.fs.delete(self.at, True)
+
     def tidy(self, oldest: int | None, now: int, batch_id: int) -> None:
         """Removes days whose keys have all expired, and merges the folders of each day that is over.
 

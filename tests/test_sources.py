@@ -68,6 +68,32 @@ def test_remote_write(spark):
     assert sorted(r.id for r in rows if r.error) == [1, 2]
 
 
+def slow_label_path(labels):
+    """The path of a sample's labels, the plain way: an own second implementation."""
+    import urllib.parse
+
+    names = [k for k, _ in labels]
+    first = names.index("__name__")
+    rest = sorted(((k, i, v) for i, (k, v) in enumerate(labels) if i != first))
+    quote = lambda x: urllib.parse.quote(x, safe="-_.~").replace("%20", "+")
+    return labels[first][1] + ("?" + "&".join(f"{quote(k)}={quote(v)}" for k, _, v in rest) if rest else "")
+
+
+def test_remote_write_two_ways(spark):
+    """Random label sets through the decoder and through the plain implementation."""
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("ab.*~é &=/%+") for _ in range(rng.randint(0, 6)))
+    series = []
+    for _ in range(300):
+        labels = [("__name__", "m" + text())] + [(rng.choice("xyz") + text(), text()) for _ in range(rng.randint(0, 4))]
+        rng.shuffle(labels)
+        series.append((labels, [(rng.random(), rng.randint(-(10**12), 10**12))]))
+    rows = binary.remote_write(bodies(spark, binary.put_remote_write(series))).collect()
+    toward_zero = lambda ms: abs(ms) // 1000 * (1 if ms > 0 else -1)
+    want = [(slow_label_path(labels), v, toward_zero(ms) % 2**32) for labels, ((v, ms),) in series]
+    assert [(r.Path, r.Value, r.Time) for r in rows] == want
+
+
 def test_payload(spark):
     good = binary.put_payload([("a;k=v", [(1, 2.0), (3, 4.0)]), ("b", [(5, 6.0)])])
     wrong = [binary.put_payload([("a", [(1, 1.0)]), ("bad;tag", [(1, 1.0)])]), binary.put_payload([("a", [])]), binary.put_payload([("x" * 16385, [(1, 1.0)])]), b"\x0a\x7f"]
@@ -235,4 +261,5 @@ def test_insert(spark):
     df = spark.createDataFrame([("a", 1)], "Path string, Version bigint")
     assert sinks.insert(df, f"http://127.0.0.1:{server.server_port}/", "t") == 1
     server.shutdown()
+    assert len(got) == 1 and "insert_deduplication_token=" in got[0][0]
     assert "INSERT+INTO+t+%28Path%2C+Version%29+FORMAT+RowBinary" in got[0][0] and got[0][1] == b"\x01a\x01\x00\x00\x00"

@@ -176,6 +176,18 @@ def test_known_keys_are_tidied(spark, tmp_path, points):
     assert len([p for p in (tmp_path / "series_keys" / "day=11").glob("batch=*")]) == 1
     fanout.write_batch(at(0), 9, [sink], times[-1] + 1)
     assert spark.read.parquet(sink.path).where("batch = 9").count() == 1
+    keys = fanout.KnownKeys(points, str(tmp_path / "series_keys"), ("Date", "Path"))
+    assert keys.count() == 3 * 4
+    keys.clear()
+    assert keys.count() == 0
+    fanout.write_batch(at(0), 10, [sink], times[-1] + 2)
+    assert spark.read.parquet(sink.path).where("batch = 10").count() == 1
+
+
+def test_tree_of_dump(spark):
+    lines = ["a.b.c\t1\t2\t2020-03-17\tx", "a.b.c\t1\t2\t2020-01-31", "a.d\t1\t2\t2020-02-01", "short\t1", "solo\t1\t2\tno date", ""]
+    got = sorted((r.path, str(r.month), r.level) for r in tables.tree_of_dump(spark.createDataFrame([(x,) for x in lines], "value string")).collect())
+    assert got == [("a.", "2020-01-01", 1), ("a.b.", "2020-01-01", 2), ("a.b.c", "2020-01-01", 3), ("a.d", "2020-02-01", 2)]
 
 
 CONFIG = """
