@@ -152,9 +152,9 @@ class Bigrams:
             out = self.seen[key] = math.log((self.pairs.get(key, 0.0) + self.WEIGHT * p) / (self.single.get(a, 0) + self.WEIGHT))
         return out
 
-    def seen_beside(self, left: int, text: str, right: int) -> bool:
-        """Whether the corpus has the text's first character after left, or its last before right. Both are above ASCII."""
-        return (left << 21) + symbol(text[0]) in self.pairs or (symbol(text[-1]) << 21) + right in self.pairs
+    def seen_beside(self, left: int, first: str, last: str, right: int) -> bool:
+        """Whether the corpus has the first character after left, or the last before right. Both are above ASCII."""
+        return (left << 21) + symbol(first) in self.pairs or (symbol(last) << 21) + right in self.pairs
 
     def _table(self) -> np.ndarray:
         """log_p of all pairs of numbers."""

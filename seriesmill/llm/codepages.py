@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 #: Encodings that texts are written in, and those by which they are wrongly read.
@@ -168,11 +169,11 @@ def alone(text: str, odd: str, known: frozenset[str] | None = None) -> dict[str,
     return found
 
 
-def earlier(text: str, known: frozenset[str] | None = None) -> dict[str, str]:
+def earlier(text: str, known: frozenset[str] | None = None, beside: Callable[[str, str], bool] | None = None) -> dict[str, str]:
     """What the text may have been before a wrong decoding in which ASCII stood for itself, and the swap that led to the text.
 
-    known: characters that texts are made of; results of single-byte swaps with another one are left out. UTF-8 has a form that
-    tells, so its results are kept.
+    known: characters that texts are made of; results of single-byte swaps with another one are left out, and those of whose
+    first and last characters beside() says no. UTF-8 has a form that tells, so its results are kept.
     """
     found: dict[str, str] = {}
     level = {text: ""}
@@ -185,12 +186,16 @@ def earlier(text: str, known: frozenset[str] | None = None) -> dict[str, str]:
         found |= following
         level = following
     marks = "".join(sorted({c for c in text if c >= "\x80"}))
+    first, last = text[:1], text[-1:]
     for name, to in substitutions(marks, known):
-        found.setdefault(text.translate(str.maketrans(marks, to)), name)
+        of = dict(zip(marks, to, strict=True))
+        if beside is None or beside(of.get(first, first), of.get(last, last)):
+            found.setdefault(text.translate(str.maketrans(of)), name)
     if 1 < len(marks) <= FEW:  # one of its characters may have been swapped alone; for more see `alone`
         for c in marks:
             for name, x in substitutions(c, known):
-                found.setdefault(text.replace(c, x), name)
+                if beside is None or beside(x if first == c else first, x if last == c else last):
+                    found.setdefault(text.replace(c, x), name)
     return found
 
 

@@ -225,13 +225,11 @@ class Reader:
         which: list[int] = []  # the middle of each reading
         readings: list[tuple[str, str, float, float]] = []  # swap, what it was, least gain, what the number of ways costs
         for k, (left, middle, right) in enumerate(keys):
-            for before, swap in codepages.earlier(middle, known).items():
-                if swap.startswith("utf-8"):
-                    which.append(k)
-                    readings.append((swap, before, LEAST_GAIN_UTF8, 0.0))
-                elif self.model.seen_beside(left, before, right):  # else never likelier than what stands
-                    which.append(k)
-                    readings.append((swap, before, LEAST_GAIN, 0.0))
+            # without a usual neighbour on either side it's never likelier than what stands
+            beside = lambda first, last, left=left, right=right: self.model.seen_beside(left, first, last, right)
+            for before, swap in codepages.earlier(middle, known, beside).items():
+                which.append(k)
+                readings.append((swap, before, LEAST_GAIN_UTF8 if swap.startswith("utf-8") else LEAST_GAIN, 0.0))
             if len(kinds := {c for c in middle if c >= "\x80"}) > codepages.FEW:
                 alone = codepages.alone(middle, self._odd(left, middle, right), known)
                 # a letter of a long word can be exchanged in many ways, one of which is often likelier
