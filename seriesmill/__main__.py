@@ -1,4 +1,4 @@
-"""python -m seriesmill: print or check a configuration, show or recover row files."""
+"""python -m seriesmill: print or check a configuration, run it, show or recover row files."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ def main(args: list[str] | None = None) -> int:
     does = p.add_mutually_exclusive_group(required=True)
     does.add_argument("--print-config", action="store_true", help="print the default configuration")
     does.add_argument("--check-config", metavar="FILE", help="read a configuration; unknown keys are an error")
+    does.add_argument("--run", metavar="FILE", help="start the stream that a configuration describes, until it is stopped")
     does.add_argument("--cat", metavar="FILE", help="a row file as tab-separated text")
     does.add_argument("--recover", nargs=2, metavar=("FILE", "TO"), help="copy a damaged row file's good records")
     a = p.parse_args(args)
@@ -21,6 +22,16 @@ def main(args: list[str] | None = None) -> int:
         print(config.default_toml(), end="")
     elif a.check_config:
         config.parse(Path(a.check_config).read_text())
+    elif a.run:
+        from pyspark.sql import SparkSession
+
+        from seriesmill.streaming import pipeline
+
+        run = pipeline.build(SparkSession.builder.appName("seriesmill").getOrCreate(), config.parse(Path(a.run).read_text()))
+        try:
+            run.start().awaitTermination()
+        finally:
+            run.stop()
     else:
         import datetime as dt
 

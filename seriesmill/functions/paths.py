@@ -87,3 +87,12 @@ def tag_list(c: Column) -> Column:
         is_tagged(c) & (name != ""),
         F.concat(F.array(F.concat(F.lit("__name__="), unescape(name))), F.transform(good, unescape)),
     )
+
+
+def tag_map(c: Column) -> Column:
+    """The tags of tag_list as a map, __name__ among them; of equal keys the last one wins."""
+    pairs = F.transform(
+        tag_list(c), lambda t, i: F.struct(F.substring_index(t, "=", 1).alias("k"), i.alias("i"), F.substring(t, F.instr(t, "=") + 1, F.length(t)).alias("v"))
+    )
+    last = F.filter(pairs, lambda x: ~F.exists(pairs, lambda y: (y["k"] == x["k"]) & (y["i"] > x["i"])))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))

@@ -14,7 +14,7 @@ from seriesmill.functions.templates import Template, apply_templates
 from seriesmill.operators import filters, search, storage, tables
 from seriesmill.plans import sql as S
 from seriesmill.session import shared_folder, table
-from seriesmill.sources import binary, plain, telegraf
+from seriesmill.sources import binary, plain, telegraf, union
 from seriesmill.streaming import fanout, metrics
 
 NOW, VERSION, TTL = 1706745600, 1706745600, 43200
@@ -525,6 +525,19 @@ def pickle_points(spark: SparkSession, folder: str) -> DataFrame:
     return binary.pickled(_encoded(e, ["name", "value", "time"], make)).select("Path", "Value", "Time")
 
 
+@query(f"""
+    WITH {EVENTS}
+    SELECT receiver, count(*) AS n, count(DISTINCT Path) AS paths, sum(Time)::BIGINT AS times
+    FROM (SELECT 'tcp' AS receiver, Path, Time FROM e UNION ALL SELECT 'grpc', Path, Time FROM t UNION ALL SELECT 'pickle', replace(Path, 'events.', 'events..'), Time FROM e)
+    GROUP BY receiver
+""")
+def fan_in(spark: SparkSession, folder: str) -> DataFrame:
+    """Three receivers as one table of points."""
+    points = (("tcp", _event_points(spark, folder)), ("grpc", grpc_payload(spark, folder)), ("pickle", pickle_points(spark, folder)))
+    every = union([(name, df.select("Path", "Value", "Time")) for name, df in points])
+    return every.groupBy("receiver").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("Path").alias("paths"), F.sum("Time").alias("times"))
+
+
 def _row_files(spark: SparkSession, folder: str, lz4: bool) -> DataFrame:
     from seriesmill import sinks
 

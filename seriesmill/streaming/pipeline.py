@@ -37,16 +37,25 @@ class Pipeline:
     prefix: str
     endpoint: str
     trigger: Mapping[str, object]
+    #: Seconds between deliveries of counters.
+    interval: float = 60.0
     query: StreamingQuery | None = field(default=None, init=False)
+    pending: dict[str, float] = field(default_factory=dict, init=False)
+    delivered: float = field(default=0.0, init=False)
 
     def _counted(self, now: int | None):
-        """Counters of each batch: lines into the landing folder of the pipeline's own metrics, or to their endpoint."""
+        """Counters of each batch, added up and handed over once an interval: as lines in a receiver's landing folder, from where they
+        come back as points, or to their endpoint."""
 
         def count(rows: DataFrame) -> None:
-            if self.endpoint:
-                at = now if now is not None else int(time.time())
-                lines = [metrics.line(r) for r in metrics.receiver_rows(rows, self.prefix, at)]
-                metrics.deliver(rows.sparkSession, lines, self.endpoint, f"{self.root}/tcp")
+            if not self.endpoint:
+                return
+            at = now if now is not None else int(time.time())
+            for path, value, _ in metrics.receiver_rows(rows, self.prefix, at):
+                self.pending[path] = self.pending.get(path, 0.0) + value
+            if at - self.delivered >= self.interval:
+                metrics.deliver(rows.sparkSession, [metrics.line((p, v, at)) for p, v in sorted(self.pending.items())], self.endpoint, f"{self.root}/tcp")
+                self.pending, self.delivered = {}, at
 
         return count
 
@@ -61,6 +70,11 @@ class Pipeline:
         """The same for points that aren't a stream."""
         write_batch(self.points, batch_id, self.sinks, version, drops=f"{self.root}/dropped", errors=f"{self.root}/errors", counted=self._counted(version))
 
+    def confirm(self) -> None:
+        """Returns when all that had been received is in the tables."""
+        if self.query is not None:
+            self.query.processAllAvailable()
+
     def stop(self, timeout: float = 60) -> None:
         """Ends the stream after the batch it is at."""
         if self.query is not None:
@@ -120,7 +134,7 @@ def build(spark: SparkSession, config: Config, stream: bool = True, now: int | N
     common = config.sections["common"]
     waiting = sum(_files_in(spark, f"{root}/{name}") for name, _ in found) if data["chunk-auto-interval"].rules else 0
     seconds = data["chunk-auto-interval"].interval(waiting)
-    return Pipeline(union(found), sinks_of(config, root), root, common["metric-prefix"], common["metric-endpoint"], {"processingTime": f"{max(1, round(seconds * 1000))} milliseconds"})
+    return Pipeline(union(found), sinks_of(config, root), root, common["metric-prefix"], common["metric-endpoint"], {"processingTime": f"{max(1, round(seconds * 1000))} milliseconds"}, common["metric-interval"])
 
 
 def _files_in(spark: SparkSession, path: str) -> int:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions import ancestor_prefixes, canonical_path, canonical_tags, path_escape, path_level, query_escape, reverse_path, squeeze_dots, tag_list, unescape
 from seriesmill.functions import numbers, rules
+from seriesmill.functions.paths import tag_map
 from seriesmill.functions.templates import Template, apply_templates
 
 CANONICAL = [
@@ -106,6 +107,11 @@ def test_templates(column):
         Template.parse("x.* measurement tag")
 
 
+def test_tag_map(column):
+    got = column(tag_map, ["pump.flow?line=7&site=north&line=8", "a+b?x=1%3D2", "plain", None])
+    assert got == [{"__name__": "pump.flow", "line": "8", "site": "north"}, {"__name__": "a b", "x": "1=2"}, None, None]
+
+
 def test_floats(column):
     assert column(numbers.is_number, [1.0, float("nan"), float("inf"), None], "double") == [True, False, True, False]
     texts = ["1", "-1.5e3", ".5", "5.", "1e400", "NaN", "inf", "-Infinity", "0x1p3", "42d", " 42", "", "1_0", None]

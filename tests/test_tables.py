@@ -234,13 +234,17 @@ def test_run_from_configuration(spark, tmp_path, stream):
     run = pipeline.build(spark, config.parse(CONFIG.replace("{root}", str(tmp_path))), stream, now)
     assert run.trigger == {"processingTime": "2000 milliseconds"}
     if stream:
-        q = run.start({"availableNow": True})
-        q.awaitTermination(180)
-        assert q.exception() is None
+        q = run.start({"processingTime": "1 second"})
+        run.confirm()
+        assert q.exception() is None and q.isActive
+        run.stop()
+        assert not q.isActive
     else:
         run.once(0, now)
     read = lambda name: spark.read.parquet(f"{tmp_path}/tables/{name}")
-    paths = sorted(r.Path for r in read("p").collect())
+    own = [r.Path for r in read("p").where("Path LIKE 'own.%'").collect()]
+    assert len(own) == (10 if stream else 0)  # the counters came back
+    paths = sorted(r.Path for r in read("p").where("NOT Path LIKE 'own.%'").collect())
     assert paths == sorted(["mill.line7.motor.rpm"] * 2 + ["motor.rpm?line=l7&site=north", "motor.rpm?line=l9", "oil.temp?site=north", "ofen.gr%C3%B6%C3%9Fe?alt=ja"] + [p for p in paths if p.startswith("odd_tags")])
     assert len(paths) == 7 and {r.Timestamp for r in read("p").collect()} == {0}
     assert any(".lz4" in f for f in read("p").inputFiles()) and not any(".lz4" in f for f in read("i").inputFiles())
