@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,28 @@ def shape_mask(token: Column) -> Column:
     return F.translate(token, DIGITS + LETTERS, "9" * len(DIGITS) + "A" * len(LETTERS))
 
 
-#: (byte matrix, tokens, zone, day order, latest instant) -> (UTC seconds, whether there is one)
-Parser = Callable[[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+@dataclass(frozen=True)
+class Coded:
+    """A column of texts: the distinct ones, and which of them each row has."""
+
+    texts: list[str]
+    which: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array | np.ndarray | list[str]) -> Coded:
+        column = column if isinstance(column, pa.Array) else pa.array(column, pa.string())
+        coded = pc.fill_null(column, "").dictionary_encode()
+        return cls(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False))
+
+    def take(self, rows: np.ndarray) -> Coded:
+        return Coded(self.texts, self.which[rows])
+
+    def equals(self, text: str) -> np.ndarray:
+        return np.array([t == text for t in self.texts], bool)[self.which] if self.texts else np.zeros(len(self.which), bool)
+
+
+#: (byte matrix, zone, day order, latest instant) -> (UTC seconds, whether there is one)
+Parser = Callable[[np.ndarray, Coded, Coded, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def _number(m: np.ndarray, span: tuple[int, int]) -> np.ndarray:
@@ -84,7 +106,7 @@ def compile_mask(mask: str) -> Parser | None:
         return lambda m, *_: _power(m, f)
     for shape in _SHAPES:
         if f := shape.fullmatch(mask):
-            return lambda m, tokens, zone, order, latest, f=f: _wall_clock(m, tokens, zone, order, latest, f)
+            return lambda m, zone, order, latest, f=f: _wall_clock(m, zone, order, latest, f)
     return None
 
 
@@ -111,24 +133,25 @@ def _power(m: np.ndarray, f: re.Match[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, ok & fits & np.isin(m[:, f.start("e")], [ord("e"), ord("E")])
 
 
-def _texts(tokens: list[str], span: tuple[int, int]) -> np.ndarray:
-    return np.array([t[span[0] : span[1]] for t in tokens], object)
+def _texts(m: np.ndarray, span: tuple[int, int]) -> Coded:
+    cells = np.ascontiguousarray(m[:, span[0] : span[1]].astype(np.uint8)).view(f"S{span[1] - span[0]}").ravel()
+    distinct, which = np.unique(cells, return_inverse=True)
+    return Coded([t.decode("ascii") for t in distinct], which)
 
 
-def _wall_clock(
-    m: np.ndarray, tokens: list[str], zone: np.ndarray, order: np.ndarray, latest: np.ndarray, f: re.Match[str]
-) -> tuple[np.ndarray, np.ndarray]:
+def _wall_clock(m: np.ndarray, zone: Coded, order: Coded, latest: np.ndarray, f: re.Match[str]) -> tuple[np.ndarray, np.ndarray]:
     has = f.groupdict()
     y = _number(m, f.span("y"))
     ok = np.ones(len(m), bool)
     if has.get("p"):
-        p, q, mdy = _number(m, f.span("p")), _number(m, f.span("q")), order == "mdy"
+        p, q, mdy = _number(m, f.span("p")), _number(m, f.span("q")), order.equals("mdy")
         mo, d = np.where(mdy, p, q), np.where(mdy, q, p)
-        ok &= mdy | (order == "dmy")
+        ok &= mdy | order.equals("dmy")
     else:
         d = _number(m, f.span("d"))
         if has.get("mon"):
-            mo = np.array([MONTHS.get(t.lower(), 0) for t in _texts(tokens, f.span("mon"))], np.int64)
+            name = _texts(m, f.span("mon"))
+            mo = np.array([MONTHS.get(t.lower(), 0) for t in name.texts], np.int64)[name.which]
         else:
             mo = _number(m, f.span("mo"))
     if has.get("t"):
@@ -136,9 +159,10 @@ def _wall_clock(
     h, mi = _number(m, f.span("h")), _number(m, f.span("mi"))
     s = _number(m, f.span("s")) if has.get("s") else np.zeros(len(m), np.int64)
     if has.get("half"):
-        half = np.array([t.upper() for t in _texts(tokens, f.span("half"))], object)
-        ok &= ((half == "AM") | (half == "PM")) & (h >= 1) & (h <= 12)
-        h = h % 12 + np.where(half == "PM", 12, 0)
+        half = _texts(m, f.span("half"))
+        half = Coded([t.upper() for t in half.texts], half.which)
+        ok &= (half.equals("AM") | half.equals("PM")) & (h >= 1) & (h <= 12)
+        h = h % 12 + np.where(half.equals("PM"), 12, 0)
     days, real = _days(y, mo, d)
     ok &= real & (h < 24) & (mi < 60) & (s < 60)
     local = days * 86400 + h * 3600 + mi * 60 + s
@@ -152,10 +176,11 @@ def _wall_clock(
     else:
         names = zone
         if tail:
-            names = np.array([t.strip(" []") for t in _texts(tokens, f.span("tail"))], object)
+            names = _texts(m, f.span("tail"))
+            names = Coded([t.strip(" []") for t in names.texts], names.which)
         utc = np.zeros(len(m), np.int64)
-        for name in set(names):
-            rows = names == name
+        for k in np.unique(names.which).tolist():
+            name, rows = names.texts[k], names.which == k
             found = np.zeros(int(rows.sum()), bool)
             if tail and (fixed := zones.ABBREVIATIONS.get(name.upper())) is not None:
                 utc[rows], found = local[rows] - fixed, True
@@ -165,20 +190,27 @@ def _wall_clock(
     return utc, ok & (utc > 0)
 
 
-def parse_tokens(tokens: list[str], masks: list[str], zone: np.ndarray, order: np.ndarray, latest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """UTC seconds of each token, and whether it denotes an instant. All of one mask are read together."""
+def parse_tokens(
+    tokens: pa.Array | list[str], masks: pa.Array | list[str], zone: pa.Array | np.ndarray, order: pa.Array | np.ndarray, latest: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """UTC seconds of each token, and whether it denotes an instant. All of one mask are read together, from the column's own bytes."""
+    tokens = tokens if isinstance(tokens, pa.Array) else pa.array(tokens, pa.string())
     utc, found = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-    kinds, which = np.unique(np.array(masks, object).astype(str), return_inverse=True)
-    order_of = np.argsort(which, kind="stable")
-    ends = np.cumsum(np.bincount(which, minlength=len(kinds)))
-    for k, kind in enumerate(kinds):
+    if not len(tokens):
+        return utc, found
+    begin = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens)].astype(np.int64)
+    data = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)
+    mask, zone, order = Coded.of(masks), Coded.of(zone), Coded.of(order)
+    order_of = np.argsort(mask.which, kind="stable")
+    ends = np.cumsum(np.bincount(mask.which, minlength=len(mask.texts)))
+    for k, kind in enumerate(mask.texts):
         rows = order_of[ends[k - 1] if k else 0 : ends[k]]
-        parser = compile_mask(str(kind))
-        if parser is None or not str(kind).isascii():
+        parser = compile_mask(kind)
+        if parser is None or not kind.isascii():
             continue
-        own = [tokens[i] for i in rows]
-        m = np.frombuffer("".join(own).encode("ascii"), np.uint8).reshape(len(own), len(kind)).astype(np.int64)
-        utc[rows], found[rows] = parser(m, own, zone[rows], order[rows], latest[rows])
+        # a mask of ASCII is as long as its tokens
+        m = data[begin[rows][:, None] + np.arange(len(kind))].astype(np.int64)
+        utc[rows], found[rows] = parser(m, zone.take(rows), order.take(rows), latest[rows])
     return utc, found
 
 
@@ -190,11 +222,8 @@ def parsed(df: DataFrame, rec_id: str, token: str, zone: str, day_order: str, re
         if zones.version() != known:
             raise RuntimeError(f"zone data {zones.version()} here, {known} on the driver")
         for b in batches:
-            text = lambda name, b=b: np.array(b.column(name).fill_null("").to_pylist(), object)
             latest = b.column("received").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-            utc, found = parse_tokens(
-                b.column("token").to_pylist(), b.column("mask").to_pylist(), text("zone"), text("day_order"), latest
-            )
+            utc, found = parse_tokens(*(b.column(c) for c in ("token", "mask", "zone", "day_order")), latest)
             yield pa.RecordBatch.from_arrays([b.column("rec_id"), b.column("raw"), pa.array(utc, mask=~found)], names=["rec_id", "raw", "utc_s"])
 
     tight = F.regexp_replace(F.coalesce(F.col(token), F.lit("")), r"^\s+|\s+\z", "")
