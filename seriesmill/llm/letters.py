@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.llm import bigrams
 from seriesmill.llm.shared import Lookup, share
+from seriesmill.session import checkpoint
 
 #: Distinct tokens that must hold a character before its letter is told, and how much rarer it is elsewhere.
 LEAST_TOKENS, RARER = 8, 0.1
@@ -149,7 +150,7 @@ def letters_of(l: np.ndarray, u: np.ndarray, r: np.ndarray, n: np.ndarray, other
 def learn_letters(kinds: DataFrame) -> DataFrame:
     """src, mark, letter, rarer: what characters stand for in the tokens of a source (src, lang, left, token, right; lang 0: not
     known), and how much rarer each is elsewhere."""
-    around = neighbourhoods(kinds).persist()
+    around = checkpoint(neighbourhoods(kinds))
     lookup: Lookup = share(language_bigrams(around), "lang", ("key", "n"))
 
     def run(t: pa.Table) -> pa.Table:
