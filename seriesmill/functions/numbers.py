@@ -35,7 +35,7 @@ def seconds_of_ms(c: Column) -> Column:
 
 
 def utc_day(time: Column) -> Column:
-    return F.date_from_unix_date(F.floor(time / 86400).cast("int"))
+    return F.date_from_unix_date(F.floor(time / 86400).try_cast("int"))
 
 
 def local_day(time: Column, zone: str) -> Column:

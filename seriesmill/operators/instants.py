@@ -259,7 +259,7 @@ def instants(points: DataFrame, samples: DataFrame, metrics: DataFrame, relays:
 
     changed: the record didn't already state it in its column's intended form (UTC day, milliseconds, ten digits).
     """
-    utc_day = F.date_from_unix_date(F.floor(F.col("Time") / 86400).cast("int"))
+    utc_day = F.date_from_unix_date(F.floor(F.col("Time") / 86400).try_cast("int"))
     p = points.where("Time IS NOT NULL").select(
         F.lit("graphite").alias("src"), F.col("seq").alias("rec_id"), day_start(F.col("Time")).alias("utc_s"),
         (~F.col("Date").eqNullSafe(utc_day)).alias("changed"),

@@ -181,6 +181,8 @@ def exactly_once(df: DataFrame) -> DataFrame:
 def kept_rows(df: DataFrame, *columns: str) -> DataFrame:
     """The kept row of each message: path, day (UTC, days since 1970), Time, and the given columns of it.
 
+    A Time that is no day's (beyond 32 bits of days) has no row here.
+
     Copies are settled in each task and then by message, which spreads them evenly however many a path has. Only then
     the kept rows of a path and day, at most 86,400, are brought together, sorted by Time: what follows within a path and
     day needs no further shuffle.
@@ -191,8 +193,8 @@ def kept_rows(df: DataFrame, *columns: str) -> DataFrame:
     order = Window.partitionBy("path", "Time").orderBy(F.col("_arrival").asc_nulls_last(), F.col("_seq").asc_nulls_last())
     parts = TASKS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = rows.repartition(parts, "path", "Time").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
-    day = F.expr("cast(floor(Time / 86400) AS int)").alias("day")
-    kept = one.select("path", day, "Time", *[F.col("_seq").alias("seq") if c == "seq" else F.col(c) for c in columns])
+    day = F.expr("try_cast(floor(Time / 86400) AS int)").alias("day")
+    kept = one.where(F.expr("try_cast(floor(Time / 86400) AS int) IS NOT NULL")).select("path", day, "Time", *[F.col("_seq").alias("seq") if c == "seq" else F.col(c) for c in columns])
     return kept.repartition(parts, "path", "day").sortWithinPartitions("path", "day", "Time")
 
 

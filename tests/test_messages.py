@@ -94,6 +94,17 @@ def test_late_borders(graphite):
     assert [(r.arrival_period, r.rows, r.n, r.total, r.final) for r in got] == [(0, 2, 2, 2.0, False), (1, 3, 3, 3.0, False), (6, 4, 4, 4.0, True)]
 
 
+def test_times_of_no_day(graphite):
+    """Times beyond all days: messages like others, but on no grid, and no reason to fail."""
+    from seriesmill.operators import spikes
+
+    df = graphite([(1, "p", 2.0, 10, 1), (2, "p", 2.0, 9 * 10**18, 1), (3, "p", 2.0, -9 * 10**18, 1), (4, "p", 2.0, 9 * 10**18, 2), (5, "p", 2.0, -5, 1)])
+    assert [r["_seq"] for r in messages.deleted(df).collect()] == [4]
+    assert sorted(r.Time for r in messages.kept_rows(df).collect()) == [-5, 10]
+    assert grid.on_grid(df, RULES).count() == 2 and spikes.implausible(df, []).count() == 0
+    assert late.late_rows(df).count() == 2
+
+
 RULES = [{"rule_no": 1, "regexp": None, "function": "avg", "age": 0, "precision": 60}]
 
 
