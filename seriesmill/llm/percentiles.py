@@ -13,7 +13,7 @@ a task holds of a key; level 3 parts of these; level 4 their union. Each result
 Copies are settled first, by identifiers alone (deletion vectors). A path and day then has at most 86,400 values; no group
 of a merge is larger than the number of tasks over PARTS.
 
-Defined results: null, NaN and infinite values aren't readings. Of n values the q-quantile is the value of rank
+Defined results: null, NaN and infinite values aren't readings, nor is what stands at a Time beyond 32 bits of days. Of n values the q-quantile is the value of rank
 ceil(q * n), at least 1. Groups without readings have no row; equal values are kept as often as they occur.
 """
 
@@ -43,7 +43,7 @@ BLOCK_ROWS, BLOCK_TUPLES = 1 << 19, 1 << 21
 def readings(df: DataFrame) -> DataFrame:
     """path (canonical), day (UTC, days since 1970) and value of each reading, read without a shuffle: only identifiers are."""
     rows = exactly_once(df).where("Path IS NOT NULL AND Time IS NOT NULL AND Value IS NOT NULL AND NOT isnan(Value) AND abs(Value) < double('infinity')")
-    return rows.select(canonical_path(F.col("Path")).alias("path"), F.expr("cast(floor(Time / 86400) AS int)").alias("day"), F.col("Value").alias("value"))
+    return rows.select(canonical_path(F.col("Path")).alias("path"), F.expr("try_cast(floor(Time / 86400) AS int)").alias("day"), F.col("Value").alias("value")).where("day IS NOT NULL")
 
 
 def kept(group: np.ndarray, low: np.ndarray, n: np.ndarray, error: float) -> np.ndarray:
